@@ -1,18 +1,61 @@
-"""A corpus pipeline of five operators; each stage reads what the one before it wrote."""
+"""A corpus pipeline of five operators; each stage reads what the one before it wrote.
+
+Language ID drops what it rejects, the n-gram join keeps one document of each group of near
+duplicates, decontamination drops documents that hold benchmark passages, mixing repeats or
+drops documents for the sources' target weights, and sharding deals the rest into shards.
+"""
 
 from __future__ import annotations
 
-from chronofeat.llm import ngram_join
+from pyspark.sql import DataFrame, SparkSession
+
+from chronofeat.llm import decontaminate, langid, mixing, ngram_join, sharding
+from chronofeat.llm.common import materialize, table
+
+#: A document without a letter, or with no difference between two languages, is rejected.
+MARGIN = 0.0
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known. The dictionaries learn from the labelled documents themselves."""
+    return langid.keep_known(docs, langid.train(docs.where(~langid.held_out())), margin=MARGIN)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    return ngram_join.keep_one(docs, words=5, num=80, den=100)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with less than a twentieth of their words in benchmark windows."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=13, coverage=20)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix(docs, weights=(3, 1, 2), share=1.5, cap=2.0, shards=8)
+
+
+def shard_assignment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of each row."""
+    return sharding.assign(docs, shards=8)
+
 
 STAGES = [
-    ("ngram_jaccard_join", lambda spark, docs, sf_dir: ngram_join.keep_one(docs, words=5, num=80, den=100)),
+    ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("sharding", shard_assignment),
 ]
+
+#: Compression, set joins and seeded draws have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
