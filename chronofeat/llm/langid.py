@@ -1,12 +1,14 @@
 """Language identification by compression: one zstandard raw-content dictionary per language.
 
-A text compresses best with the dictionary of its own language. A text goes to the language that
+A text compresses best with the dictionary of its own language. Texts and dictionaries are lower
+case, with one space for all that stands between letters, so that layout says nothing. A text goes to the language that
 leaves the fewest bytes; how far the runner-up lies behind is the score, and a narrow margin, or
 a text without a letter, is a rejection.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,11 +19,17 @@ from pyspark.sql import functions as F
 
 #: Labelled texts of a language that a dictionary is made of, about; bytes of one text's part and of a dictionary; languages at most.
 SAMPLE_TEXTS, PART_BYTES, DICTIONARY_BYTES, MAX_LANGUAGES = 120, 2048, 112_640, 1000
-LEVEL = 3
-LETTER = regex.compile(r"\p{L}")
+#: Compression level of texts of up to SHORT bytes, where each byte counts, and of longer ones.
+SHORT, LEVELS = 2048, (9, 3)
+LETTER, OTHER = regex.compile(r"\p{L}"), re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
 
+def letters(text: str) -> bytes:
+    """The lower-cased words of a text, one space between them."""
+    return OTHER.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
+
+
 def train(labelled: DataFrame, *, lang: str = "lang", text: str = "text", seed: int = 11) -> dict[str, bytes]:
     """A dictionary for each language of labelled rows; null languages and texts teach nothing.
 
@@ -40,7 +48,7 @@ def train(labelled: DataFrame, *, lang: str = "lang", text: str = "text", seed:
     parts: dict[str, list[tuple[int, str]]] = {name: [] for name in counts}
     for r in some.distinct().collect():
         parts[r.lang].append((r.h, r.text))
-    return {name: "\n".join(t for _, t in sorted(found, reverse=True)).encode()[-DICTIONARY_BYTES:] for name, found in parts.items() if found}
+    return {name: b" ".join(letters(t) for _, t in sorted(found, reverse=True))[-DICTIONARY_BYTES:] for name, found in parts.items() if found}
 
 
 class Classifier:
@@ -48,18 +56,20 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        self.coders = []
-        for name in self.names:
-            content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False, write_checksum=False))
+        self.coders = [[self._coder(dictionaries[name], level) for name in self.names] for level in LEVELS]
+
+    @staticmethod
+    def _coder(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+        content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_dict_id=False, write_checksum=False)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): `und` and 0 without a letter or without languages; the score is the margin's share of the runner-up's size."""
         if not text or not self.names or not LETTER.search(text):
             return UNKNOWN, 0.0
-        data = text.encode("utf-8", "surrogatepass")
-        sizes = sorted((len(c.compress(data)), name) for c, name in zip(self.coders, self.names, strict=True))
+        data = letters(text)
+        sizes = sorted((len(c.compress(data)), name) for c, name in zip(self.coders[len(data) > SHORT], self.names, strict=True))
         if len(sizes) == 1:
             return sizes[0][1], 1.0
         return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
