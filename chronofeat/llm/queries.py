@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, mixing, ngram_join, sharding, suffix_dedup, url_filter
+from . import decontaminate, html_extract, langid, media, mixing, ngram_join, sharding, suffix_dedup, token_count, url_filter
 from .common import table
 
 
@@ -32,6 +32,22 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.fit(url_filter.seed_table(spark)))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after three edits that follow from it: a cut, an insertion and a replacement."""
+    docs, n = table(spark, sf_dir, "documents"), F.char_length("text")
+    edit = lambda place, delete, insert: F.struct(place.cast("int").alias("place"), F.lit(delete).alias("delete"), insert.alias("insert"))
+    edits = F.array(
+        edit(F.floor(n / 2), 37, F.lit("")),
+        edit(F.floor(n / 3), 0, F.concat(F.lit(" see "), F.coalesce("source", F.lit("?")), F.lit(": "))),
+        edit(n - 5, 9, F.concat(F.substring("text", 1, 80), F.lit("."))),
+    )
+    return token_count.count_edited(docs.withColumn("edits", edits))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
@@ -59,5 +75,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: Content of the given pages is their article; markup goes, references are decoded, blocks are lines.
+OP6_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)(</article|$)', 1, 's') AS inner_html FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(inner_html, '</?(p|h1)([^a-z0-9>][^>]*)?(>|$)'),
+    lambda x: trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(x, '</?[a-zA-Z][^>]*(>|$)', ' ', 'g'), '&amp$', '&amp;'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a)
+SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text,
+       CAST(length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10))) AS BIGINT) AS n_chars
+FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_html_extraction": OP6_SQL}
