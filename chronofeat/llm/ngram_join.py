@@ -247,24 +247,48 @@ def _bounded(num: int, den: int):
     return run
 
 
+def tile_pairs(own: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray, group: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The pairs of one tile that lie in different components and whose bit counts leave room for a link.
+
+    own: the side of a member, 0 or 1 for the two blocks of a tile across them, 2 for a block on its own.
+    """
+    left, right = np.flatnonzero(own != 1), np.flatnonzero(own != 0)
+    found = []
+    for k in left.tolist():
+        others = right[(group[right] != group[k]) & ((own[right] == 1) | (node[right] > node[k]))]
+        differ = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        others = others[may_link(n[k], n[others], differ, num, den)]
+        found.append(np.stack((np.full(len(others), node[k]), node[others])))
+    return np.sort(np.concatenate(found, axis=1), axis=0) if found else np.zeros((2, 0), np.int64)
+
+
 def _tile_pairs(num: int, den: int):
-    """Pairs of different components across one pair of blocks, by bit counts."""
-    import pandas as pd
-
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        i, j = tile["i"].iloc[0], tile["j"].iloc[0]
-        left, right = tile[tile["block"] == i], tile[tile["block"] == j]
-        bits = [np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), -1) for x in (left, right)]
-        n = [x["n"].to_numpy() for x in (left, right)]
-        group = [x["component"].to_numpy() for x in (left, right)]
-        node = [x["node"].to_numpy() for x in (left, right)]
-        found = []
-        for k in range(len(left)):
-            differ = np.bitwise_count(bits[1] ^ bits[0][k]).sum(axis=1, dtype=np.int64)
-            keep = may_link(n[0][k], n[1], differ, num, den) & (group[1] != group[0][k]) & ((node[1] > node[0][k]) | (i != j))
-            found.append(np.stack((np.full(keep.sum(), node[0][k]), node[1][keep])))
-        pairs = np.sort(np.concatenate(found, axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+    """Of rows sorted by tile (key, i, j), at most two blocks of members each: the pairs of tile_pairs()."""
+
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        key, i, j, own, node, n, component = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "n", "component"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(key), BITS // 64)
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        ends = [0, *cuts.tolist(), len(key)]
+        found = [tile_pairs(own[s:e], node[s:e], n[s:e], bits[s:e], component[s:e], num, den) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        a, b = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            # the last tile may go on in the next batch
+            tile = [held.column(c).to_numpy() for c in ("key", "i", "j")]
+            other = np.flatnonzero((tile[0] != tile[0][-1]) | (tile[1] != tile[1][-1]) | (tile[2] != tile[2][-1]))
+            if len(other):
+                yield pairs_of(held.slice(0, int(other[-1]) + 1))
+                held = held.slice(int(other[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield pairs_of(held)
 
     return run
 
@@ -303,7 +327,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     # the centre has met every member in the first round, so pairs of nodes alone are settled
     placed = placed.where("size > 2").join(sets.select("node", "n", "bits"), "node").withColumn("block", F.pmod(F.hash("node"), "blocks"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    more = tiles.groupBy("key", "i", "j").applyInPandas(_tile_pairs(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("block") == F.col("i"), 0).otherwise(1)
+    tiles = tiles.select("key", "i", "j", side.alias("side"), "node", "n", "bits", "component").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     links = links.union(materialize(verify(more, sets, num, den), "links"))
     # nodes are sets; their documents take the smallest key of all sets that they reach
     label = connected_components(links)
