@@ -6,10 +6,10 @@ elements. So sets are put into *size bands*; in a band the hash range is cut int
 than sets may differ in, plus spare ones, and two similar sets agree wholly in at least one slot
 that is not empty. A (band, slot, content) key is a *tile*: only its members are compared.
 
-1. A tile's smallest member is compared with every other one, which is linear in the tile.
-   Components of those links follow.
+1. Each set is compared with the smallest member of its tiles, then those of the other tiles' smallest
+   members that it isn't yet connected with: linear in the tiles. Components of those links follow.
 2. Only tiles that still hold several components go on: their members are cut into blocks of a
-   bounded size, and each pair of blocks is one task's numpy bit count over bitmap signatures.
+   bounded size, and each pair of blocks is one unit of numpy bit counts over bitmap signatures.
    Where a and b are the sizes, the bits that differ are at most the elements that differ, so
    (a + b - differing bits) / 2 bounds the overlap from above. Pairs that pass meet their sorted
    arrays.
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sieve
 from .common import LOWER, NOT_SPACE, materialize, mix64, pieces, prefix_hash, span_hash, text_buffer, word_spans
 from .graph import connected_components
 
@@ -177,19 +178,27 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- arrays and checks
 
 
-def _sets(words: int, column: str, key: str, arrays: bool):
-    """(key, n, node[, bits, grams]) of each row."""
+def _sets(words: int, candidates):
+    """(doc_id, n, node, bits, grams) of each row; bits and grams only for sets that a filter may hold, once a task or a little oftener."""
+    names, kinds = ["doc_id", "n", "node", "bits", "grams"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
-            ids = batch.column(key)
-            rows, at, held = [], 0, 0
-            for i, grams in enumerate(gram_hashes(batch.column(column), words)):
-                rows.append((len(grams), set_hash(grams), *((bitmap(grams), grams.tobytes()) if arrays else ())))
+            ids = batch.column("doc_id")
+            rows: list[tuple] = []
+            at = held = 0
+            for i, grams in enumerate(gram_hashes(batch.column("text"), words)):
+                rows.append((len(grams), set_hash(grams), grams))
                 held += len(grams)
                 if held > 1_000_000 or i + 1 == len(ids):
-                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([ids[at : i + 1], *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False))], ["doc_id", "n", "node", "bits", "grams"][: 5 if arrays else 3])
+                    n, node, sets = zip(*rows, strict=True)
+                    wanted = [may and k > 0 and x not in given for may, k, x in zip(sieve.holds(candidates.value, np.array(node, np.int64)).tolist(), n, node, strict=True)]
+                    given.update(x for x, w in zip(node, wanted, strict=True) if w)
+                    if len(given) > 1_000_000:
+                        given.clear()
+                    columns = [n, node, [bitmap(g) if w else None for g, w in zip(sets, wanted, strict=True)], [g.tobytes() if w else None for g, w in zip(sets, wanted, strict=True)]]
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), *(pa.array(list(x), k) for x, k in zip(columns, kinds[1:], strict=True))], names)
                     rows, at, held = [], i + 1, 0
 
     return run
@@ -218,14 +227,14 @@ def _checked(num: int, den: int):
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: bit counts first, whole arrays for what they leave."""
-    brief = sets.select("node", "n", "bits")
+    brief = sets.select("node", "n", "bits").dropDuplicates(["node"])
     side = lambda x: brief.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    bounded = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(num, den), "a long, b long")
-    return (
-        bounded.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
-        .mapInArrow(_checked(num, den), "a long, b long")
-    )
+    left = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(num, den), "a long, b long"), "bounded")
+    needed = sieve.build(left.select("a").union(left.select(F.col("b").alias("a"))), "a")
+    arrays, _ = sieve.split(sets.select("node", "grams"), "node", needed)
+    arrays = arrays.repartition("node").dropDuplicates(["node"])
+    checked = left.join(arrays.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b").join(arrays.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
+    return materialize(checked.mapInArrow(_checked(num, den), "a long, b long"), "links")
 
 
 def may_link(n_a, n_b, differ, num: int, den: int):
@@ -308,29 +317,32 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     rows = docs.where("doc_id is not null").select("text").mapInArrow(_tiles(words, num, den, "text"), "key long, node long")
     members = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_members, "key long, node long, center long")
     members = materialize(members, "members")
-    every = materialize(docs.mapInArrow(_sets(words, "text", "doc_id", arrays=False), "doc_id long, n long, node long"), "sets")
-    # one document stands for the equal sets of each candidate
-    candidates = members.select("node").union(members.select("center")).distinct()
+    candidates = sieve.build(members.select("node").union(members.select("center")).distinct(), "node")
+    every = materialize(docs.mapInArrow(_sets(words, candidates), "doc_id long, n long, node long, bits binary, grams binary"), "sets")
+    sets = every.where("grams is not null").select("node", "n", "bits", "grams")
     standing = every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    chosen = candidates.join(standing, "node").select(F.col("rep").alias("doc_id"))
-    sets = docs.join(chosen.distinct(), "doc_id", "left_semi").mapInArrow(_sets(words, "text", "doc_id", arrays=True), "doc_id long, n long, node long, bits binary, grams binary")
-    sets = materialize(sets.join(candidates, "node", "left_semi").dropDuplicates(["node"]), "arrays")
-    # first round: each tile's centre against its members
-    pairs = members.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    links = materialize(verify(pairs, sets, num, den), "links")
-    # second round: what still lies apart in a tile
-    label = connected_components(links).select("node", F.col("component"))
+    # first each set against one centre, then against its tiles' other centres that lie apart from it
+    met = members.groupBy("node").agg(F.min("center").alias("center")).select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
+    links = verify(met, sets, num, den)
+    label = materialize(connected_components(links), "labels")
+    others = members.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    others = others.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(of_a = of_b, false)").select("a", "b")
+    met = materialize(met.union(others), "met")
+    links = links.union(verify(others, sets, num, den))
+    # then all pairs of components that still share a tile
+    label = materialize(connected_components(links), "labels")
     placed = members.select("key", "node").union(members.select("key", F.col("center").alias("node")).distinct())
     placed = placed.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     apart = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "size")
     placed = placed.join(apart, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    # the centre has met every member in the first round, so pairs of nodes alone are settled
-    placed = placed.where("size > 2").join(sets.select("node", "n", "bits"), "node").withColumn("block", F.pmod(F.hash("node"), "blocks"))
+    # a centre has met all that lay apart from it, so a pair alone is settled
+    placed = placed.where("size > 2").join(sets.select("node", "n", "bits").dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.hash("node"), "blocks"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("block") == F.col("i"), 0).otherwise(1)
     tiles = tiles.select("key", "i", "j", side.alias("side"), "node", "n", "bits", "component").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.union(materialize(verify(more, sets, num, den), "links"))
+    more = tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
+    links = links.union(verify(more, sets, num, den))
     # nodes are sets; their documents take the smallest key of all sets that they reach
     label = connected_components(links)
     joined = label.join(standing, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -346,5 +358,7 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     """
     key, text = params.get("key", "doc_id"), params.get("text", "text")
     found = near_duplicates(docs, **params)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti")
+    gone = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    # only rows that may be gone are shuffled
+    doubtful, safe = sieve.split(docs, key, sieve.build(gone, key))
+    return safe.unionByName(doubtful.join(gone, key, "left_anti").select(docs.columns))
