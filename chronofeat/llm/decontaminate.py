@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, mix64, pieces, prefix_hash, span_hash, text_buffer, word_spans
+from .common import ALNUM, LOWER, mix64, pieces, prefix_hash, small_batches, span_hash, text_buffer, word_spans
 
 #: Bytes of item texts in one automaton, and so in one broadcast.
 BLOCK_BYTES = 8 << 20
@@ -192,6 +192,7 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 13, key: str = "doc
     hits but is not listed; a repeated id is listed once. An empty table gives an empty result.
     Rows that share a key and a text give equal rows; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {docs.schema['key'].dataType.simpleString()}, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
@@ -241,6 +242,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 13, covera
     spans from the text. With `longest`, a row with a hit span of that many words counts as
     contaminated too, whatever its coverage. Other rows stay as they are, null texts among them.
     """
+    small_batches(docs.sparkSession)
     sc, names, schema = docs.sparkSession.sparkContext, docs.columns, docs.schema
     where = names.index(text)
 

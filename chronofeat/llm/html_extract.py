@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)[^>]*+>?", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?¡¿。，、；：！？]")
@@ -189,6 +191,7 @@ def main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", sourc
     key or url is kept. Repeated rows get equal results; an empty table an empty one. Broken
     markup ends where the page ends. Other columns are not looked at.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(source).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled texts of a language that a dictionary is made of, about; bytes of one text's part and of a dictionary; languages at most.
 SAMPLE_TEXTS, PART_BYTES, DICTIONARY_BYTES, MAX_LANGUAGES = 120, 2048, 112_640, 1000
 #: Compression level of texts of up to SHORT bytes, where each byte counts, and of longer ones.
@@ -81,6 +83,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], *, key: str = "doc_
     `und` is rejected always, and so is a score under `margin`. A null text is `und`; repeated
     rows get equal results; an empty table gives an empty result. Only the text is looked at.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MAX_LANGUAGES * DICTIONARY_BYTES at most
 
@@ -97,6 +100,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], *, key: str = "doc_
 
 def keep_known(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "text", margin: float = 0.0) -> DataFrame:
     """docs, all columns, without the rows that predict() rejects."""
+    small_batches(docs.sparkSession)
     held, where = docs.sparkSession.sparkContext.broadcast(dictionaries), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

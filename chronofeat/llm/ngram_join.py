@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sieve
-from .common import LOWER, NOT_SPACE, materialize, mix64, pieces, prefix_hash, span_hash, text_buffer, word_spans
+from .common import LOWER, NOT_SPACE, materialize, mix64, pieces, prefix_hash, small_batches, span_hash, text_buffer, word_spans
 from .graph import connected_components
 
-#: Bits of a signature, members of a block, ratio of a band's ends.
+#: Least bits of a signature, members of a block, ratio of a band's ends.
 BITS, BLOCK, BAND = 1024, 512, 1.5
 
 
@@ -75,12 +75,20 @@ def set_hash(grams: np.ndarray) -> int:
     return int(mix64(total).view(np.int64)[0])
 
 
-def bitmap(grams: np.ndarray) -> bytes:
-    """BITS bits; each tells whether an odd number of elements hash to it, so that equal elements cancel in a xor."""
-    count = np.bincount((grams & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+def bitmap(grams: np.ndarray, times: int = 4) -> bytes:
+    """A power of two of bits, `times` the elements at least; each tells whether an odd number of elements hash to it, so that equal elements cancel in a xor."""
+    bits = BITS
+    while bits < times * len(grams):
+        bits *= 2
+    count = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap in fewer words: the parities of bits that fall together."""
+    return bits if len(bits) == words else np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
 # ---------------------------------------------------------------- tiles
 
 
@@ -179,8 +187,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(words: int, candidates):
-    """(doc_id, n, node, bits, grams) of each row; bits and grams only for sets that a filter may hold, once a task or a little oftener."""
-    names, kinds = ["doc_id", "n", "node", "bits", "grams"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    """(doc_id, n, node, brief, bits, grams) of each row; bitmaps and grams only for sets that a filter may hold, once a task or a little oftener."""
+    names, kinds = ["doc_id", "n", "node", "brief", "bits", "grams"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
@@ -197,7 +205,7 @@ def _sets(words: int, candidates):
                     given.update(x for x, w in zip(node, wanted, strict=True) if w)
                     if len(given) > 1_000_000:
                         given.clear()
-                    columns = [n, node, [bitmap(g) if w else None for g, w in zip(sets, wanted, strict=True)], [g.tobytes() if w else None for g, w in zip(sets, wanted, strict=True)]]
+                    columns = [n, node, *([bitmap(g, k) if w else None for g, w in zip(sets, wanted, strict=True)] for k in (1, 4)), [g.tobytes() if w else None for g, w in zip(sets, wanted, strict=True)]]
                     yield pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), *(pa.array(list(x), k) for x, k in zip(columns, kinds[1:], strict=True))], names)
                     rows, at, held = [], i + 1, 0
 
@@ -247,9 +255,12 @@ def _bounded(num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(batch.column(f"bits_{x}").to_pylist()), np.uint64).reshape(batch.num_rows, -1) for x in "ab"]
             sizes = [batch.column(f"n_{x}").to_numpy() for x in "ab"]
-            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            differ = np.empty(batch.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(batch.column("bits_a"), batch.column("bits_b"), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                words = min(len(x), len(y))
+                differ[k] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()
             mask = pa.array(may_link(*sizes, differ, num, den))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -276,10 +287,13 @@ def _tile_pairs(num: int, den: int):
 
     def pairs_of(table: pa.Table) -> pa.RecordBatch:
         key, i, j, own, node, n, component = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "n", "component"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(key), BITS // 64)
+        bits = [np.frombuffer(x, np.uint64) for x in table.column("brief").to_pylist()]
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         ends = [0, *cuts.tolist(), len(key)]
-        found = [tile_pairs(own[s:e], node[s:e], n[s:e], bits[s:e], component[s:e], num, den) for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        found = []
+        for s, e in zip(ends[:-1], ends[1:], strict=True):
+            words = min(map(len, bits[s:e]))
+            found.append(tile_pairs(own[s:e], node[s:e], n[s:e], np.stack([folded(x, words) for x in bits[s:e]]), component[s:e], num, den))
         a, b = np.concatenate(found, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -313,13 +327,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     Rows that share a key are one node. A null key keeps its row; such rows don't join others.
     An empty table gives an empty result. Other columns of docs are not looked at.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = docs.where("doc_id is not null").select("text").mapInArrow(_tiles(words, num, den, "text"), "key long, node long")
     members = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_members, "key long, node long, center long")
     members = materialize(members, "members")
     candidates = sieve.build(members.select("node").union(members.select("center")).distinct(), "node")
-    every = materialize(docs.mapInArrow(_sets(words, candidates), "doc_id long, n long, node long, bits binary, grams binary"), "sets")
-    sets = every.where("grams is not null").select("node", "n", "bits", "grams")
+    every = materialize(docs.mapInArrow(_sets(words, candidates), "doc_id long, n long, node long, brief binary, bits binary, grams binary"), "sets")
+    sets = every.where("grams is not null").select("node", "n", "brief", "bits", "grams")
     standing = every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     # first each set against one centre, then against its tiles' other centres that lie apart from it
     met = members.groupBy("node").agg(F.min("center").alias("center")).select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
@@ -337,10 +352,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     apart = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "size")
     placed = placed.join(apart, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     # a centre has met all that lay apart from it, so a pair alone is settled
-    placed = placed.where("size > 2").join(sets.select("node", "n", "bits").dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.hash("node"), "blocks"))
+    placed = placed.where("size > 2").join(sets.select("node", "n", "brief").dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.hash("node"), "blocks"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("block") == F.col("i"), 0).otherwise(1)
-    tiles = tiles.select("key", "i", "j", side.alias("side"), "node", "n", "bits", "component").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    tiles = tiles.select("key", "i", "j", side.alias("side"), "node", "n", "brief", "component").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
     links = links.union(verify(more, sets, num, den))
     # nodes are sets; their documents take the smallest key of all sets that they reach

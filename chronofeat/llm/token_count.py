@@ -19,6 +19,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed value: the pre-token pattern that belongs to the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where the vocabulary lies, and characters of a leaf, about.
@@ -123,6 +125,7 @@ def count_edited(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ed
     empty array edits nothing. n_recoded counts the characters that edits made encode again.
     Repeated rows get equal results; an empty table an empty one. Other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under 1 MB
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(edits).alias("edits"))

@@ -113,8 +113,10 @@ def test_similar_sets_share_a_tile():
             b = np.unique(np.concatenate((a[drop:], rng.integers(1, 1 << 63, most - drop, dtype=np.uint64))))
             if ngram_join.enough(a, b, num, 100):
                 assert set(ngram_join.tile_keys(a, num, 100).tolist()) & set(ngram_join.tile_keys(b, num, 100).tolist())
-                bits = [np.frombuffer(ngram_join.bitmap(x), np.uint64) for x in (a, b)]
-                assert ngram_join.may_link(len(a), len(b), int(np.bitwise_count(bits[0] ^ bits[1]).sum()), num, 100)
+                for times in (1, 4):
+                    bits = [np.frombuffer(ngram_join.bitmap(x, times), np.uint64) for x in (a, b)]
+                    bits = [ngram_join.folded(x, min(map(len, bits))) for x in bits]
+                    assert ngram_join.may_link(len(a), len(b), int(np.bitwise_count(bits[0] ^ bits[1]).sum()), num, 100)
 
 
 def test_components(spark):
