@@ -33,8 +33,8 @@ from . import sieve
 from .common import LOWER, NOT_SPACE, materialize, mix64, pieces, prefix_hash, small_batches, span_hash, text_buffer, word_spans
 from .graph import connected_components
 
-#: Least bits of a signature, members of a block, ratio of a band's ends.
-BITS, BLOCK, BAND = 1024, 512, 1.5
+#: Least bits of a signature, members of a block, components up to which a tile is cut by their pairs, ratio of a band's ends.
+BITS, BLOCK, FEW, BAND = 1024, 512, 4, 1.5
 
 
 # ---------------------------------------------------------------- sets
@@ -187,8 +187,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(words: int, candidates):
-    """(doc_id, n, node, brief, bits, grams) of each row; bitmaps and grams only for sets that a filter may hold, once a task or a little oftener."""
-    names, kinds = ["doc_id", "n", "node", "brief", "bits", "grams"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    """(doc_id, n, node, bits, grams) of each row; bitmaps and grams only for sets that a filter may hold, once a task or a little oftener."""
+    names, kinds = ["doc_id", "n", "node", "bits", "grams"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
@@ -205,7 +205,7 @@ def _sets(words: int, candidates):
                     given.update(x for x, w in zip(node, wanted, strict=True) if w)
                     if len(given) > 1_000_000:
                         given.clear()
-                    columns = [n, node, *([bitmap(g, k) if w else None for g, w in zip(sets, wanted, strict=True)] for k in (1, 4)), [g.tobytes() if w else None for g, w in zip(sets, wanted, strict=True)]]
+                    columns = [n, node, [bitmap(g) if w else None for g, w in zip(sets, wanted, strict=True)], [g.tobytes() if w else None for g, w in zip(sets, wanted, strict=True)]]
                     yield pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), *(pa.array(list(x), k) for x, k in zip(columns, kinds[1:], strict=True))], names)
                     rows, at, held = [], i + 1, 0
 
@@ -282,14 +282,20 @@ def tile_pairs(own: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarra
     return np.sort(np.concatenate(found, axis=1), axis=0) if found else np.zeros((2, 0), np.int64)
 
 
+def _unit(table: pa.Table) -> np.ndarray:
+    """The columns that name a unit; its y may be null."""
+    return np.stack([table.column("x").to_numpy(), table.column("y").fill_null(0).to_numpy(), table.column("y").is_null().to_numpy(), table.column("i").to_numpy(), table.column("j").to_numpy()]).astype(np.int64)
+
+
 def _tile_pairs(num: int, den: int):
-    """Of rows sorted by tile (key, i, j), at most two blocks of members each: the pairs of tile_pairs()."""
+    """Of rows sorted by unit (x, y, i, j), at most two blocks of members each: the pairs of tile_pairs()."""
 
     def pairs_of(table: pa.Table) -> pa.RecordBatch:
-        key, i, j, own, node, n, component = (table.column(c).to_numpy() for c in ("key", "i", "j", "side", "node", "n", "component"))
-        bits = [np.frombuffer(x, np.uint64) for x in table.column("brief").to_pylist()]
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        ends = [0, *cuts.tolist(), len(key)]
+        own, node, n, component = (table.column(c).to_numpy() for c in ("side", "node", "n", "component"))
+        bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+        unit = _unit(table)
+        cuts = np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1
+        ends = [0, *cuts.tolist(), len(node)]
         found = []
         for s, e in zip(ends[:-1], ends[1:], strict=True):
             words = min(map(len, bits[s:e]))
@@ -305,8 +311,8 @@ def _tile_pairs(num: int, den: int):
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
             # the last tile may go on in the next batch
-            tile = [held.column(c).to_numpy() for c in ("key", "i", "j")]
-            other = np.flatnonzero((tile[0] != tile[0][-1]) | (tile[1] != tile[1][-1]) | (tile[2] != tile[2][-1]))
+            unit = _unit(held)
+            other = np.flatnonzero((unit != unit[:, -1:]).any(axis=0))
             if len(other):
                 yield pairs_of(held.slice(0, int(other[-1]) + 1))
                 held = held.slice(int(other[-1]) + 1)
@@ -316,6 +322,29 @@ def _tile_pairs(num: int, den: int):
     return run
 
 
+def _apart(placed: DataFrame) -> DataFrame:
+    """Rows (x, y, i, j, side, node, component) of what still has to be compared, from tile members (key, node, component).
+
+    A tile of few components becomes a unit for each pair of them, (x, y), in which the members that
+    share any tile meet once, however many tiles they share. A tile of more components, (key, null),
+    stays whole. Units are cut into blocks; only blocks that can hold pairs to compare are paired.
+    """
+    groups = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    apart = groups.groupBy("key").agg(F.count("*").alias("groups"), F.sum("size").alias("size")).where("groups > 1 AND size > 2")
+    few = placed.join(apart.where(F.col("groups") <= FEW).select("key"), "key").join(groups.select("key", F.col("component").alias("other")), "key").where("component <> other")
+    few = few.select(F.least("component", "other").alias("x"), F.greatest("component", "other").alias("y"), "node", "component").distinct().withColumn("side", (F.col("component") == F.col("y")).cast("int"))
+    few = materialize(few, "few")
+    blocks = few.groupBy("x", "y").agg(*[F.ceil(F.sum(F.when(F.col("side") == s, 1).otherwise(0)) / BLOCK).cast("int").alias(f"blocks_{s}") for s in (0, 1)])
+    few = few.join(blocks, ["x", "y"]).withColumn("own", F.pmod(F.hash("node"), F.when(F.col("side") == 0, F.col("blocks_0")).otherwise(F.col("blocks_1"))))
+    few = few.withColumn("across", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("blocks_1")).otherwise(F.col("blocks_0")) - 1)))
+    i, j = (F.when(F.col("side") == s, F.col("own")).otherwise(F.col("across")) for s in (0, 1))
+    few = few.select("x", "y", i.alias("i"), j.alias("j"), "side", "node", "component")
+    many = placed.join(apart.where(F.col("groups") > FEW).select("key", "size"), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("node"), "blocks"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("block") == F.col("i"), 0).otherwise(1)
+    return few.union(many.select(F.col("key").alias("x"), F.lit(None).cast("long").alias("y"), "i", "j", side.alias("side"), "node", "component"))
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -333,8 +362,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     members = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_members, "key long, node long, center long")
     members = materialize(members, "members")
     candidates = sieve.build(members.select("node").union(members.select("center")).distinct(), "node")
-    every = materialize(docs.mapInArrow(_sets(words, candidates), "doc_id long, n long, node long, brief binary, bits binary, grams binary"), "sets")
-    sets = every.where("grams is not null").select("node", "n", "brief", "bits", "grams")
+    every = materialize(docs.mapInArrow(_sets(words, candidates), "doc_id long, n long, node long, bits binary, grams binary"), "sets")
+    sets = every.where("grams is not null").select("node", "n", "bits", "grams")
     standing = every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     # first each set against one centre, then against its tiles' other centres that lie apart from it
     met = members.groupBy("node").agg(F.min("center").alias("center")).select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
@@ -349,13 +378,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     label = materialize(connected_components(links), "labels")
     placed = members.select("key", "node").union(members.select("key", F.col("center").alias("node")).distinct())
     placed = placed.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    apart = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key", "size")
-    placed = placed.join(apart, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    # a centre has met all that lay apart from it, so a pair alone is settled
-    placed = placed.where("size > 2").join(sets.select("node", "n", "brief").dropDuplicates(["node"]), "node").withColumn("block", F.pmod(F.hash("node"), "blocks"))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("block") == F.col("i"), 0).otherwise(1)
-    tiles = tiles.select("key", "i", "j", side.alias("side"), "node", "n", "brief", "component").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    tiles = materialize(_apart(placed), "tiles").join(sets.select("node", "n", "bits").dropDuplicates(["node"]), "node")
+    tiles = tiles.repartition("x", "y", "i", "j").sortWithinPartitions("x", "y", "i", "j")
     more = tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
     links = links.union(verify(more, sets, num, den))
     # nodes are sets; their documents take the smallest key of all sets that they reach
