@@ -1,20 +1,551 @@
-"""Registered queries of the feature operators and their SQL."""
+"""Registered queries of the feature operators: name, Spark query, DuckDB SQL over the same derived views."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import bindings
+from ..functions import dates, geo, text, tiles
+from ..operators import evidence, filters, link, reports, resolve, spatial
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (views, spark) under its name; views(name) is a derived view, views.table(name) a given table."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Views(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = bindings.with_views(sql)
+        return f
+
+    return add
+
+
+class Views:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return bindings.view(self.spark, self.sf_dir, name)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+FEATURE = ("ord", "fid", "src", "sd", "ed", "ev")
+
+# ---------------------------------------------------------------- C: filters
+
+
+@query("SELECT ord, fid, src, sd, ed, ev FROM base_features WHERE (sd IS NULL OR sd <= 1900) AND (ed IS NULL OR ed >= 1900)")
+def c1_as_of(v):
+    return filters.as_of(v("base_features"), 1900).select(*FEATURE)
+
+
+@query("SELECT src, count(*) AS n FROM base_features WHERE coalesce(sd, 1960) <= 1960 AND (ed IS NULL OR ed >= 1960) GROUP BY src")
+def c2_buildings_as_of(v):
+    return filters.buildings_as_of(v("base_features"), 1960).groupBy("src").agg(F.count("*").alias("n"))
+
+
+@query("SELECT did, src, sd FROM date_features WHERE src IN ('manual', 'finn')")
+def c3_filter_sources(v):
+    return filters.filter_sources(v("date_features"), ["manual", "finn"]).select("did", "src", "sd")
+
+
+@query("SELECT id, rt, ml_src FROM roads WHERE ml_src IS NULL OR ml_src = 'kv1880'")
+def c4_filter_ml_sources(v):
+    return filters.filter_ml_sources(v("roads"), ["kv1880"]).select("id", "rt", "ml_src")
+
+
+@query("SELECT id, src, ml_src, sd FROM roads WHERE (src = 'nvdb' AND coalesce(sd, 1960) <= 1970 AND (ed IS NULL OR ed >= 1970)) OR (src = 'ml' AND ml_src = 'kv1904')")
+def c5_filter_dual(v):
+    return filters.filter_dual(v("roads"), 1970, ["nvdb"], ["kv1904"]).select("id", "src", "ml_src", "sd")
+
+
+@query("SELECT id, src, ml_src FROM roads WHERE src = 'nvdb' OR (src = 'ml' AND ml_src IN ('kv1880', 'kv1928'))")
+def c6_filter_road_sources(v):
+    return filters.filter_road_sources(v("roads"), ["nvdb", "ml"], ["kv1880", "kv1928"]).select("id", "src", "ml_src")
+
+
+@query("SELECT id, rt FROM roads WHERE rt IN ('primary', 'historical')")
+def c7_filter_road_types(v):
+    return filters.filter_types(v("roads"), ["primary", "historical"]).select("id", "rt")
+
+
+@query("SELECT ord, sd FROM base_features WHERE sd IS NULL OR sd BETWEEN 1850 AND 1920")
+def c8_filter_sd_range(v):
+    return filters.filter_sd_range(v("base_features"), 1850, 1920).select("ord", "sd")
+
+
+@query("SELECT id, sd, ed FROM roads WHERE coalesce(sd, 2000) <= 1950 AND (ed IS NULL OR ed > 1950)")
+def c9_roads_as_of(v):
+    return filters.roads_as_of(v("roads"), 1950).select("id", "sd", "ed")
+
+
+@query("SELECT ord, sd, ev FROM base_features WHERE sd IS NULL OR ev IN ('h', 'm')")
+def c10_era_gate(v):
+    return filters.era_gate(v("base_features"), 1920).select("ord", "sd", "ev")
+
+
+@query("SELECT id, src, confidence FROM detections WHERE src = 'ml_aerial_1947'")
+def c11_inspect_source(v):
+    return filters.filter_sources(v("detections"), ["ml_aerial_1947"]).select("id", "src", "confidence")
+
+
+@query("SELECT id, x, y FROM registry_points WHERE x BETWEEN 10000 AND 20000 AND y BETWEEN 2000 AND 9000")
+def c12_in_bbox(v):
+    return filters.in_bbox(v("registry_points"), 10_000, 2000, 20_000, 9000).select("id", "x", "y")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE lower(concat_ws(' ', p_name, p_type)) LIKE '%steel%' OR lower(concat_ws(' ', p_name, p_type)) LIKE '%red%'")
+def c14_filter_keywords(v):
+    return filters.filter_keywords(v.table("part"), ["p_name", "p_type"], ["Steel", "red"]).select("p_partkey", "p_name")
+
+
+@query("SELECT ord, sd, ed FROM base_features WHERE coalesce(sd <= ed, true) AND coalesce(sd <= 1985, true) AND coalesce(ed <= 1995, true)")
+def c17_valid_temporal(v):
+    return filters.valid_temporal(v("base_features"), 1985).select("ord", "sd", "ed")
+
+
+@query("SELECT ord, ev FROM base_features WHERE ev IN ('h', 'm')")
+def c18_meets_evidence(v):
+    return filters.filter_evidence(v("base_features"), "m").select("ord", "ev")
+
+
+@query("SELECT id, src, (x1 - x0) * (y1 - y0) AS size FROM detections WHERE (x1 - x0) * (y1 - y0) >= CASE src WHEN 'ml_kartverket_1880' THEN 5000 WHEN 'ml_aerial_1947' THEN 4000 ELSE 0 END")
+def c20_filter_min_size(v):
+    df = v("detections").withColumn("size", spatial.box_area(F.col("box")))
+    return filters.filter_min_size(df, {"ml_kartverket_1880": 5000.0, "ml_aerial_1947": 4000.0}, cls="src").select("id", "src", "size")
+
+
+# ---------------------------------------------------------------- D: linkage
+
+OVERLAP = """greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"""
+SMALLER = "least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))"
+TOUCH = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
+
+
+@query("SELECT d.did, b.ord, CAST(1 AS DOUBLE) AS score FROM date_features d JOIN base_features b ON d.osm_ref = b.fid")
+def d1_link_by_ref(v):
+    return link.link_by_ref(v("base_features"), v("date_features"))
+
+
+@query(f"SELECT a.did, b.ord, round({OVERLAP} / {SMALLER}, 9) AS score FROM date_features a JOIN base_features b ON {TOUCH} WHERE 2 * {OVERLAP} >= {SMALLER}")
+def d2_link_by_overlap(v):
+    pairs = link.link_by_overlap(v("date_features"), v("base_features"))
+    return pairs.select("a.did", "b.ord", F.round("score", 9).alias("score"))
+
+
+@query("SELECT p.id, b.ord FROM registry_points p JOIN base_features b ON p.x > b.x0 AND p.x < b.x1 AND p.y > b.y0 AND p.y < b.y1")
+def d3_link_points(v):
+    points = v("registry_points").withColumn("box", spatial.at_point(F.col("x"), F.col("y")))
+    return link.link_points(points, v("base_features")).select("a.id", "b.ord")
+
+
+ATTACH = f"""SELECT did, min(ord) AS ord FROM (SELECT d.did, b.ord FROM date_features d JOIN base_features b ON d.osm_ref = b.fid
+    UNION ALL SELECT a.did, b.ord FROM date_features a JOIN base_features b ON {TOUCH} WHERE 2 * {OVERLAP} >= {SMALLER}) GROUP BY did"""
+
+
+@query(ATTACH)
+def d4_attach_dates(v):
+    return link.attach_dates(v("base_features"), v("date_features"))
+
+
+def _holds(a: str, b: str) -> str:
+    return f"({b}.x0 + {b}.x1 > 2 * {a}.x0 AND {b}.x0 + {b}.x1 < 2 * {a}.x1 AND {b}.y0 + {b}.y1 > 2 * {a}.y0 AND {b}.y0 + {b}.y1 < 2 * {a}.y1)"
+
+
+@query(f"SELECT a.id, b.ord FROM detections a JOIN base_features b ON {TOUCH} WHERE {_holds('a', 'b')} OR {_holds('b', 'a')}")
+def d5_link_by_centroid(v):
+    return link.link_by_centroid(v("detections"), v("base_features")).select("a.id", "b.ord")
+
+
+REPLACED = f"""WITH pairs AS (SELECT a.ord AS id, a.sd, b.ord AS other, b.sd AS new_sd, b.ev AS new_ev, {OVERLAP} / {SMALLER} AS score,
+        ({_holds('a', 'b')} OR {_holds('b', 'a')}) AS held FROM base_features a JOIN base_features b ON {TOUCH} WHERE a.ord <> b.ord AND a.sd IS NOT NULL AND (b.sd IS NULL OR b.sd > a.sd)),
+    ok AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN score >= 0.5 THEN -score ELSE 1 END, other) AS n FROM pairs
+        WHERE (score >= 0.5 OR held) AND CASE new_ev WHEN 'h' THEN 3 WHEN 'm' THEN 2 ELSE 1 END >= CASE WHEN sd < 1900 THEN 3 WHEN sd < 1950 THEN 2 ELSE 1 END)
+    SELECT f.ord AS id, f.sd, ok.other AS repl_by, ok.new_ev AS rep_ev,
+        CAST(CASE WHEN f.ed IS NULL AND ok.other IS NOT NULL THEN CASE WHEN ok.new_sd IS NOT NULL THEN ok.new_sd WHEN f.sd < 1950 THEN 1950 END ELSE f.ed END AS INT) AS ed
+    FROM base_features f LEFT JOIN ok ON f.ord = ok.id AND ok.n = 1"""
+
+
+def _base_boxes(v) -> DataFrame:
+    return v("base_features").select(F.col("ord").alias("id"), "box", "sd", "ed", "ev", "src")
+
+
+@query(REPLACED)
+def d6_detect_replacements(v):
+    return resolve.detect_replacements(_base_boxes(v)).select("id", "sd", "repl_by", "rep_ev", "ed")
+
+
+@query(f"""WITH pairs AS (SELECT a.id, b.ord AS other, {OVERLAP} / {SMALLER} AS overlap, sqrt(pow((a.x0 + a.x1 - b.x0 - b.x1) / 2.0, 2) + pow((a.y0 + a.y1 - b.y0 - b.y1) / 2.0, 2)) AS distance
+        FROM detections a JOIN base_features b ON a.x0 <= b.x1 + 30 AND b.x0 - 30 <= a.x1 AND a.y0 <= b.y1 + 30 AND b.y0 - 30 <= a.y1)
+    SELECT id, other, round(overlap, 9) AS overlap, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN overlap >= 0.1 THEN -overlap ELSE 1 END, CASE WHEN overlap >= 0.1 THEN 0 ELSE distance END, other) AS n
+        FROM pairs WHERE overlap >= 0.1 OR distance < 30) WHERE n = 1""")
+def d7_best_match(v):
+    found = link.best_match(v("detections"), v("base_features").withColumnRenamed("ord", "id"))
+    return found.select("id", "other", F.round("overlap", 9).alias("overlap"), F.round("distance", 6).alias("distance"))
+
+
+def _points(v, table: str, key: str) -> DataFrame:
+    return v.table(table).select(F.col(key).alias("id"), ((F.col(key) * 5003) % 40_000).alias("x"), ((F.col(key) * 7001) % 15_000).alias("y"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, (s_suppkey * 5003) % 40000 AS x, (s_suppkey * 7001) % 15000 AS y FROM supplier),
+    p AS (SELECT r.id, s.id AS other, sqrt(pow(CAST(r.x - s.x AS DOUBLE), 2) + pow(CAST(r.y - s.y AS DOUBLE), 2)) AS distance FROM registry_points r JOIN s ON abs(r.x - s.x) <= 900 AND abs(r.y - s.y) <= 900)
+    SELECT r.id, m.other, round(m.distance, 6) AS distance FROM registry_points r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS n FROM p WHERE distance <= 900) m ON r.id = m.id AND m.n = 1""")
+def d8_nearest_within(v):
+    found = spatial.nearest_within(v("registry_points").select("id", "x", "y"), _points(v, "supplier", "s_suppkey"), 900.0)
+    return found.select("a.id", F.col("b.id").alias("other"), F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT b.ord, b.src FROM base_features b WHERE NOT EXISTS (SELECT 1 FROM detections d WHERE least(d.x1, b.x1) > greatest(d.x0, b.x0) AND least(d.y1, b.y1) > greatest(d.y0, b.y0))")
+def d11_unmatched(v):
+    pairs = link.link_by_overlap(v("base_features"), v("detections"), 1e-9).select(F.col("a.ord").alias("ord")).distinct()
+    return link.unmatched(v("base_features"), pairs, "ord").select("ord", "src")
+
+
+@query("""SELECT r.id AS road, count(*) AS buildings, min(p.sd) AS first_year FROM roads r JOIN registry_points p ON p.x BETWEEN r.x0 - 400 AND r.x1 + 400 AND p.y BETWEEN r.y0 - 400 AND r.y1 + 400
+    WHERE (CASE WHEN (r.x1 - r.x0) = 0 AND (r.y1 - r.y0) = 0 THEN sqrt(pow(CAST(p.x - r.x0 AS DOUBLE), 2) + pow(CAST(p.y - r.y0 AS DOUBLE), 2)) ELSE
+      sqrt(pow((p.x - r.x0) - least(greatest(((p.x - r.x0) * (r.x1 - r.x0) + (p.y - r.y0) * (r.y1 - r.y0)) / CAST((r.x1 - r.x0) * (r.x1 - r.x0) + (r.y1 - r.y0) * (r.y1 - r.y0) AS DOUBLE), 0.0), 1.0) * (r.x1 - r.x0), 2)
+         + pow((p.y - r.y0) - least(greatest(((p.x - r.x0) * (r.x1 - r.x0) + (p.y - r.y0) * (r.y1 - r.y0)) / CAST((r.x1 - r.x0) * (r.x1 - r.x0) + (r.y1 - r.y0) * (r.y1 - r.y0) AS DOUBLE), 0.0), 1.0) * (r.y1 - r.y0), 2)) END) <= 400
+    GROUP BY r.id""")
+def d15_buildings_near_roads(v):
+    from ..operators import roads
+
+    return roads.buildings_near_roads(v("roads"), v("registry_points"), 400.0, cell=400.0).groupBy("road").agg(F.count("*").alias("buildings"), F.min("year").alias("first_year"))
+
+
+@query(f"SELECT a.did AS a, b.did AS b FROM date_features a JOIN date_features b ON {TOUCH} AND a.did < b.did WHERE {OVERLAP} >= 0.3 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {OVERLAP})")
+def d17_duplicate_pairs(v):
+    return link.duplicate_pairs(v("date_features").withColumnRenamed("did", "id"), 0.3)
+
+
+@query("SELECT e.building_id, e.seq, e.evidence_type, s.source_name, s.priority FROM evidence e JOIN evidence_sources s ON e.source_id = s.source_id")
+def d18_evidence_with_priority(v):
+    return v("evidence").join(v("evidence_sources"), "source_id").select("building_id", "seq", "evidence_type", "source_name", "priority")
+
+
+# ---------------------------------------------------------------- E: reports
+
+
+@query("""SELECT count(*) AS total, count(sd) AS dated, sum(CASE WHEN ed < sd THEN 1 ELSE 0 END) AS end_before_start, sum(CASE WHEN sd > 1999 THEN 1 ELSE 0 END) AS future_start, sum(CASE WHEN sd < 1600 THEN 1 ELSE 0 END) AS very_old,
+    sum(CASE WHEN ev = 'h' THEN 1 ELSE 0 END) AS ev_h, sum(CASE WHEN ev = 'm' THEN 1 ELSE 0 END) AS ev_m, sum(CASE WHEN ev = 'l' THEN 1 ELSE 0 END) AS ev_l, 0 AS multi_source, count(*) AS single_source,
+    0 AS replaced_pre_1900, 0 AS replaced_1900_1950, 0 AS replaced_post_1950, round(avg(CASE WHEN ed >= sd THEN ed - sd END), 1) AS mean_lifespan,
+    sum(CASE WHEN (x1 - x0) * (y1 - y0) < 5 THEN 1 ELSE 0 END) AS tiny, sum(CASE WHEN (x1 - x0) * (y1 - y0) > 50000 THEN 1 ELSE 0 END) AS huge FROM base_features""")
+def e1_quality_report(v):
+    return reports.quality_report(v("base_features"), 1999, spatial.box_area(F.col("box")))
+
+
+@query("""SELECT rt, count(*) AS n, count(sd) AS dated, round(sum(x1 - x0) / 1000.0, 2) AS km, sum(CASE WHEN ev = 'h' THEN 1 ELSE 0 END) AS ev_h, sum(CASE WHEN ev = 'm' THEN 1 ELSE 0 END) AS ev_m,
+    sum(CASE WHEN ev = 'l' THEN 1 ELSE 0 END) AS ev_l FROM roads GROUP BY rt""")
+def e2_road_quality_report(v):
+    return reports.road_quality_report(v("roads").withColumn("len", F.col("x1") - F.col("x0")))
+
+
+@query("SELECT coalesce(CASE WHEN sd < 1900 THEN 'pre_1900' WHEN sd < 1950 THEN '1900_1950' WHEN sd IS NOT NULL THEN 'post_1950' END, 'undated') AS era, count(*) AS n FROM base_features GROUP BY 1")
+def e5_count_by_era(v):
+    return reports.count_by_era(v("base_features"))
+
+
+@query("SELECT src, ev, count(*) AS n, count(sd) AS dated FROM date_features GROUP BY src, ev")
+def e30_count_by(v):
+    return reports.count_by(v("date_features"), "src", "ev")
+
+
+@query("SELECT bin, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM (SELECT CAST(least(floor(confidence * 5), 4) AS INT) AS bin FROM evidence) GROUP BY bin")
+def e17_confidence_histogram(v):
+    return reports.confidence_histogram(v("evidence"))
+
+
+@query("SELECT CAST(floor(sd / 10) * 10 AS INT) AS decade, count(*) AS n FROM base_features WHERE sd IS NOT NULL GROUP BY 1")
+def e18_count_by_decade(v):
+    return reports.count_by_decade(v("base_features"))
+
+
+@query("SELECT kind, count(*) AS n, min(sd) AS first_year, max(sd) AS last_year FROM registry_points GROUP BY kind")
+def e12_stats_by_group(v):
+    return reports.stats_by_group(v("registry_points"), "kind")
+
+
+@query("SELECT src, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM detections WHERE src = 'ml_kartverket_1880' GROUP BY src")
+def e20_inspect_stats(v):
+    return reports.inspect_stats(v("detections"), "ml_kartverket_1880")
+
+
+@query("SELECT truth, pred, count(*) AS n FROM class_pairs GROUP BY truth, pred")
+def e22_confusion_matrix(v):
+    return reports.confusion_matrix(v("class_pairs"), "truth", "pred")
+
+
+@query("""SELECT c.cls, CAST(sum(CASE WHEN truth = c.cls AND pred = c.cls THEN 1 ELSE 0 END) AS BIGINT) AS shared, CAST(sum(CASE WHEN truth = c.cls OR pred = c.cls THEN 1 ELSE 0 END) AS BIGINT) AS "union",
+    round(sum(CASE WHEN truth = c.cls AND pred = c.cls THEN 1 ELSE 0 END) / sum(CASE WHEN truth = c.cls OR pred = c.cls THEN 1 ELSE 0 END), 9) AS iou
+    FROM class_pairs, (SELECT DISTINCT truth AS cls FROM class_pairs) c GROUP BY c.cls""")
+def e23_iou_per_class(v):
+    return reports.iou_per_class(v("class_pairs"), "truth", "pred")
+
+
+@query("SELECT truth, n, round(100.0 * n / sum(n) OVER (), 1) AS pct FROM (SELECT truth, count(*) AS n FROM class_pairs GROUP BY truth)")
+def e24_class_distribution(v):
+    return reports.distribution(v("class_pairs"), "truth")
+
+
+@query("SELECT truth, n, round(r / avg(r) OVER (), 9) AS weight FROM (SELECT truth, n, sum(n) OVER () / n AS r FROM (SELECT truth, count(*) AS n FROM class_pairs GROUP BY truth))")
+def e25_class_weights(v):
+    return reports.class_weights(v("class_pairs"), "truth")
+
+
+@query("""SELECT mapper, count(*) AS done, round(avg(gap), 3) AS mean_gap_s, 1000000 - count(*) AS "left" FROM (SELECT user_id AS mapper, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS gap FROM events WHERE event_type = 'click') GROUP BY mapper""")
+def e26_annotation_progress(v):
+    done = v.table("events").where("event_type = 'click'").select(F.col("user_id").alias("mapper"), F.col("ts").alias("at"), F.col("event_id").alias("tile"))
+    return reports.annotation_progress(done, 1_000_000)
+
+
+@query("""SELECT map_id, rms, points, CASE WHEN rms < 5 THEN 'excellent' WHEN rms < 15 THEN 'good' WHEN rms < 30 THEN 'fair' ELSE 'poor' END AS quality FROM
+    (SELECT l_suppkey AS map_id, round(sqrt(avg(pow(l_quantity, 2) + pow(l_discount * 100, 2))), 6) AS rms, count(*) AS points FROM lineitem GROUP BY l_suppkey)""")
+def e27_gcp_rms(v):
+    return reports.gcp_rms(v.table("lineitem").select(F.col("l_suppkey").alias("map_id"), F.col("l_quantity").alias("dx"), (F.col("l_discount") * 100).alias("dy")))
+
+
+# ---------------------------------------------------------------- F: resolution over time
+
+CATALOG = {"manual": 0, "finn": 1, "sefrak": 2, "matrikkelen": 4, "osm": 6}
+PRIORITY = "CASE src WHEN 'manual' THEN 0 WHEN 'finn' THEN 1 WHEN 'sefrak' THEN 2 WHEN 'matrikkelen' THEN 4 WHEN 'osm' THEN 6 ELSE 999 END"
+
+
+@query(f"""WITH links AS ({ATTACH}), recs AS (SELECT l.ord, d.src, d.did AS src_id, d.sd, d.ev FROM links l JOIN date_features d ON l.did = d.did UNION ALL SELECT ord, src, ord, sd, ev FROM base_features),
+    firsts AS (SELECT ord, sd, src, row_number() OVER (PARTITION BY ord ORDER BY {PRIORITY}, src, src_id, sd) AS n FROM recs WHERE sd IS NOT NULL)
+    SELECT r.ord, f.sd, f.src AS sd_src, r.ev, r.sources FROM (SELECT ord, CASE max(CASE ev WHEN 'h' THEN 3 WHEN 'm' THEN 2 ELSE 1 END) WHEN 3 THEN 'h' WHEN 2 THEN 'm' ELSE 'l' END AS ev, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM recs GROUP BY ord) r
+    LEFT JOIN firsts f ON r.ord = f.ord AND f.n = 1""")
+def f3_resolve_attributes(v):
+    base, found = v("base_features"), v("date_features")
+    linked = link.attach_dates(base, found).join(found, "did").select("ord", "src", F.col("did").alias("src_id"), "sd", "ev")
+    catalog = v.spark.createDataFrame(list(CATALOG.items()), "src string, date_priority int")
+    out = resolve.resolve_attributes(linked.union(base.select("ord", "src", F.col("ord").alias("src_id"), "sd", "ev")), catalog)
+    return out.select("ord", "sd", "sd_src", "ev", F.array_join("src_all", ",").alias("sources"))
+
+
+@query("""WITH asked AS (SELECT o_orderkey AS id, (o_orderkey * 7919) % 40000 AS x, (o_orderkey * 104729) % 15000 AS y FROM orders WHERE o_orderkey % 50 = 0),
+    donors AS (SELECT id, x, y, sd FROM registry_points WHERE ev IN ('h', 'm') AND sd_src <> 'sefrak'),
+    near AS (SELECT a.id, d.sd, sqrt(pow(CAST(a.x - d.x AS DOUBLE), 2) + pow(CAST(a.y - d.y AS DOUBLE), 2)) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(CAST(a.x - d.x AS DOUBLE), 2) + pow(CAST(a.y - d.y AS DOUBLE), 2)), d.id) AS n FROM asked a, donors d)
+    SELECT id, CAST(trunc(median(sd)) AS INT) AS sd, 'median' AS sd_method, count(*) AS sd_donors FROM near WHERE n <= 3 GROUP BY id""")
+def f1_inherit_dates(v):
+    key = F.col("o_orderkey")
+    asked = v.table("orders").where(key % 50 == 0).select((-1 - key).alias("id"), ((key * 7919) % 40_000).alias("x"), ((key * 104_729) % 15_000).alias("y"), F.lit(None).cast("int").alias("sd"), F.lit("osm").alias("sd_src"), F.lit("l").alias("ev"))
+    rows = asked.union(v("registry_points").select("id", "x", "y", "sd", "sd_src", "ev"))
+    out = resolve.inherit_dates(rows, scale=(1.0, 1.0), cell=500.0)
+    return out.where("id < 0").select((-1 - F.col("id")).alias("id"), "sd", "sd_method", "sd_donors")
+
+
+@query("""WITH years AS (SELECT CAST(range AS INT) AS year FROM range(1850, 2011)) SELECT s.src, y.year, CAST((SELECT count(*) FROM base_features b WHERE b.src = s.src AND coalesce(b.sd, 1960) <= y.year AND (b.ed IS NULL OR b.ed >= y.year)) AS BIGINT) AS n
+    FROM (SELECT DISTINCT src FROM base_features) s, years y""")
+def f19_timeline(v):
+    return resolve.timeline(v("base_features"), 1850, 2010)
+
+
+@query("SELECT fid, sd, note, event_id FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY edited_at DESC, event_id DESC) AS n FROM edits) WHERE n = 1")
+def f8_latest_per_key(v):
+    return resolve.latest_per_key(v("edits"), ["fid"], "edited_at", "event_id").select("fid", "sd", "note", "event_id")
+
+
+@query("""SELECT o_orderkey AS id, o_custkey AS site, lag(o_orderkey) OVER w AS pred, CASE WHEN lag(o_orderkey) OVER w IS NULL THEN NULL WHEN lag(year(o_orderdate) + o_orderkey % 3 - 1) OVER w <= year(o_orderdate) THEN 'rep' ELSE 'mod' END AS relation
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey)""")
+def f18_lineage(v):
+    year = F.year("o_orderdate")
+    rows = v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("site"), year.alias("sd"), (year + F.col("o_orderkey") % 3 - 1).alias("ed"))
+    return resolve.lineage(rows).select("id", "site", "pred", "relation")
+
+
+@query("""WITH seen AS (SELECT l_orderkey AS id, 1800 + (l_suppkey % 9) * 20 AS year FROM lineitem), years AS (SELECT DISTINCT year FROM seen), e AS (SELECT year, lag(year) OVER (ORDER BY year) AS before, lead(year) OVER (ORDER BY year) AS after FROM years),
+    span AS (SELECT id, min(year) AS f, max(year) AS l, count(DISTINCT year) AS n FROM seen GROUP BY id)
+    SELECT s.id, CAST(floor((a.before + a.year) / 2) AS INT) AS sd, CAST(floor((b.year + b.after) / 2) AS INT) AS ed, CASE WHEN n >= 3 THEN 'h' WHEN n = 2 THEN 'm' ELSE 'l' END AS ev FROM span s JOIN e a ON a.year = s.f JOIN e b ON b.year = s.l""")
+def f17_bounds_from_presence(v):
+    seen = v.table("lineitem").select(F.col("l_orderkey").alias("id"), (1800 + (F.col("l_suppkey") % 9) * 20).alias("year"))
+    return resolve.bounds_from_presence(seen, seen.select("year"))
+
+
+@query("""SELECT id, CAST(CASE WHEN ev = 'h' AND sd IS NOT NULL THEN sd WHEN ev = 'm' AND sd IS NOT NULL THEN least(sd, coalesce(near - 2, sd)) ELSE coalesce(near - 2, map_year, 2000) END AS INT) AS sd,
+    CASE WHEN ev = 'h' AND sd IS NOT NULL THEN 'kept' WHEN ev = 'm' AND sd IS NOT NULL THEN CASE WHEN near - 2 < sd THEN 'buildings' ELSE 'kept' END WHEN near IS NOT NULL THEN 'buildings' WHEN map_year IS NOT NULL THEN 'map' ELSE 'fallback' END AS sd_method
+    FROM (SELECT id, ev, CASE WHEN id % 2 = 0 THEN 1800 + id % 90 END AS sd, CASE WHEN id % 5 < 2 THEN 1790 + id % 70 END AS near, CAST(regexp_extract(ml_src, '([0-9]{4})', 1) AS INT) AS map_year FROM (SELECT *, nullif(ml_src, '') FROM roads WHERE ml_src IS NOT NULL)
+          UNION ALL SELECT id, ev, CASE WHEN id % 2 = 0 THEN 1800 + id % 90 END, CASE WHEN id % 5 < 2 THEN 1790 + id % 70 END, NULL FROM roads WHERE ml_src IS NULL)""")
+def f11_road_year_ladder(v):
+    i = F.col("id")
+    rows = v("roads").select("id", "ev", F.when(i % 2 == 0, 1800 + i % 90).alias("sd"), F.when(i % 5 < 2, 1790 + i % 70).alias("first_near"), dates.map_year(F.col("ml_src")).alias("map_year"))
+    return resolve.road_year_ladder(rows).select("id", "sd", "sd_method")
+
+
+# ---------------------------------------------------------------- G, H: order, sets
+
+
+@query("SELECT ord, sd FROM base_features WHERE sd IS NOT NULL ORDER BY sd, ord LIMIT 50")
+def g2_oldest(v):
+    return v("base_features").where("sd IS NOT NULL").orderBy("sd", "ord").limit(50).select("ord", "sd")
+
+
+@query("SELECT p_type, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, p_type LIMIT 10")
+def g4_top_categories(v):
+    return reports.top(v.table("part"), "p_type", 10)
+
+
+@query("SELECT fid, src, sd FROM base_features UNION ALL SELECT CAST(did AS STRING), src, sd FROM date_features")
+def h1_union_sources(v):
+    return v("base_features").select("fid", "src", "sd").unionByName(v("date_features").select(F.col("did").cast("string").alias("fid"), "src", "sd"), allowMissingColumns=True)
+
+
+@query(f"SELECT did, src, CASE WHEN osm_ref IS NULL THEN 'no_match' ELSE 'unknown_ref' END AS reason FROM date_features WHERE did NOT IN (SELECT did FROM ({ATTACH}))")
+def h2_unmatched_with_reason(v):
+    found = v("date_features")
+    rest = link.unmatched(found, link.attach_dates(v("base_features"), found), "did")
+    return rest.select("did", "src", F.when(F.col("osm_ref").isNull(), "no_match").otherwise("unknown_ref").alias("reason"))
+
+
+@query("SELECT fid, min(event_id) AS event_id FROM edits GROUP BY fid")
+def h3_dedup_keep_first(v):
+    from ..operators import sets
+
+    return sets.dedup_keep_first(v("edits"), "fid", "event_id").select("fid", "event_id")
+
+
+@query("SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'missing_left' WHEN b.id IS NULL THEN 'missing_right' ELSE 'both' END AS state FROM (SELECT doc_id AS id FROM documents) a FULL JOIN (SELECT doc_id AS id FROM labels) b ON a.id = b.id")
+def h9_orphans(v):
+    from ..operators import sets
+
+    return sets.orphans(v.table("documents").select(F.col("doc_id").alias("id")), v.table("labels").select(F.col("doc_id").alias("id")), "id")
+
+
+# ---------------------------------------------------------------- I: scalar functions
+
+TRY = "TRY_CAST(nullif(regexp_extract(t, '{}', {}), '') AS INT)"
+VALID = "CASE WHEN {0} BETWEEN 1700 AND 2030 THEN {0} END"
+
+
+def _num(pattern: str, group: int = 1) -> str:
+    return TRY.format(pattern, group)
+
+
+YEAR_SQL = f"""SELECT id, CASE
+    WHEN regexp_matches(t, '^\\d{{4}}$') THEN {VALID.format(_num('^([0-9]{4})$'))}
+    WHEN regexp_matches(t, '^[~c]a?\\s*\\d{{4}}$') THEN {VALID.format(_num('([0-9]{4})$'))}
+    WHEN regexp_matches(t, '^\\d{{4}}-\\d{{1,2}}') THEN {VALID.format(_num('^([0-9]{4})'))}
+    WHEN regexp_matches(t, '^\\d{{4}}\\s*[-–]\\s*\\d{{4}}$') THEN {VALID.format(_num('^([0-9]{4})'))}
+    WHEN regexp_matches(t, '^\\d{{3}}0s$') THEN {VALID.format(_num('^([0-9]{4})'))}
+    WHEN regexp_matches(t, '^(early|late|mid)\\s+\\d{{3}}0s$') THEN {VALID.format('(' + _num('([0-9]{4})s$') + " + CASE WHEN t LIKE 'early%' THEN 0 WHEN t LIKE 'mid%' THEN 5 ELSE 7 END)")}
+    WHEN regexp_matches(t, '^\\d{{1,2}}(st|nd|rd|th)\\s+century') THEN {VALID.format('((' + _num('^([0-9]{1,2})') + ' - 1) * 100)')}
+    WHEN regexp_matches(t, '^\\d{{2}}00-tallet$') THEN {VALID.format('(' + _num('^([0-9]{4})') + ' + 50)')}
+    WHEN t LIKE '%middelalder%' THEN 1300 WHEN t LIKE '%vikingtid%' THEN 900 WHEN t LIKE '%jernald%' THEN 500 WHEN t LIKE '%bronsealder%' THEN -1000 WHEN t LIKE '%steinalder%' THEN -3000
+    ELSE {VALID.format(_num('\\b(1[0-9]{3}|20[0-3][0-9])\\b'))} END AS year FROM (SELECT id, lower(trim(value)) AS t FROM raw_dates)"""
+
+
+@query(YEAR_SQL)
+def i1_parse_year(v):
+    return v("raw_dates").select("id", dates.parse_year(F.col("value")).alias("year"))
+
+
+@query(f"""SELECT id, CASE WHEN value LIKE '% - %' THEN {VALID.format("CAST(split_part(value, ' - ', 1) AS INT)")} WHEN t LIKE '%tallet' THEN {VALID.format(_num('^([0-9]{4})'))} WHEN t LIKE '%century' THEN {VALID.format('((' + _num('^([0-9]{2})') + ' - 1) * 100)')} END AS y0,
+    CASE WHEN value LIKE '% - %' THEN {VALID.format("CAST(split_part(value, ' - ', 2) AS INT)")} WHEN t LIKE '%tallet' THEN {VALID.format('(' + _num('^([0-9]{4})') + ' + 99)')} WHEN t LIKE '%century' THEN {VALID.format('((' + _num('^([0-9]{2})') + ' - 1) * 100 + 99)')} END AS y1
+    FROM (SELECT id, value, lower(trim(value)) AS t FROM raw_dates WHERE id % 12 IN (3, 6, 7))""")
+def i2_parse_year_range(v):
+    found = v("raw_dates").where("id % 12 IN (3, 6, 7)").select("id", dates.parse_year_range(F.col("value")).alias("r"))
+    return found.select("id", F.col("r.start").alias("y0"), F.col("r.end").alias("y1"))
+
+
+@query("SELECT ord, CASE WHEN sd IS NOT NULL AND ed IS NOT NULL THEN CAST(floor((sd + ed) / 2) AS INT) ELSE coalesce(sd, ed) END AS mid FROM base_features")
+def i3_mid_year(v):
+    return v("base_features").select("ord", dates.mid_year(F.col("sd"), F.col("ed")).alias("mid"))
+
+
+@query("""SELECT id, src, concat('ml-', CAST(id AS STRING)) AS code, CASE src WHEN 'ml_kartverket_1880' THEN 'kv1880' WHEN 'ml_kartverket_1904' THEN 'kv1904' ELSE 'air1947' END AS ml_code,
+    CASE WHEN confidence >= 0.9 THEN 'h' WHEN confidence >= 0.7 THEN 'm' ELSE 'l' END AS ev FROM detections""")
+def i7_source_codes(v):
+    return v("detections").select("id", "src", text.feature_code(F.col("src"), F.concat(F.lit("ml-"), F.col("id").cast("string"))).alias("code"), text.ml_source_code(F.col("src")).alias("ml_code"), text.evidence_from_confidence(F.col("confidence")).alias("ev"))
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN lower(trim(a.p_name)) = lower(trim(b.p_name)) THEN 1.0 WHEN contains(lower(trim(a.p_name)), lower(trim(b.p_name))) OR contains(lower(trim(b.p_name)), lower(trim(a.p_name))) THEN 0.7
+    WHEN lower(left(trim(a.p_name), 3)) = lower(left(trim(b.p_name), 3)) THEN 0.3 ELSE 0.0 END AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+def i9_name_similarity(v):
+    part = v.table("part")
+    a, b = (part.select("p_brand", "p_size", F.col("p_partkey").alias(k), F.col("p_name").alias(f"n_{k}")) for k in "ab")
+    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", text.name_similarity(F.col("n_a"), F.col("n_b")).alias("score"))
+
+
+@query("""SELECT id, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(y1 - y0) / 1e5 / 2), 2) + cos(radians(63.4 + y0 / 1e5)) * cos(radians(63.4 + y1 / 1e5)) * pow(sin(radians(x1 - x0) / 1e5 / 2), 2))) * 1000, 4) AS metres FROM roads""")
+def i12_line_length(v):
+    lon, lat = lambda c: 10.3 + F.col(c) / 1e5, lambda c: 63.4 + F.col(c) / 1e5
+    line = F.struct(F.lit("LineString").alias("gtype"), F.array(F.array(F.array(geo.point(lon("x0"), lat("y0")), geo.point(lon("x1"), lat("y1"))))).alias("parts"))
+    return v("roads").select("id", F.round(geo.line_length_m(line), 4).alias("metres"))
+
+
+@query("SELECT ord, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area, (x0 + x1) / 2.0 AS cx, (y0 + y1) / 2.0 AS cy, round((3 * x0 + 2 * x1) / 5.0, 6) AS vx, round((3 * y0 + 2 * y1) / 5.0, 6) AS vy FROM base_features")
+def i16_polygon_area(v):
+    g = geo.box(F.col("x0") - F.col("x0"), F.col("y0") - F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    whole = geo.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    rows = v("base_features").select("ord", "x0", "y0", g.alias("g"), geo.vertex_centroid(whole).alias("v"))
+    centre = geo.area_centroid(F.col("g"))
+    return rows.select("ord", geo.polygon_area(F.col("g")).alias("area"), (F.col("x0") + F.round(centre["x"], 6)).alias("cx"), (F.col("y0") + F.round(centre["y"], 6)).alias("cy"), F.round("v.x", 6).alias("vx"), F.round("v.y", 6).alias("vy"))
+
+
+@query("""SELECT id, CAST(floor((10.3 + x / 1e5 + 180) / 360 * 32768) AS BIGINT) AS tx, CAST(floor((1 - ln(tan(radians(63.4 + y / 1e5)) + 1 / cos(radians(63.4 + y / 1e5))) / pi()) / 2 * 32768) AS BIGINT) AS ty FROM registry_points""")
+def i19_tiles(v):
+    tile = tiles.lonlat_to_tile(10.3 + F.col("x") / 1e5, 63.4 + F.col("y") / 1e5, F.lit(15))
+    return v("registry_points").select("id", tile.alias("t")).select("id", F.col("t.x").alias("tx"), F.col("t.y").alias("ty"))
+
+
+# ---------------------------------------------------------------- J: evidence
+
+ESTIMATE = """WITH r AS (SELECT e.*, s.priority FROM evidence e JOIN evidence_sources s ON e.source_id = s.source_id),
+    x AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY priority, source_id, exact_year) AS n FROM r WHERE evidence_type = 'exact' AND confidence >= 0.7),
+    b AS (SELECT building_id, max(CASE WHEN evidence_type IN ('absence', 'range') THEN min_year WHEN evidence_type = 'exact' AND confidence < 0.7 THEN exact_year - 10 END) AS low,
+        min(CASE WHEN (evidence_type = 'presence' AND max_year < 2020) OR evidence_type = 'range' THEN max_year WHEN evidence_type = 'exact' AND confidence < 0.7 THEN exact_year + 10 END) AS high, min(end_year) AS end_year, count(*) AS k FROM r GROUP BY building_id),
+    c AS (SELECT *, greatest(coalesce(low, 1700), 1700) AS a0, least(coalesce(high, 2025), 2025) AS b0 FROM b),
+    d AS (SELECT *, CAST(floor((a0 + b0) / 2) AS INT) AS mid, CASE WHEN a0 > b0 THEN CAST(floor((a0 + b0) / 2) AS INT) - 20 ELSE a0 END AS a1, CASE WHEN a0 > b0 THEN CAST(floor((a0 + b0) / 2) AS INT) + 20 ELSE b0 END AS b1 FROM c)
+    SELECT d.building_id, CASE WHEN x.n = 1 THEN x.exact_year WHEN low IS NOT NULL OR high IS NOT NULL THEN mid END AS start_year, CASE WHEN x.n = 1 THEN x.end_year WHEN low IS NOT NULL OR high IS NOT NULL THEN d.end_year END AS end_year,
+        CASE WHEN x.n = 1 THEN 'exact' WHEN low IS NULL AND high IS NULL THEN 'unknown' WHEN b1 - a1 <= 10 THEN 'bounded' WHEN b1 - a1 <= 50 THEN 'range' ELSE 'estimated' END AS method,
+        round(CASE WHEN x.n = 1 THEN x.confidence WHEN low IS NULL AND high IS NULL THEN 0.0 ELSE least(0.95, CASE WHEN b1 - a1 = 0 THEN 0.95 WHEN b1 - a1 <= 10 THEN 0.85 WHEN b1 - a1 <= 30 THEN 0.7 WHEN b1 - a1 <= 50 THEN 0.5 WHEN b1 - a1 <= 100 THEN 0.35 ELSE 0.2 END + least(0.1, k * 0.02)) END, 3) AS confidence, k AS evidence_count
+    FROM d LEFT JOIN x ON d.building_id = x.building_id AND x.n = 1"""
+
+
+def _estimates(v) -> DataFrame:
+    return evidence.best_estimate(v("evidence"), v("evidence_sources"), 2025)
+
+
+@query(ESTIMATE)
+def j2_best_estimate(v):
+    return _estimates(v).select("building_id", "start_year", "end_year", "method", F.round("confidence", 3).alias("confidence"), "evidence_count")
+
+
+@query(ESTIMATE.replace("SELECT d.building_id,", ", est AS (SELECT d.building_id,", 1).replace("    , est", ", est") + ") SELECT method, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, min(start_year) AS min_year, max(start_year) AS max_year FROM est GROUP BY method")
+def e4_estimates_by_method(v):
+    return reports.estimates_by_method(_estimates(v))
 
 
-def queries():
-    return {
-        "c2_buildings_as_of": lambda spark, d: bindings.view(spark, d, "base_features")
-        .where("CASE WHEN sd IS NULL THEN 1960 ELSE sd END <= 1960 AND (ed IS NULL OR ed >= 1960)")
-        .groupBy("src")
-        .agg(F.count("*").alias("n"))
-    }
+@query("""WITH links AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b, 0.5 + (o_orderkey % 5) * 0.1 AS sure FROM orders WHERE o_orderkey % 4 = 0), both_ways AS (SELECT a AS giver, b AS taker, sure FROM links UNION ALL SELECT b, a, sure FROM links),
+    offers AS (SELECT w.taker, e.source_id, e.evidence_type, e.confidence * w.sure AS confidence, w.giver, e.seq FROM evidence e JOIN both_ways w ON e.building_id = w.giver WHERE NOT EXISTS (SELECT 1 FROM evidence o WHERE o.building_id = w.taker AND o.source_id = e.source_id))
+    SELECT taker AS building_id, source_id, round(max(confidence), 9) AS confidence FROM offers GROUP BY taker, source_id""")
+def j4_propagate(v):
+    key = F.col("o_orderkey")
+    links = v.table("orders").where(key % 4 == 0).select(key.alias("a"), (key + 1).alias("b"), (0.5 + (key % 5) * 0.1).alias("confidence"))
+    return evidence.propagate(v("evidence"), links).select("building_id", "source_id", F.round("confidence", 9).alias("confidence"))
 
 
-def oracle_sql():
-    return {}
+@query("""SELECT l_orderkey AS id, coalesce(min(CASE WHEN l_returnflag = 'R' THEN y END), CAST(floor((min(CASE WHEN l_returnflag = 'N' THEN y END) + max(CASE WHEN l_returnflag = 'A' THEN y END)) / 2) AS INT), min(CASE WHEN l_returnflag = 'N' THEN y END), max(CASE WHEN l_returnflag = 'A' THEN y END) + 10, 1950) AS sd
+    FROM (SELECT l_orderkey, l_returnflag, CAST(year(l_shipdate) - l_suppkey % 90 AS INT) AS y FROM lineitem) GROUP BY l_orderkey""")
+def j10_resolve_bounds(v):
+    rows = v.table("lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "R", "x").when(F.col("l_returnflag") == "N", "n").otherwise("e").alias("kind"), (F.year("l_shipdate") - F.col("l_suppkey") % 90).cast("int").alias("year"))
+    return evidence.resolve_bounds(rows)
