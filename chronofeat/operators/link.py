@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from . import spatial
 
 
@@ -79,13 +80,13 @@ def duplicate_groups(df: DataFrame, pairs: DataFrame) -> DataFrame:
     small = pairs.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("before"))
     # a row that has no earlier duplicate is a seed; one whose earlier duplicates all joined others is one, too
     now = df.select("id").join(small, "id", "left").select("id", F.coalesce("before", F.array().cast("array<bigint>")).alias("before"), F.lit(None).cast("long").alias("seed"))
-    links = pairs.select(F.col("a").alias("from"), F.col("b").alias("id")).checkpoint()
-    state = now.select("id", F.when(F.size("before") == 0, F.col("id")).alias("seed")).checkpoint()
+    links = cut(pairs.select(F.col("a").alias("from"), F.col("b").alias("id")))
+    state = cut(now.select("id", F.when(F.size("before") == 0, F.col("id")).alias("seed")))
     while not state.where("seed IS NULL").isEmpty():
         known = links.join(state.select(F.col("id").alias("from"), F.col("seed").alias("of")), "from")
         told = known.groupBy("id").agg(F.min(F.when(F.col("of") == F.col("from"), F.col("from"))).alias("first_seed"), F.min(F.when(F.col("of").isNull(), F.col("from"))).alias("first_open"))
         # the first seed before it decides, unless an earlier row is still open
         new = F.when(F.col("first_seed").isNotNull() & (F.col("first_open").isNull() | (F.col("first_seed") < F.col("first_open"))), F.col("first_seed"))
         new = new.when(F.col("first_seed").isNull() & F.col("first_open").isNull(), F.col("id"))
-        state = state.join(told, "id", "left").select("id", F.coalesce("seed", new).alias("seed")).checkpoint()
+        state = cut(state.join(told, "id", "left").select("id", F.coalesce("seed", new).alias("seed")))
     return state

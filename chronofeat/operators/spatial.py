@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import cut
+
 #: Levels of a grid; each has cells 4 times as wide as the one before.
 LEVELS, FACTOR = 8, 4
 
@@ -121,7 +123,7 @@ def nearest_k(a: DataFrame, donors: DataFrame, k: int, cell: float, scale: tuple
         hits = hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= need).select(key, "donor", "distance", "rank")
         final = hits.groupBy(key).agg(F.max("rank").alias("n"), F.max("distance").alias("far")).where((F.col("n") == need) & (F.col("far") <= size)).select(key)
         found = hits.join(final, key, "left_semi")
-        left = left.join(final, key, "left_anti").checkpoint()
+        left = cut(left.join(final, key, "left_anti"))
         out = found if out is None else out.unionByName(found)
         if left.isEmpty():
             return out

@@ -549,3 +549,76 @@ def j4_propagate(v):
 def j10_resolve_bounds(v):
     rows = v.table("lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "R", "x").when(F.col("l_returnflag") == "N", "n").otherwise("e").alias("kind"), (F.year("l_shipdate") - F.col("l_suppkey") % 90).cast("int").alias("year"))
     return evidence.resolve_bounds(rows)
+
+
+# ---------------------------------------------------------------- B: normalisation of derived rows
+
+
+@query("""SELECT l_orderkey AS id, count(*) AS points, CAST(sum(x) AS BIGINT) AS sum_x FROM (SELECT DISTINCT l_orderkey, l_linenumber, (l_orderkey * 31 + l_linenumber * 17) % 1000 AS x FROM lineitem) GROUP BY l_orderkey HAVING count(*) >= 2""")
+def b6_assemble_lines(v):
+    from ..sources import normalize
+
+    at = v.table("lineitem").select("l_orderkey", "l_linenumber").distinct()
+    node = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    nodes = at.select(node.alias("id"), ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17) % 1000).cast("double").alias("lon"), F.col("l_linenumber").cast("double").alias("lat"))
+    ways = at.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    lines = normalize.assemble_ways(ways, nodes, "line").withColumn("p", geo.points(F.col("geometry")))
+    return lines.select("id", F.size("p").cast("long").alias("points"), F.aggregate("p", F.lit(0.0), lambda t, q: t + q["x"]).cast("long").alias("sum_x"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'motorway' WHEN 1 THEN 'residential' WHEN 2 THEN 'path' WHEN 3 THEN 'unknown' ELSE 'service' END AS rt, CAST(CASE WHEN p_size % 3 = 0 THEN 1800 + p_size END AS INT) AS sd,
+    CASE WHEN p_size % 3 <> 0 THEN 'l' WHEN p_size % 2 = 0 THEN 'h' ELSE 'm' END AS ev FROM part""")
+def b9_normalize_osm_roads(v):
+    from ..sources import normalize
+
+    size = F.col("p_size")
+    highway = F.element_at(F.array(*[F.lit(x) for x in ("motorway_link", "living_street", "footway", "raceway", "service")]), (size % 5 + 1).cast("int"))
+    year = F.when(size % 3 == 0, F.concat((1800 + size).cast("string"), F.lit("-01-01")))
+    tags = F.create_map(F.lit("highway"), highway, F.when(size % 2 == 0, "nvdb:date").otherwise("start_date"), year)
+    rows = v.table("part").select(F.col("p_partkey").alias("id"), tags.alias("tags"), geo.box(F.lit(0), F.lit(0), F.lit(1), F.lit(1)).alias("geometry"))
+    return normalize.normalize_osm_roads(rows).select(F.regexp_extract("src_id", r"(\d+)$", 1).cast("long").alias("id"), "rt", "sd", "ev")
+
+
+@query("""SELECT reason, count(*) AS n FROM (SELECT unnest(CASE WHEN o_orderkey % 7 = 0 THEN ['missing_sd'] ELSE [] END || CASE WHEN o_orderkey % 7 = 1 THEN ['invalid_sd'] ELSE [] END || CASE WHEN o_orderkey % 5 = 2 THEN ['invalid_wtype'] ELSE [] END
+    || CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 > 1 THEN ['ed_not_after_sd'] ELSE [] END) AS reason FROM orders) GROUP BY reason""")
+def b20_water_rejects(v):
+    from ..sources import normalize
+
+    k = F.col("o_orderkey")
+    sd = F.when(k % 7 == 0, None).when(k % 7 == 1, "soon").otherwise("1900")
+    rows = v.table("orders").select(k.alias("id"), sd.alias("sd"), F.when(k % 3 == 0, "1850").alias("ed"), F.when(k % 5 == 2, "pond").otherwise("lake").alias("wtype"), F.lit("x").alias("ev"), F.lit("g").alias("geometry"))
+    return normalize.normalize_water(rows)[1]
+
+
+@query("""SELECT page_id, CAST(nullif(regexp_extract(url, '/([0-9]+)([/.?#]|$)', 1), '') AS BIGINT) AS code, nullif(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '') AS title, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS lang FROM pages""")
+def b29_extract_listing(v):
+    from ..sources import normalize
+
+    found = v.table("pages").select("page_id", normalize.extract_listing(F.col("url"), F.col("html")).alias("r"))
+    return found.select("page_id", "r.code", "r.title", "r.lang")
+
+
+@query("""SELECT date_trunc('hour', edited_at) AS start, note, count(*) AS n FROM edits GROUP BY 1, 2""")
+def k4_edit_activity(v):
+    from ..streaming import edits
+
+    return edits.edit_activity(v("edits").withColumn("edited_at", F.col("edited_at").cast("timestamp"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "note", "n")
+
+
+@query()
+def k1_merge_edits(v):
+    """The edit stream read as one, its snapshot after all batches."""
+    import uuid
+
+    from ..lineage import shared
+    from ..streaming import edits
+
+    root = f"{shared(v.spark)}/edits-{uuid.uuid4().hex}"
+    source = v("edits")
+    source.write.parquet(f"{root}/in")
+    rows = v.spark.readStream.schema(source.schema).parquet(f"{root}/in")
+    edits.merge_edits(rows, f"{root}/out", f"{root}/state").awaitTermination()
+    return edits.snapshot(v.spark, f"{root}/out").select("fid", "sd", "note", "event_id", "ev")
+
+
+SQL["k1_merge_edits"] = bindings.with_views("SELECT fid, sd, note, event_id, 'h' AS ev FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY edited_at DESC, event_id DESC) AS n FROM edits) WHERE n = 1")
