@@ -97,4 +97,6 @@ def with_views(sql: str) -> str:
         return sql.strip()
     ctes = ", ".join(f"{v} AS ({VIEWS[v][1]})" for v in used)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"

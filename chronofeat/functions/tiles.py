@@ -40,7 +40,8 @@ def tile_centre(z: Column, x: Column, y: Column) -> Column:
 
 def quadkey(z: Column, x: Column, y: Column) -> Column:
     """One digit a level: 1 for the eastern half, 2 more for the southern."""
-    digit = lambda i: (F.shiftright(x, (z - i).cast("int")).bitwiseAND(1) + 2 * F.shiftright(y, (z - i).cast("int")).bitwiseAND(1)).cast("string")
+    bit = lambda v, i: F.floor(v / F.pow(F.lit(2.0), z - i)) % 2
+    digit = lambda i: (bit(x, i) + 2 * bit(y, i)).cast("string")
     return F.when(z > 0, F.array_join(F.transform(F.sequence(F.lit(1), z.cast("int")), digit), "")).otherwise("")
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-
-from ..functions.geo import GEOMETRY  # noqa: F401  the type that these functions take
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- polygons
 
@@ -64,19 +63,19 @@ def intersection_area(a: dict, b: dict) -> float:
     return total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def shared_area(a: pd.Series, b: pd.Series) -> pd.Series:
     """Area that two polygons, holes and all, share."""
     return pd.Series([intersection_area(*_plain(x, y)) for x, y in _rows(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Shared area over the smaller polygon's."""
     return pd.Series([_ratio(*_plain(x, y), union=False) for x, y in _rows(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def iou(a: pd.Series, b: pd.Series) -> pd.Series:
     """Shared area over the union's."""
     return pd.Series([_ratio(*_plain(x, y), union=True) for x, y in _rows(a, b)])
@@ -169,10 +168,13 @@ def same_ends(a: np.ndarray, b: np.ndarray, radius: float = 50.0) -> bool:
     return bool(near(a[0], b[0]) and near(a[-1], b[-1]) or near(a[0], b[-1]) and near(a[-1], b[0]))
 
 
+MATCH = T.StructType([T.StructField("lss", T.DoubleType()), T.StructField("hausdorff", T.DoubleType()), T.StructField("width_change", T.BooleanType()), T.StructField("same_ends", T.BooleanType())])
+
+
 def line_match(scale: tuple[float, float] = (50_000.0, 111_000.0), step: float = 5.0, tolerance: float = 10.0):
     """A pandas UDF of two lines: struct(lss, hausdorff, width_change, same_ends)."""
 
-    @F.pandas_udf("lss double, hausdorff double, width_change boolean, same_ends boolean")
+    @F.pandas_udf(MATCH)
     def match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         found = []
         for x, y in _rows(a, b):

@@ -622,3 +622,37 @@ def k1_merge_edits(v):
 
 
 SQL["k1_merge_edits"] = bindings.with_views("SELECT fid, sd, note, event_id, 'h' AS ev FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY edited_at DESC, event_id DESC) AS n FROM edits) WHERE n = 1")
+
+
+# ---------------------------------------------------------------- kernels and iterative jobs
+
+
+@query(f"SELECT a.id, b.ord, round({OVERLAP}, 6) AS area FROM detections a JOIN base_features b ON {TOUCH} WHERE {OVERLAP} > 0")
+def n1_polygon_intersection(v):
+    from ..operators import kernels
+
+    shape = lambda df: df.withColumn("geometry", geo.box(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
+    pairs = spatial.box_join(shape(v("detections")), shape(v("base_features")), 64.0)
+    return pairs.select("a.id", "b.ord", F.round(kernels.shared_area(F.col("a.geometry"), F.col("b.geometry")), 6).alias("area")).where("area > 0")
+
+
+def _lines(v, where: str) -> DataFrame:
+    line = F.struct(F.lit("LineString").alias("gtype"), F.array(F.array(F.array(geo.point(F.col("x0"), F.col("y0")), geo.point(F.col("x1"), F.col("y1"))))).alias("parts"))
+    return v("roads").where(where).select("id", "box", line.alias("geometry"))
+
+
+@query()
+def d14_match_roads(v):
+    from ..operators import roads
+
+    shift = F.struct((F.col("box.x0") + 3).alias("x0"), F.col("box.y0").alias("y0"), (F.col("box.x1") + 3).alias("x1"), F.col("box.y1").alias("y1"))
+    new = _lines(v, "true").withColumn("box", shift)
+    new = new.withColumn("geometry", F.struct("geometry.gtype", F.transform("geometry.parts", lambda p: F.transform(p, lambda r: F.transform(r, lambda q: geo.point(q["x"] + 3, q["y"])))).alias("parts")))
+    old = _lines(v, "rt = 'historical'")
+    return roads.split_matches(old, new, roads.match_roads(old, new))
+
+
+@query("""WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM registry_points a JOIN registry_points b ON abs(a.x - b.x) <= 300 AND abs(a.y - b.y) <= 300 AND a.id <> b.id WHERE sqrt(pow(CAST(a.x - b.x AS DOUBLE), 2) + pow(CAST(a.y - b.y AS DOUBLE), 2)) <= 300 AND abs(a.sd - b.sd) <= 25),
+    r AS (SELECT id AS node, id AS reach FROM registry_points UNION SELECT e.b, r.reach FROM r JOIN e ON r.node = e.a) SELECT node AS id, min(reach) AS cluster FROM r GROUP BY node""")
+def f16_cluster_buildings(v):
+    return resolve.cluster_buildings(v("registry_points"), 300.0, 25)
