@@ -85,5 +85,31 @@ SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(
 FROM b"""
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Pairs by shared shingles, components by reachability.
+OP1_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 3 THEN array_to_string(ws[i:i + 2], ' ') ELSE array_to_string(ws, ' ') END AS g FROM w, unnest(range(1, greatest(len(ws) - 1, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM w UNION SELECT e.b, r.reach FROM r JOIN e ON e.a = r.node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) m ON m.node = w.doc_id"""
+
+#: Every document run of a window's length, joined with the windows.
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS k, array_to_string(ws[j:j + 12], ' ') AS g FROM i, unnest(range(1, greatest(len(ws) - 11, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS t(j)),
+ks AS (SELECT DISTINCT k FROM win),
+h AS (SELECT doc_id, j, x.k, item_id FROM (SELECT doc_id, j, ks.k, array_to_string(ws[j:j + ks.k - 1], ' ') AS g FROM d, ks, unnest(range(1, greatest(len(ws) - ks.k + 2, 1))) AS t(j)) x JOIN win ON win.g = x.g AND win.k = x.k),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM h, unnest(range(j, j + k)) AS t(q) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_html_extraction": OP6_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_html_extraction": OP6_SQL}
