@@ -90,3 +90,12 @@ def duplicate_groups(df: DataFrame, pairs: DataFrame) -> DataFrame:
         new = new.when(F.col("first_seed").isNull() & F.col("first_open").isNull(), F.col("id"))
         state = cut(state.join(told, "id", "left").select("id", F.coalesce("seed", new).alias("seed")))
     return state
+
+
+def building_at_point(points: DataFrame, boxes: DataFrame, radius: float, cell: float = 128.0) -> DataFrame:
+    """(id, ord): of each point (id, x, y) the first box that holds it, else the one whose centre is nearest within the radius; null without one."""
+    inside = link_points(points.withColumn("box", spatial.at_point(F.col("x"), F.col("y"))), boxes, cell).groupBy(F.col("a.id").alias("id")).agg(F.min("b.ord").alias("ord"))
+    rest = points.join(inside, "id", "left_anti")
+    centres = boxes.select("ord", centre(F.col("box"), "x").alias("x"), centre(F.col("box"), "y").alias("y"))
+    near = spatial.within_distance(rest, centres, radius).groupBy(F.col("a.id").alias("id")).agg(F.min_by("b.ord", F.struct("distance", "b.ord")).alias("ord"))
+    return points.select("id").join(inside.union(near), "id", "left")

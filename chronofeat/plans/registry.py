@@ -656,3 +656,5 @@ def d14_match_roads(v):
     r AS (SELECT id AS node, id AS reach FROM registry_points UNION SELECT e.b, r.reach FROM r JOIN e ON r.node = e.a) SELECT node AS id, min(reach) AS cluster FROM r GROUP BY node""")
 def f16_cluster_buildings(v):
     return resolve.cluster_buildings(v("registry_points"), 300.0, 25)
+
+from . import inventory  # noqa: E402, F401  registers the rest
