@@ -386,7 +386,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     label = connected_components(links)
     joined = label.join(standing, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = standing.join(label, "node", "left").join(joined, "component", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return every.join(of_set, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
