@@ -59,7 +59,7 @@ VIEWS = {
     "detections": (
         ("part",),
         """SELECT p_partkey AS id, (p_partkey * 7919) % 40000 + p_size % 30 AS x0, (p_partkey * 104729) % 15000 + p_size % 20 AS y0, (p_partkey * 7919) % 40000 + 60 + p_size AS x1,
-            (p_partkey * 104729) % 15000 + 50 + p_size AS y1, p_size / 50.0 AS confidence, CASE p_partkey % 3 WHEN 0 THEN 'ml_kartverket_1880' WHEN 1 THEN 'ml_aerial_1947' ELSE 'ml_kartverket_1904' END AS src
+            (p_partkey * 104729) % 15000 + 50 + p_size AS y1, CAST(p_size AS DOUBLE) / 50 AS confidence, CASE p_partkey % 3 WHEN 0 THEN 'ml_kartverket_1880' WHEN 1 THEN 'ml_aerial_1947' ELSE 'ml_kartverket_1904' END AS src
         FROM part""",
     ),
     "raw_dates": (

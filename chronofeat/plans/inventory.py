@@ -232,7 +232,7 @@ def i22_from_wkt(v):
     return rows.select("id", F.size("p").alias("points"), F.round(F.element_at("p", -1)["x"], 3).alias("last_x"))
 
 
-@query("SELECT building_id, seq, CASE WHEN o >= 0.7 THEN 0.9 WHEN o >= 0.5 THEN 0.8 WHEN o >= 0.3 OR d < 5 THEN 0.7 WHEN d < 10 THEN 0.6 ELSE 0.5 END AS c FROM (SELECT *, confidence AS o, source_id % 20 AS d FROM evidence)")
+@query("SELECT building_id, seq, CAST(CASE WHEN o >= 0.7 THEN 0.9 WHEN o >= 0.5 THEN 0.8 WHEN o >= 0.3 OR d < 5 THEN 0.7 WHEN d < 10 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS c FROM (SELECT *, confidence AS o, source_id % 20 AS d FROM evidence)")
 def j5_match_confidence(v):
     return v("evidence").select("building_id", "seq", evidence.match_confidence(F.col("confidence"), F.col("source_id") % 20).alias("c"))
 
@@ -250,7 +250,7 @@ def j9_combine_estimates(v):
     return v.table("part").select(F.col("p_partkey").alias("id"), evidence.combine_estimates(both)["year"].alias("y"))
 
 
-@query("SELECT ord AS building_id, CASE WHEN sd IS NULL THEN 'presence' ELSE 'exact' END AS evidence_type, sd AS exact_year, CASE WHEN sd IS NULL THEN 0.6 ELSE 0.85 END AS confidence FROM base_features")
+@query("SELECT ord AS building_id, CASE WHEN sd IS NULL THEN 'presence' ELSE 'exact' END AS evidence_type, sd AS exact_year, CAST(CASE WHEN sd IS NULL THEN 0.6 ELSE 0.85 END AS DOUBLE) AS confidence FROM base_features")
 def j1_to_evidence(v):
     return evidence.osm_evidence(v("base_features").select(F.col("ord").alias("building_id"), F.lit(1).alias("source_id"), "sd", "ed")).select("building_id", "evidence_type", "exact_year", "confidence")
 

@@ -246,16 +246,16 @@ def d18_evidence_with_priority(v):
 # ---------------------------------------------------------------- E: reports
 
 
-@query("""SELECT count(*) AS total, count(sd) AS dated, sum(CASE WHEN ed < sd THEN 1 ELSE 0 END) AS end_before_start, sum(CASE WHEN sd > 1999 THEN 1 ELSE 0 END) AS future_start, sum(CASE WHEN sd < 1600 THEN 1 ELSE 0 END) AS very_old,
-    sum(CASE WHEN ev = 'h' THEN 1 ELSE 0 END) AS ev_h, sum(CASE WHEN ev = 'm' THEN 1 ELSE 0 END) AS ev_m, sum(CASE WHEN ev = 'l' THEN 1 ELSE 0 END) AS ev_l, 0 AS multi_source, count(*) AS single_source,
-    0 AS replaced_pre_1900, 0 AS replaced_1900_1950, 0 AS replaced_post_1950, round(avg(CASE WHEN ed >= sd THEN ed - sd END), 1) AS mean_lifespan,
-    sum(CASE WHEN (x1 - x0) * (y1 - y0) < 5 THEN 1 ELSE 0 END) AS tiny, sum(CASE WHEN (x1 - x0) * (y1 - y0) > 50000 THEN 1 ELSE 0 END) AS huge FROM base_features""")
+@query("""SELECT count(*) AS total, count(sd) AS dated, count(CASE WHEN ed < sd THEN 1 END) AS end_before_start, count(CASE WHEN sd > 1999 THEN 1 END) AS future_start, count(CASE WHEN sd < 1600 THEN 1 END) AS very_old,
+    count(CASE WHEN ev = 'h' THEN 1 END) AS ev_h, count(CASE WHEN ev = 'm' THEN 1 END) AS ev_m, count(CASE WHEN ev = 'l' THEN 1 END) AS ev_l, CAST(0 AS BIGINT) AS multi_source, count(*) AS single_source,
+    CAST(0 AS BIGINT) AS replaced_pre_1900, CAST(0 AS BIGINT) AS replaced_1900_1950, CAST(0 AS BIGINT) AS replaced_post_1950, round(avg(CASE WHEN ed >= sd THEN ed - sd END), 1) AS mean_lifespan,
+    count(CASE WHEN (x1 - x0) * (y1 - y0) < 5 THEN 1 END) AS tiny, count(CASE WHEN (x1 - x0) * (y1 - y0) > 50000 THEN 1 END) AS huge FROM base_features""")
 def e1_quality_report(v):
     return reports.quality_report(v("base_features"), 1999, spatial.box_area(F.col("box")))
 
 
-@query("""SELECT rt, count(*) AS n, count(sd) AS dated, round(sum(x1 - x0) / 1000.0, 2) AS km, sum(CASE WHEN ev = 'h' THEN 1 ELSE 0 END) AS ev_h, sum(CASE WHEN ev = 'm' THEN 1 ELSE 0 END) AS ev_m,
-    sum(CASE WHEN ev = 'l' THEN 1 ELSE 0 END) AS ev_l FROM roads GROUP BY rt""")
+@query("""SELECT rt, count(*) AS n, count(sd) AS dated, round(sum(x1 - x0) / 1000.0, 2) AS km, count(CASE WHEN ev = 'h' THEN 1 END) AS ev_h, count(CASE WHEN ev = 'm' THEN 1 END) AS ev_m,
+    count(CASE WHEN ev = 'l' THEN 1 END) AS ev_l FROM roads GROUP BY rt""")
 def e2_road_quality_report(v):
     return reports.road_quality_report(v("roads").withColumn("len", F.col("x1") - F.col("x0")))
 
@@ -477,8 +477,8 @@ def i7_source_codes(v):
     return v("detections").select("id", "src", text.feature_code(F.col("src"), F.concat(F.lit("ml-"), F.col("id").cast("string"))).alias("code"), text.ml_source_code(F.col("src")).alias("ml_code"), text.evidence_from_confidence(F.col("confidence")).alias("ev"))
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN lower(trim(a.p_name)) = lower(trim(b.p_name)) THEN 1.0 WHEN contains(lower(trim(a.p_name)), lower(trim(b.p_name))) OR contains(lower(trim(b.p_name)), lower(trim(a.p_name))) THEN 0.7
-    WHEN lower(left(trim(a.p_name), 3)) = lower(left(trim(b.p_name), 3)) THEN 0.3 ELSE 0.0 END AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(CASE WHEN lower(trim(a.p_name)) = lower(trim(b.p_name)) THEN 1.0 WHEN contains(lower(trim(a.p_name)), lower(trim(b.p_name))) OR contains(lower(trim(b.p_name)), lower(trim(a.p_name))) THEN 0.7
+    WHEN lower(left(trim(a.p_name), 3)) = lower(left(trim(b.p_name), 3)) THEN 0.3 ELSE 0.0 END AS DOUBLE) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def i9_name_similarity(v):
     part = v.table("part")
     a, b = (part.select("p_brand", "p_size", F.col("p_partkey").alias(k), F.col("p_name").alias(f"n_{k}")) for k in "ab")
@@ -627,7 +627,7 @@ SQL["k1_merge_edits"] = bindings.with_views("SELECT fid, sd, note, event_id, 'h'
 # ---------------------------------------------------------------- kernels and iterative jobs
 
 
-@query(f"SELECT a.id, b.ord, round({OVERLAP}, 6) AS area FROM detections a JOIN base_features b ON {TOUCH} WHERE {OVERLAP} > 0")
+@query(f"SELECT a.id, b.ord, CAST({OVERLAP} AS DOUBLE) AS area FROM detections a JOIN base_features b ON {TOUCH} WHERE {OVERLAP} > 0")
 def n1_polygon_intersection(v):
     from ..operators import kernels
 
