@@ -8,11 +8,12 @@ that is not empty. A (band, slot, content) key is a *tile*: only its members are
 
 1. Each set is compared with the smallest member of its tiles, then those of the other tiles' smallest
    members that it isn't yet connected with: linear in the tiles. Components of those links follow.
-2. Only tiles that still hold several components go on: their members are cut into blocks of a
-   bounded size, and each pair of blocks is one unit of numpy bit counts over bitmap signatures.
-   Where a and b are the sizes, the bits that differ are at most the elements that differ, so
-   (a + b - differing bits) / 2 bounds the overlap from above. Pairs that pass meet their sorted
-   arrays.
+2. Tiles that still hold several components go on: a part of them first, with the likeliest pairs that
+   would join their components, then all of them, with all pairs of what lies apart even so. Their
+   members are cut into blocks of a bounded size, and each pair of blocks is one unit of numpy bit
+   counts over bitmap signatures. Where a and b are the sizes, the bits that differ are at most the
+   elements that differ, so (a + b - differing bits) / 2 bounds the overlap from above. Pairs that
+   pass meet their sorted arrays.
 
 Every candidate is checked on the whole arrays, so links are exact but for collisions of 64-bit
 hashes. Equal sets share one node, so copies are never compared or paired.
@@ -35,6 +36,8 @@ from .graph import connected_components
 
 #: Least bits of a signature, members of a block, components up to which a tile is cut by their pairs, ratio of a band's ends.
 BITS, BLOCK, FEW, BAND = 1024, 512, 4, 1.5
+#: One tile in so many gets a forest of likely links before all tiles get all of theirs.
+SOME = 16
 
 
 # ---------------------------------------------------------------- sets
@@ -267,19 +270,36 @@ def _bounded(num: int, den: int):
     return run
 
 
-def tile_pairs(own: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray, group: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The pairs of one tile that lie in different components and whose bit counts leave room for a link.
+def tile_pairs(own: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray, group: np.ndarray, num: int, den: int, forest: bool = False) -> np.ndarray:
+    """The pairs of one tile that lie in different components and whose bit counts leave room for a link; for a forest only those of fewest differing bits that would join the components.
 
     own: the side of a member, 0 or 1 for the two blocks of a tile across them, 2 for a block on its own.
     """
     left, right = np.flatnonzero(own != 1), np.flatnonzero(own != 0)
-    found = []
+    found, counts = [], []
     for k in left.tolist():
         others = right[(group[right] != group[k]) & ((own[right] == 1) | (node[right] > node[k]))]
         differ = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1, dtype=np.int64)
-        others = others[may_link(n[k], n[others], differ, num, den)]
-        found.append(np.stack((np.full(len(others), node[k]), node[others])))
-    return np.sort(np.concatenate(found, axis=1), axis=0) if found else np.zeros((2, 0), np.int64)
+        keep = may_link(n[k], n[others], differ, num, den)
+        found.append(np.stack((np.full(keep.sum(), k), others[keep])))
+        counts.append(differ[keep])
+    if not found:
+        return np.zeros((2, 0), np.int64)
+    pairs = np.concatenate(found, axis=1)
+    if forest:
+        order, up, kept, wanted = np.argsort(np.concatenate(counts), kind="stable"), {}, [], len(np.unique(group)) - 1
+        for k, a, b in zip(order.tolist(), *group[pairs[:, order]].tolist(), strict=True):
+            while a in up:
+                a = up[a]
+            while b in up:
+                b = up[b]
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                kept.append(k)
+                if len(kept) == wanted:
+                    break
+        pairs = pairs[:, kept]
+    return np.sort(node[pairs], axis=0)
 
 
 def _unit(table: pa.Table) -> np.ndarray:
@@ -287,7 +307,7 @@ def _unit(table: pa.Table) -> np.ndarray:
     return np.stack([table.column("x").to_numpy(), table.column("y").fill_null(0).to_numpy(), table.column("y").is_null().to_numpy(), table.column("i").to_numpy(), table.column("j").to_numpy()]).astype(np.int64)
 
 
-def _tile_pairs(num: int, den: int):
+def _tile_pairs(num: int, den: int, forest: bool):
     """Of rows sorted by unit (x, y, i, j), at most two blocks of members each: the pairs of tile_pairs()."""
 
     def pairs_of(table: pa.Table) -> pa.RecordBatch:
@@ -299,7 +319,7 @@ def _tile_pairs(num: int, den: int):
         found = []
         for s, e in zip(ends[:-1], ends[1:], strict=True):
             words = min(map(len, bits[s:e]))
-            found.append(tile_pairs(own[s:e], node[s:e], n[s:e], np.stack([folded(x, words) for x in bits[s:e]]), component[s:e], num, den))
+            found.append(tile_pairs(own[s:e], node[s:e], n[s:e], np.stack([folded(x, words) for x in bits[s:e]]), component[s:e], num, den, forest))
         a, b = np.concatenate(found, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -322,6 +342,16 @@ def _tile_pairs(num: int, den: int):
     return run
 
 
+def relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b): only components are joined anew, not their nodes."""
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
+    moved = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("further"))
+    fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(label.select("node"), "node", "left_anti")
+    nodes = label.select("node", "component").union(fresh.select("node", F.col("node").alias("component")))
+    return materialize(nodes.join(moved, "component", "left").select("node", F.coalesce("further", "component").alias("component")), "labels")
+
+
 def _apart(placed: DataFrame) -> DataFrame:
     """Rows (x, y, i, j, side, node, component) of what still has to be compared, from tile members (key, node, component).
 
@@ -367,23 +397,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     standing = every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     # first each set against one centre, then against its tiles' other centres that lie apart from it
     met = members.groupBy("node").agg(F.min("center").alias("center")).select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-    links = verify(met, sets, num, den)
-    label = materialize(connected_components(links), "labels")
+    label = materialize(connected_components(verify(met, sets, num, den)), "labels")
     others = members.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
     of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     others = others.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(of_a = of_b, false)").select("a", "b")
     met = materialize(met.union(others), "met")
-    links = links.union(verify(others, sets, num, den))
-    # then all pairs of components that still share a tile
-    label = materialize(connected_components(links), "labels")
+    label = relabel(label, verify(others, sets, num, den))
+    # then a forest over some of the tiles that hold several components, and all pairs of components that still share one
     placed = members.select("key", "node").union(members.select("key", F.col("center").alias("node")).distinct())
-    placed = placed.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    tiles = materialize(_apart(placed), "tiles").join(sets.select("node", "n", "bits").dropDuplicates(["node"]), "node")
-    tiles = tiles.repartition("x", "y", "i", "j").sortWithinPartitions("x", "y", "i", "j")
-    more = tiles.mapInArrow(_tile_pairs(num, den), "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
-    links = links.union(verify(more, sets, num, den))
+    for some in (F.pmod(F.xxhash64("key"), F.lit(SOME)) == 0, None):
+        rows = placed if some is None else placed.where(some)
+        tiles = _apart(rows.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+        tiles = materialize(tiles, "tiles").join(sets.select("node", "n", "bits").dropDuplicates(["node"]), "node")
+        tiles = tiles.repartition("x", "y", "i", "j").sortWithinPartitions("x", "y", "i", "j")
+        more = materialize(tiles.mapInArrow(_tile_pairs(num, den, some is not None), "a long, b long").distinct().join(met, ["a", "b"], "left_anti"), "more")
+        label, met = relabel(label, verify(more, sets, num, den)), met.union(more)
     # nodes are sets; their documents take the smallest key of all sets that they reach
-    label = connected_components(links)
     joined = label.join(standing, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_set = standing.join(label, "node", "left").join(joined, "component", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
