@@ -7,7 +7,7 @@ hit. Before the stream, a numpy pass hashes the words and looks up evenly spaced
 every window holds one of them wholly, so a document without any has no hit and is not streamed.
 
 The test items are a stated query set: they are read in blocks of a checked size, each block one
-broadcast automaton that meets all documents.
+broadcast automaton that meets all documents. A row is judged by the hits of all blocks together.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, mix64, pieces, prefix_hash, small_batches, span_hash, text_buffer, word_spans
+from .common import ALNUM, LOWER, materialize, mix64, pieces, prefix_hash, small_batches, span_hash, text_buffer, word_spans
 
 #: Bytes of item texts in one automaton, and so in one broadcast.
 BLOCK_BYTES = 8 << 20
@@ -175,14 +176,52 @@ def _scan(automaton: Automaton, column: pa.Array) -> Iterator[tuple[int, list[tu
             row += 1
 
 
-def automata(items: DataFrame, window: int, key: str, text: str) -> Iterator[Automaton]:
-    """One automaton for each block of items; null texts and items without words hold none."""
+def item_blocks(items: DataFrame, key: str, text: str) -> list[DataFrame]:
+    """The items (id, text) in blocks of BLOCK_BYTES at most, about; null texts are in none."""
     items = items.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = 1 + 2 * size // BLOCK_BYTES if size > BLOCK_BYTES else 1
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
-        yield Automaton([(r.id, w) for r in block if (w := normal_words(r.text))], window)
+    return [items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
+def automaton_of(block: DataFrame, window: int) -> Automaton:
+    """The automaton of a block of items; items without words hold none."""
+    return Automaton([(r.id, w) for r in block.orderBy("id", "text").collect() if (w := normal_words(r.text))], window)
+
+
+def _found(docs: DataFrame, block: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
+    """(key, n_words, spans, items) of each row of docs (key, text) under one block of items, and the broadcast that it needs."""
+    held = docs.sparkSession.sparkContext.broadcast(automaton_of(block, window))
+    schema = f"key {docs.schema['key'].dataType.simpleString()}, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
+    kinds = [pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = held.value
+        for batch in batches:
+            found = [(n, [{"s": s, "e": e} for s, e in spans], sorted({str(automaton.ids[i]) for i in ids if automaton.ids[i] is not None})) for n, spans, ids in _scan(automaton, batch.column("text"))]
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True))], ["key", "n_words", "spans", "items"])
+
+    return docs.select("key", "text").mapInArrow(run, schema), held
+
+
+#: The union of sorted ranges `all`, as maximal ranges.
+UNION = """aggregate(all, CAST(array() AS array<struct<s:long,e:long>>), (out, x) ->
+    CASE WHEN size(out) > 0 AND element_at(out, -1).e >= x.s
+         THEN concat(slice(out, 1, size(out) - 1), array(struct(element_at(out, -1).s AS s, greatest(element_at(out, -1).e, x.e) AS e)))
+         ELSE concat(out, array(x)) END)"""
+
+
+def _met(rows: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """(key, n_words, spans, items) of the written rows (key, text) that any block hits, the hits of all blocks together. Keys are unique."""
+    every = None
+    for block in blocks:  # one automaton at a time
+        found, held = _found(rows, block, window)
+        found = materialize(found.where("size(spans) > 0"), "hits")
+        held.destroy()
+        every = found if every is None else every.union(found)
+    merged = every.groupBy("key", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged.select("key", "n_words", F.expr(UNION).alias("spans"), "items")
 
 
 def hits(docs: DataFrame, items: DataFrame, *, window: int = 13, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -193,22 +232,8 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 13, key: str = "doc
     Rows that share a key and a text give equal rows; other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {docs.schema['key'].dataType.simpleString()}, n_words long, spans array<struct<s:long,e:long>>, items array<string>"
-    kinds = [pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string())]
-
-    def scan(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = held.value
-            for batch in batches:
-                found = [(n, [{"s": s, "e": e} for s, e in spans], sorted({str(automaton.ids[i]) for i in ids if automaton.ids[i] is not None})) for n, spans, ids in _scan(automaton, batch.column("text"))]
-                columns = zip(*found, strict=True) if found else ([], [], [])
-                yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True))], ["key", "n_words", "spans", "items"])
-
-        return docs.mapInArrow(run, schema)
-
-    parts = [scan(sc.broadcast(a)) for a in automata(items, window, item_key, item_text)]
+    parts = [_found(docs, block, window)[0] for block in item_blocks(items, item_key, item_text)]
     if len(parts) == 1:
         return parts[0].withColumnRenamed("key", key)
     # several blocks: the ranges of a row meet again under its key and word count
@@ -216,11 +241,7 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 13, key: str = "doc
     for p in parts[1:]:
         every = every.union(p)
     merged = every.groupBy("key", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    step = """aggregate(all, CAST(array() AS array<struct<s:long,e:long>>), (out, x) ->
-        CASE WHEN size(out) > 0 AND element_at(out, -1).e >= x.s
-             THEN concat(slice(out, 1, size(out) - 1), array(struct(element_at(out, -1).s AS s, greatest(element_at(out, -1).e, x.e) AS e)))
-             ELSE concat(out, array(x)) END)"""
-    return merged.select(F.col("key").alias(key), "n_words", F.expr(step).alias("spans"), "items")
+    return merged.select(F.col("key").alias(key), "n_words", F.expr(UNION).alias("spans"), "items")
 
 
 def report(docs: DataFrame, items: DataFrame, *, coverage: int = 20, **params) -> DataFrame:
@@ -242,34 +263,51 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 13, covera
     spans from the text. With `longest`, a row with a hit span of that many words counts as
     contaminated too, whatever its coverage. Other rows stay as they are, null texts among them.
     """
+    if action not in ("drop", "cut"):
+        raise ValueError(f"action is drop or cut, not {action}")
     small_batches(docs.sparkSession)
-    sc, names, schema = docs.sparkSession.sparkContext, docs.columns, docs.schema
+    names, blocks = docs.columns, item_blocks(items, item_key, item_text)
     where = names.index(text)
 
-    def clean(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = held.value
+    def bad(n: int, spans: list[tuple[int, int]]) -> bool:
+        hit = sum(e - s for s, e in spans)
+        return hit > 0 and (coverage * hit >= n or longest is not None and max(e - s for s, e in spans) >= longest)
+
+    def cleaned(batch: pa.RecordBatch, judged: Iterator[tuple[int, list[tuple[int, int]]]]) -> pa.RecordBatch:
+        """The batch without its contamination, given the words and hit ranges of each row."""
+        keep, texts = [], None
+        for i, (n, spans) in enumerate(judged):
+            keep.append(not bad(n, spans) or action == "cut")
+            if action == "cut" and bad(n, spans):
+                texts = texts or batch.column(where).to_pylist()
+                texts[i] = without(texts[i], spans)
+        columns = list(batch.columns)[: len(names)]
+        if texts:
+            columns[where] = pa.array(texts, batch.column(where).type)
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    if len(blocks) == 1:
+        held = docs.sparkSession.sparkContext.broadcast(automaton_of(blocks[0], window))
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep, texts = [], None
-                for i, (n, spans, _) in enumerate(_scan(automaton, batch.column(where))):
-                    hit = sum(e - s for s, e in spans)
-                    bad = hit > 0 and (coverage * hit >= n or longest is not None and max(e - s for s, e in spans) >= longest)
-                    keep.append(not bad or action == "cut")
-                    if bad and action == "cut":
-                        texts = texts or batch.column(where).to_pylist()
-                        texts[i] = without(texts[i], spans)
-                columns = list(batch.columns)
-                if texts:
-                    columns[where] = pa.array(texts, batch.column(where).type)
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
-
-        return docs.mapInArrow(run, schema)
+                yield cleaned(batch, ((n, spans) for n, spans, _ in _scan(held.value, batch.column(where))))
 
-    if action not in ("drop", "cut"):
-        raise ValueError(f"action is drop or cut, not {action}")
-    for a in automata(items, window, item_key, item_text):
-        docs = clean(sc.broadcast(a))
-    return docs
+        return docs.mapInArrow(stream, docs.schema)
+
+    # several blocks: a row is judged once, by what all of them hit in it
+    row = "row" + "_" * max(map(len, names))
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    met = _met(rows.select(F.col(row).alias("key"), F.col(text).alias("text")), blocks, window)
+    marks = row + "marks"
+    joined = rows.join(met.select(F.col("key").alias(row), F.struct("n_words", "spans").alias(marks)), row, "left").select(*names, marks)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(len(names)).to_pylist()
+            yield cleaned(batch, ((x["n_words"], [(r["s"], r["e"]) for r in x["spans"]]) if x else (0, []) for x in found))
+
+    return joined.mapInArrow(judge, docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

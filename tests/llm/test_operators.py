@@ -266,6 +266,25 @@ def test_cut_spans(spark):
     assert {r.doc_id: r.text for r in found.collect()} == {1: "Before it. , and after!", 2: "clean text"}
 
 
+@pytest.mark.parametrize("block", [8 << 20, 300])
+def test_blocks_judge_together(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    runs = [" ".join(f"w{i}x{j}" for j in range(13)) for i in range(12)]
+    items = spark.createDataFrame(list(enumerate(runs)), "item_id long, text string")
+    filler = lambda n: " ".join(f"f{i}" for i in range(n))
+    # twelve items in several blocks: each alone hits 13 of 3120 words, all of them a twentieth
+    rows = [(1, " | ".join(runs) + " " + filler(20 * 156 - 156)), (2, " | ".join(runs) + " " + filler(20 * 156 - 155)), (3, "clean"), (None, None), (1, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert (len(decontaminate.item_blocks(items, "item_id", "text")) > 1) == (block == 300)
+    plain = lambda df: collections.Counter(map(tuple, df.collect()))
+    assert plain(decontaminate.decontaminate(docs, items)) == collections.Counter(rows[1:])
+    cut = decontaminate.decontaminate(docs, items, action="cut")
+    assert cut.columns == docs.columns
+    assert plain(cut) == collections.Counter([(1, " " + filler(20 * 156 - 156)), *rows[1:]])
+    # a range that the items of several blocks cover jointly counts as one
+    assert plain(decontaminate.decontaminate(docs, items, coverage=1, longest=156)) == collections.Counter(rows[2:])
+
+
 def test_automaton_on_repetitions():
     rng = random.Random(0)
     for _ in range(60):
