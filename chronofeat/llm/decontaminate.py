@@ -229,19 +229,21 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 13, key: str = "doc
 
     A null text has no words. Without items nothing is hit. Items of one text all count; a null id
     hits but is not listed; a repeated id is listed once. An empty table gives an empty result.
-    Rows that share a key and a text give equal rows; other columns are not looked at.
+    Rows that share a key and a text give equal rows, texts that share a key their own each; other
+    columns are not looked at.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    parts = [_found(docs, block, window)[0] for block in item_blocks(items, item_key, item_text)]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("key", key)
-    # several blocks: the ranges of a row meet again under its key and word count
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    merged = every.groupBy("key", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select(F.col("key").alias(key), "n_words", F.expr(UNION).alias("spans"), "items")
+    blocks = item_blocks(items, item_key, item_text)
+    if len(blocks) == 1:
+        return _found(docs, blocks[0], window)[0].withColumnRenamed("key", key)
+    # several blocks: the ranges of a row meet again under its id; rows that none hits have their words from an empty block
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("key").alias("own"), "text"), "rows")
+    by_row = rows.select(F.col("row").alias("key"), "text")
+    words = _found(by_row, blocks[0].limit(0), window)[0].select(F.col("key").alias("row"), "n_words")
+    met = _met(by_row, blocks, window).select(F.col("key").alias("row"), "spans", "items")
+    none = lambda c: F.coalesce(c, F.array().cast(met.schema[c].dataType)).alias(c)
+    return rows.select("row", "own").join(words, "row").join(met, "row", "left").select(F.col("own").alias(key), "n_words", none("spans"), none("items"))
 
 
 def report(docs: DataFrame, items: DataFrame, *, coverage: int = 20, **params) -> DataFrame:

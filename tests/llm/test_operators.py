@@ -285,6 +285,17 @@ def test_blocks_judge_together(spark, monkeypatch, block):
     assert plain(decontaminate.decontaminate(docs, items, coverage=1, longest=156)) == collections.Counter(rows[2:])
 
 
+@pytest.mark.parametrize("block", [8 << 20, 60])
+def test_hits_of_each_row(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    items = spark.createDataFrame([(i, f"one{i} two{i} three{i}") for i in range(9)], "item_id long, text string")
+    rows = [(1, "one0 two0 three0 x"), (1, "one0 two0 three0 x"), (1, "y one1 two1 three1"), (None, "a b c d"), (None, "z one2 two2 three2"), (None, None), (2, ""), (2, "")]
+    found = decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), items)
+    assert found.columns == ["doc_id", "n_words", "spans", "items"]
+    one = [(1, 4, ((0, 3),), ("0",))] * 2 + [(1, 4, ((1, 4),), ("1",)), (None, 4, (), ()), (None, 4, ((1, 4),), ("2",)), (None, 0, (), ()), (2, 0, (), ()), (2, 0, (), ())]
+    assert collections.Counter((r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(r["items"])) for r in found.collect()) == collections.Counter(one)
+
+
 def test_automaton_on_repetitions():
     rng = random.Random(0)
     for _ in range(60):
