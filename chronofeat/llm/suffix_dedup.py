@@ -215,8 +215,11 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, len
     group = np.cumsum(~equal)
     d, s = doc[text[order]], start[text[order]] + order - begin[text[order]]
     by = np.lexsort((s, d, group))
-    later = np.concatenate(([False], group[by][1:] == group[by][:-1]))
-    return d[by][later], s[by][later]
+    group, d, s = group[by], d[by], s[by]
+    head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    first = np.repeat(head, np.diff(np.append(head, len(group))))
+    later = (d != d[first]) | (s != s[first])  # a repeated row has the first place more than once
+    return d[later], s[later]
 
 
 def _blocks(length: int):

@@ -427,6 +427,21 @@ def test_repeats(spark, docs, empty, monkeypatch, hot):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_repeated_row_with_a_shared_passage(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(400)
+    rows = [(i, say(150) + passage + say(150)) for i in range(1, 6)]
+    rows += [rows[0], rows[0], rows[2]]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = removed(rows)
+    assert want[1][0] == [] and len(want[2][0]) == 1
+    plain = lambda key, spans, kept: (key, tuple(map(tuple, spans)), bytes(kept))
+    assert collections.Counter(plain(*r) for r in found) == collections.Counter(plain(k, *want[k]) for k, _ in rows)
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 500)
     rng = random.Random(3)
