@@ -23,6 +23,8 @@ from .common import small_batches
 SAMPLE_TEXTS, PART_BYTES, DICTIONARY_BYTES, MAX_LANGUAGES = 120, 2048, 112_640, 1000
 #: Compression level of texts of up to SHORT bytes, where each byte counts, and of longer ones.
 SHORT, LEVELS = 2048, (9, 3)
+#: Compressed bytes of which a margin is a share, at most: what a dictionary saves does not grow with a long text.
+FULL = 1024
 LETTER, OTHER = regex.compile(r"\p{L}"), re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -68,19 +70,24 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): `und` and 0 without a letter or without languages; the score is the margin's share of the runner-up's size."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """predict() and how clear it is: the margin's share of the runner-up's size or, for long texts, of FULL bytes."""
         if not text or not self.names or not LETTER.search(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         data = letters(text)
         sizes = sorted((len(c.compress(data)), name) for c, name in zip(self.coders[len(data) > SHORT], self.names, strict=True))
         if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+            return sizes[0][1], 1.0, 1.0
+        margin = sizes[1][0] - sizes[0][0]
+        return sizes[0][1], margin / sizes[1][0], margin / min(sizes[1][0], FULL)
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], *, key: str = "doc_id", text: str = "text", margin: float = 0.0) -> DataFrame:
     """Per row of docs (key, lang_pred, score, rejected); equal sizes fall to the first name.
 
-    `und` is rejected always, and so is a score under `margin`. A null text is `und`; repeated
+    `und` is rejected always, and so is what is less clear than `margin` (see judge). A null text is `und`; repeated
     rows get equal results; an empty table gives an empty result. Only the text is looked at.
     """
     small_batches(docs.sparkSession)
@@ -90,9 +97,9 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], *, key: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(held.value)
         for batch in batches:
-            found = [classifier.predict(t.as_py()) for t in batch.column("text")]
-            names, scores = [x for x, _ in found], [s for _, s in found]
-            rejected = [x == UNKNOWN or s < margin for x, s in found]
+            found = [classifier.judge(t.as_py()) for t in batch.column("text")]
+            names, scores = [x for x, _, _ in found], [s for _, s, _ in found]
+            rejected = [x == UNKNOWN or c < margin for x, _, c in found]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["key", "lang_pred", "score", "rejected"])
 
     return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
@@ -106,8 +113,8 @@ def keep_known(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(held.value)
         for batch in batches:
-            found = (classifier.predict(t.as_py()) for t in batch.column(where))
-            yield batch.filter(pa.array([x != UNKNOWN and s >= margin for x, s in found], pa.bool_()))
+            found = (classifier.judge(t.as_py()) for t in batch.column(where))
+            yield batch.filter(pa.array([x != UNKNOWN and c >= margin for x, _, c in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from chronofeat.llm import decontaminate, langid, mixing, ngram_join, sharding
 from chronofeat.llm.common import materialize, table
 
-#: A document without a letter, or with no difference between two languages, is rejected.
-MARGIN = 0.0
+#: A document without a letter, or whose language leads the next by less than this share, is rejected.
+#: On held-out rows of sf0.1 it costs 10 of 2,477 rightly labelled ones; see the README.
+MARGIN = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

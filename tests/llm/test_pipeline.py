@@ -1,6 +1,7 @@
 """The pipeline's stages, each on what the one before it wrote."""
 
 import os
+import random
 
 import pytest
 
@@ -25,6 +26,17 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
 
 
+def test_narrow_margins_are_rejected(spark):
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(300)] for lang, letters in (("en", "abcdefghijk"), ("de", "klmnopqrstu"))}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, say(lang, rng.randint(20, 90)), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(500, "жщ", None), (501, " ".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(300)), None), (502, "12 - 34!", "en"), (503, None, "en"), (504, say("en", 20_000), None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # equal sizes, a language that nothing was learned of and no letter go; a long text stays
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, table, "").collect()} == {*range(120), 504}
+
+
 def test_names():
     names = queries.queries()
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
