@@ -1,4 +1,4 @@
-"""Further registered queries: one for each operator of the inventory that the main registry does not show."""
+"""Further registered queries of operators that the main registry does not show; the README lists those without one."""
 
 from __future__ import annotations
 
