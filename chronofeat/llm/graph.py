@@ -13,32 +13,28 @@ MAX_ROUNDS = 60
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b), component the smallest node that it reaches.
 
-    Alternating star contractions: every node points its larger neighbours at its smallest
-    neighbour, then its smaller neighbours at it. Each round works on edges only, aggregates
-    before it shuffles and is written to the shared folder, so that no lineage grows and no
-    group of a hub is gathered. An empty edge table gives an empty result; self-loops count
-    as nodes of their own; repeated edges count once.
+    Contraction: every node goes to the least of itself and its neighbours, and an edge to where its
+    ends went, until no edge is left between two nodes; a node's labels of all rounds, one after the
+    other, lead to its component. Each round aggregates before it shuffles, works on what the round
+    before left, and is written to the shared folder, so that no lineage grows and no group of a hub
+    is gathered. Nodes are best numbered at random, as hashes are: then the rounds are few. An empty
+    edge table gives an empty result; self-loops count as nodes of their own; repeated edges count once.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    labels: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: neighbours above a node go to the least of its neighbourhood
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.union(now.where("a = b")).distinct()
-        # small star: a node's neighbours below it, and itself, go to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        new = materialize(small.where("a <> b").union(now.where("a = b")).distinct(), "cc")
-        # done when every target is a root, that is no b is also an a of another edge
-        if new.where("a <> b").select(F.col("b").alias("a")).distinct().join(new.where("a <> b").select("a"), "a", "left_semi").isEmpty():
-            now = new
-            star = new.where("a <> b").groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
-            if star.where("k > 1").isEmpty():
-                break
-        now = new
+        least = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).groupBy("x.a").agg(F.min("x.b").alias("m"))
+        least = materialize(least.select(F.col("a").alias("node"), F.least("a", "m").alias("to")), "cc")
+        labels.append(least)
+        side = lambda x: least.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}"))  # noqa: B023, E731
+        moved = now.where("a <> b").join(side("a"), "a").join(side("b"), "b").where("to_a <> to_b")
+        now = materialize(moved.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct(), "cc")
+        if now.isEmpty():
+            break
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    pairs = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return pairs.union(roots).groupBy("node").agg(F.min("component").alias("component"))
+    found = labels.pop()
+    while labels:  # where a node went in a round, and where that went in later ones
+        later = found.select(F.col("node").alias("to"), F.col("to").alias("component"))
+        found = labels.pop().join(later, "to", "left").select("node", F.coalesce("component", "to").alias("to"))
+    return found.withColumnRenamed("to", "component")

@@ -6,10 +6,11 @@ elements. So sets are put into *size bands*; in a band the hash range is cut int
 than sets may differ in, plus spare ones, and two similar sets agree wholly in at least one slot
 that is not empty. A (band, slot, content) key is a *tile*: only its members are compared.
 
-1. Each set is compared with the smallest member of its tiles, then those of the other tiles' smallest
-   members that it isn't yet connected with: linear in the tiles. Components of those links follow.
-2. Tiles that still hold several components go on: a part of them first, with the likeliest pairs that
-   would join their components, then all of them, with all pairs of what lies apart even so. Their
+1. Each set is compared with the smallest member of its tiles. Components of those links follow.
+2. It is compared with those of its other tiles' smallest members that it isn't yet connected with, and
+   a part of the tiles that still hold several components gives the likeliest pairs that would join
+   them. This is linear in the tiles; components follow again.
+3. Tiles that still hold several components give all pairs of what lies apart even so. Their
    members are cut into blocks of a bounded size, and each pair of blocks is one unit of numpy bit
    counts over bitmap signatures. Where a and b are the sizes, the bits that differ are at most the
    elements that differ, so (a + b - differing bits) / 2 bounds the overlap from above. Pairs that
@@ -27,11 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sieve
-from .common import LOWER, NOT_SPACE, materialize, mix64, pieces, prefix_hash, small_batches, span_hash, text_buffer, word_spans
+from .common import LOWER, NOT_SPACE, materialize, mix64, pieces, prefix_hash, scratch, small_batches, span_hash, text_buffer, word_spans
 from .graph import connected_components
 
 #: Least bits of a signature, members of a block, components up to which a tile is cut by their pairs, ratio of a band's ends.
@@ -120,15 +122,15 @@ def slots_of(band: int, num: int, den: int) -> tuple[int, int]:
 def tile_keys(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     """The keys under which a set meets every set of similarity num / den or more.
 
-    A set is entered in its own band, and in the band below if a similar smaller set may lie
-    there. At most `differ` slots of two similar sets differ, so more than `spare` agree; a set
+    A set is entered in its own band and in each band below where a similar smaller set may lie.
+    At most `differ` slots of two similar sets differ, so more than `spare` agree; a set
     with more empty slots than that is also entered under its empty ones.
     """
     size = len(grams)
     if not size:
         return grams
     own, out = band_of(size), []
-    for band in {own, band_of(max(1, -(-size * num // den)))}:
+    for band in range(band_of(max(1, -(-size * num // den))), own + 1):
         slots, spare = slots_of(band, num, den)
         slot = ((grams >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(grams ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
@@ -165,15 +167,30 @@ def _tiles(words: int, num: int, den: int, column: str):
 
 
 def _rows(keys: list[np.ndarray], nodes: list[tuple[int, int]]) -> pa.RecordBatch:
+    """(key, node, center) sorted by key: of a key's nodes here the smallest, its head, has no center; the head is the others' center.
+
+    Only heads have to meet under their key, so a key that very many nodes share sends few rows there.
+    """
     node, times = np.array(nodes, np.int64).T
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(node, times))], ["key", "node"])
+    key, node = np.concatenate(keys).view(np.int64), np.repeat(node, times)
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    again = np.concatenate(([False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])))
+    key, node = key[~again], node[~again]
+    head = np.concatenate(([True], key[1:] != key[:-1]))
+    center = node[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(center, mask=head)], ["key", "node", "center"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, node): those of keys with several nodes, each once, with the key's first node."""
-    key_now, first, last = None, 0, 0  # of the key that is open: its first node, its last
+    """Of rows (key, node, center) sorted by (key, node): those that have a center, and of the others those of keys with several nodes, each once, with the key's first node."""
+    key_now, first, last = None, 0, 0  # of the key that is open: its first head, its last
     for batch in batches:
-        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        local = batch.filter(pc.is_valid(batch.column("center")))
+        if local.num_rows:
+            yield local
+        heads = batch.filter(pc.is_null(batch.column("center")))
+        key, node = (heads.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(key):
             continue
         new = np.concatenate(([key_now is None or key[0] != key_now], key[1:] != key[:-1]))
@@ -236,16 +253,23 @@ def _checked(num: int, den: int):
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: bit counts first, whole arrays for what they leave."""
+def bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose bit counts leave room for a link."""
     brief = sets.select("node", "n", "bits").dropDuplicates(["node"])
     side = lambda x: brief.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    left = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(num, den), "a long, b long"), "bounded")
-    needed = sieve.build(left.select("a").union(left.select(F.col("b").alias("a"))), "a")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(num, den), "a long, b long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole arrays are similar enough."""
+    pairs = materialize(pairs, "bounded")
+    needed = sieve.build(pairs.select(F.explode(F.array("a", "b")).alias("a")), "a")
     arrays, _ = sieve.split(sets.select("node", "grams"), "node", needed)
     arrays = arrays.repartition("node").dropDuplicates(["node"])
-    checked = left.join(arrays.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b").join(arrays.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
-    return materialize(checked.mapInArrow(_checked(num, den), "a long, b long"), "links")
+    checked = pairs.join(arrays.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b").join(arrays.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
+    links = materialize(checked.mapInArrow(_checked(num, den), "a long, b long"), "links")
+    needed.destroy()
+    return links
 
 
 def may_link(n_a, n_b, differ, num: int, den: int):
@@ -343,13 +367,8 @@ def _tile_pairs(num: int, den: int, forest: bool):
 
 
 def relabel(label: DataFrame, links: DataFrame) -> DataFrame:
-    """Components (node, component) after further links (a, b): only components are joined anew, not their nodes."""
-    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
-    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
-    moved = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("further"))
-    fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(label.select("node"), "node", "left_anti")
-    nodes = label.select("node", "component").union(fresh.select("node", F.col("node").alias("component")))
-    return materialize(nodes.join(moved, "component", "left").select("node", F.coalesce("further", "component").alias("component")), "labels")
+    """Components (node, component) after further links (a, b)."""
+    return materialize(connected_components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "labels")
 
 
 def _apart(placed: DataFrame) -> DataFrame:
@@ -375,6 +394,14 @@ def _apart(placed: DataFrame) -> DataFrame:
     return few.union(many.select(F.col("key").alias("x"), F.lit(None).cast("long").alias("y"), "i", "j", side.alias("side"), "node", "component"))
 
 
+def _tile_links(placed: DataFrame, label: DataFrame, sets: DataFrame, num: int, den: int, forest: bool = False) -> DataFrame:
+    """The pairs of tile_pairs() of the tiles (key, node) that hold several components."""
+    tiles = _apart(placed.distinct().join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    tiles = tiles.join(sets.select("node", "n", "bits").dropDuplicates(["node"]), "node")
+    tiles = tiles.repartition("x", "y", "i", "j").sortWithinPartitions("x", "y", "i", "j")
+    return tiles.mapInArrow(_tile_pairs(num, den, forest), "a long, b long").distinct()
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -386,37 +413,35 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
     Rows that share a key are one node. A null key keeps its row; such rows don't join others.
     An empty table gives an empty result. Other columns of docs are not looked at.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = docs.where("doc_id is not null").select("text").mapInArrow(_tiles(words, num, den, "text"), "key long, node long")
-    members = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_members, "key long, node long, center long")
-    members = materialize(members, "members")
-    candidates = sieve.build(members.select("node").union(members.select("center")).distinct(), "node")
-    every = materialize(docs.mapInArrow(_sets(words, candidates), "doc_id long, n long, node long, bits binary, grams binary"), "sets")
-    sets = every.where("grams is not null").select("node", "n", "bits", "grams")
-    standing = every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    # first each set against one centre, then against its tiles' other centres that lie apart from it
-    met = members.groupBy("node").agg(F.min("center").alias("center")).select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-    label = materialize(connected_components(verify(met, sets, num, den)), "labels")
-    others = members.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
-    others = others.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(of_a = of_b, false)").select("a", "b")
-    met = materialize(met.union(others), "met")
-    label = relabel(label, verify(others, sets, num, den))
-    # then a forest over some of the tiles that hold several components, and all pairs of components that still share one
-    placed = members.select("key", "node").union(members.select("key", F.col("center").alias("node")).distinct())
-    for some in (F.pmod(F.xxhash64("key"), F.lit(SOME)) == 0, None):
-        rows = placed if some is None else placed.where(some)
-        tiles = _apart(rows.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-        tiles = materialize(tiles, "tiles").join(sets.select("node", "n", "bits").dropDuplicates(["node"]), "node")
-        tiles = tiles.repartition("x", "y", "i", "j").sortWithinPartitions("x", "y", "i", "j")
-        more = materialize(tiles.mapInArrow(_tile_pairs(num, den, some is not None), "a long, b long").distinct().join(met, ["a", "b"], "left_anti"), "more")
-        label, met = relabel(label, verify(more, sets, num, den)), met.union(more)
-    # nodes are sets; their documents take the smallest key of all sets that they reach
-    joined = label.join(standing, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_set = standing.join(label, "node", "left").join(joined, "component", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return every.join(of_set, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    with scratch(docs.sparkSession):
+        small_batches(docs.sparkSession)
+        docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        rows = docs.where("doc_id is not null").select("text").mapInArrow(_tiles(words, num, den, "text"), "key long, node long, center long")
+        members = rows.repartition(F.when(F.col("center").isNull(), F.col("key")).otherwise(F.col("node"))).sortWithinPartitions("key", "node")
+        members = materialize(members.mapInArrow(_members, "key long, node long, center long"), "members")
+        candidates = sieve.build(members.select(F.explode(F.array("node", "center")).alias("node")), "node")
+        every = materialize(docs.mapInArrow(_sets(words, candidates), "doc_id long, n long, node long, bits binary, grams binary"), "sets")
+        candidates.destroy()
+        sets = every.where("grams is not null").select("node", "n", "bits", "grams")
+        standing = every.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+        # first each set against one centre
+        met = members.groupBy("node").agg(F.min("center").alias("center")).select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
+        label = relabel(met.limit(0).toDF("node", "component"), verify(bounded(met, sets, num, den), sets, num, den))
+        # then against its tiles' other centres that lie apart from it, and a forest over some of the tiles that hold several components
+        placed = members.select("key", "node").union(members.select("key", F.col("center").alias("node")))
+        some = _tile_links(placed.where(F.pmod(F.xxhash64("key"), F.lit(SOME)) == 0), label, sets, num, den, forest=True)
+        of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+        others = members.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+        others = others.join(of("a"), "a", "left").join(of("b"), "b", "left").where("NOT coalesce(of_a = of_b, false)").select("a", "b")
+        label = relabel(label, verify(bounded(others, sets, num, den).union(some).distinct(), sets, num, den))
+        # then all pairs of components that still share a tile
+        label = relabel(label, verify(_tile_links(placed, label, sets, num, den), sets, num, den))
+        # nodes are sets; their documents take the smallest key of all sets that they reach
+        joined = label.join(standing, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+        of_set = standing.join(label, "node", "left").join(joined, "component", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+        own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+        found = every.join(of_set, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        return materialize(found, "near", keep=True)
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:

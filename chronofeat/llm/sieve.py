@@ -36,9 +36,9 @@ def holds(words: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def build(df: DataFrame, column: str) -> Broadcast:
-    """The filter of a long column's values, set bits gathered by an aggregation and broadcast."""
+    """The filter of a long column's values, set bits gathered by an aggregation and broadcast; destroy() it when its readers are written."""
     bits = 1 << 10
-    count = df.count()
+    count = df.agg(F.approx_count_distinct(column)).first()[0]
     while bits < MOST_BITS and bits < BITS_EACH * count:
         bits *= 2
 
@@ -51,8 +51,8 @@ def build(df: DataFrame, column: str) -> Broadcast:
 
     set_bits = df.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
     words = np.zeros(bits // 64, np.uint64)
-    for r in set_bits.toLocalIterator():
-        words[r.at] = np.array(r.word, np.int64).view(np.uint64)
+    found = set_bits.toArrow()  # MOST_BITS / 64 rows at most, 32 MB
+    words[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
     return df.sparkSession.sparkContext.broadcast(words)
 
 
