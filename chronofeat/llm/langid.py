@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Labelled texts of a language that a dictionary is made of, about; bytes of one text's part and of a dictionary; languages at most.
-SAMPLE_TEXTS, PART_BYTES, DICTIONARY_BYTES, MAX_LANGUAGES = 120, 2048, 112_640, 1000
-#: Compression level of texts of up to SHORT bytes, where each byte counts, and of longer ones.
-SHORT, LEVELS = 2048, (9, 3)
+#: Labelled texts of a language that a dictionary is made of, about; characters of one text's part, bytes of a dictionary; languages at most.
+SAMPLE_TEXTS, PART_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 120, 2048, 112_640, 1000
+#: Compression level.
+LEVEL = 6
 #: Compressed bytes of which a margin is a share, at most: what a dictionary saves does not grow with a long text.
 FULL = 1024
 LETTER, OTHER = regex.compile(r"\p{L}"), re.compile(r"[\W\d_]+")
@@ -37,22 +37,24 @@ def letters(text: str) -> bytes:
 def train(labelled: DataFrame, *, lang: str = "lang", text: str = "text", seed: int = 11) -> dict[str, bytes]:
     """A dictionary for each language of labelled rows; null languages and texts teach nothing.
 
-    The sample is bounded: rows whose seeded text hash lies under a threshold set for about
-    SAMPLE_TEXTS rows a language, in hash order, PART_BYTES of each, repeated texts once.
+    The sample is bounded: different texts whose seeded hash lies under a threshold set for about
+    SAMPLE_TEXTS of them a language, and the text of the smallest hash in any case, in hash order,
+    PART_CHARS of each. Repeated texts count once, so a language of few different texts keeps all.
     """
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64(F.lit(seed), "text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), "text"))
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, float(min(1.0, SAMPLE_TEXTS / n))).otherwise(share)
-    some = hashed.where(F.col("h") / float(1 << 63) < 2 * share - 1).select("lang", "h", F.substring("text", 1, PART_BYTES).alias("text"))
-    parts: dict[str, list[tuple[int, str]]] = {name: [] for name in counts}
-    for r in some.distinct().collect():
+    if not counts:
+        return {}
+    # a share of all hashes, from the least one on
+    most = [(r.lang, max(r.least, min(int(min(1.0, SAMPLE_TEXTS / r.n) * (1 << 64)), (1 << 64) - 1) - (1 << 63))) for r in counts]
+    bounds = rows.sparkSession.createDataFrame(most, "lang string, most long")
+    some = rows.join(F.broadcast(bounds), "lang").where("h <= most").dropDuplicates(["lang", "h"]).select("lang", "h", F.substring("text", 1, PART_CHARS).alias("text"))
+    parts: dict[str, list[tuple[int, str]]] = {r.lang: [] for r in counts}
+    for r in some.collect():  # about MAX_LANGUAGES * SAMPLE_TEXTS parts at most
         parts[r.lang].append((r.h, r.text))
-    return {name: b" ".join(letters(t) for _, t in sorted(found, reverse=True))[-DICTIONARY_BYTES:] for name, found in parts.items() if found}
+    return {name: b" ".join(letters(t) for _, t in sorted(found, reverse=True))[-DICTIONARY_BYTES:] for name, found in parts.items()}
 
 
 class Classifier:
@@ -60,7 +62,7 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.names = sorted(dictionaries)
-        self.coders = [[self._coder(dictionaries[name], level) for name in self.names] for level in LEVELS]
+        self.coders = [self._coder(dictionaries[name], LEVEL) for name in self.names]
 
     @staticmethod
     def _coder(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -77,7 +79,7 @@ class Classifier:
         if not text or not self.names or not LETTER.search(text):
             return UNKNOWN, 0.0, 0.0
         data = letters(text)
-        sizes = sorted((len(c.compress(data)), name) for c, name in zip(self.coders[len(data) > SHORT], self.names, strict=True))
+        sizes = sorted((len(c.compress(data)), name) for c, name in zip(self.coders, self.names, strict=True))
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0
         margin = sizes[1][0] - sizes[0][0]
@@ -106,7 +108,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], *, key: str = "doc_
 
 
 def keep_known(docs: DataFrame, dictionaries: dict[str, bytes], *, text: str = "text", margin: float = 0.0) -> DataFrame:
-    """docs, all columns, without the rows that predict() rejects."""
+    """docs, all columns, without the rows that predict() rejects; repeated rows stay or go together, an empty table stays empty."""
     small_batches(docs.sparkSession)
     held, where = docs.sparkSession.sparkContext.broadcast(dictionaries), docs.columns.index(text)
 
