@@ -88,11 +88,11 @@ def plan(rows: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: floa
     ends = spark.createDataFrame([(o, [int(x) for x in np.cumsum(row)]) for (o, _), row in zip(totals, dealt, strict=True)], "origin string, ends array<long>")
     shard = F.expr("transform(filter(sequence(0, copies), c -> c < copies), c -> size(filter(ends, e -> e <= first + c)))")
     found = taken.join(F.broadcast(ends), "origin").select("origin", "block", "source_size", "target", "copies", shard.alias("shards"))
-    return F.broadcast(found) if len(totals) <= MAX_BROADCAST else found
+    return F.broadcast(found) if len(totals) <= MAX_BROADCAST else found  # 64 MB at most: BLOCKS rows of some 100 bytes a source
 
 
 def takes(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, **params) -> DataFrame:
-    """Per row of docs (key, size, source_size, target, taken): its words, its source's words and target, the words that the mix takes from it.
+    """Per row of docs (key, size, source_size, target, taken, shards): its words, its source's words and target, the words that the shards' draws take from it, and the shard of each draw.
 
     A null text has no words; null is a source, the last; an empty table gives an empty result.
     Sources follow each other by code point and repeat the weights. Rows that share a key share
@@ -100,11 +100,13 @@ def takes(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text:
     """
     rows = materialize(sized(docs, key, source, text, seed), "sized")
     blocks = plan(rows, seed=seed, **params)
-    return rows.join(blocks, ["origin", "block"]).select(F.col("doc_id").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.join(blocks, ["origin", "block"]).select(F.col("doc_id").alias(key), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, with_shard: bool = False, **params) -> DataFrame:
-    """The mix itself: rows of docs with all their columns, each as often as it is taken, dealt to their shards and shuffled there.
+    """The mix itself: rows of docs with all their columns, each as often as it is drawn, dealt to their shards and shuffled there.
+
+    Nulls, repeated rows and empty tables as in takes(); a row without words goes with its block.
 
     with_shard adds the columns `mix_shard` and `mix_copy`.
     """
@@ -118,5 +120,5 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
     )
     drawn = tagged.join(blocks, ["origin", "block"]).select("doc", F.posexplode("shards").alias("mix_copy", "mix_shard"))
     drawn = drawn.withColumn("place", F.xxhash64(F.lit(seed + 2), "doc." + key, "mix_copy"))
-    mixed = drawn.repartition("mix_shard", F.pmod("place", F.lit(64))).sortWithinPartitions("mix_shard", "place")
+    mixed = drawn.repartition("mix_shard", "place").sortWithinPartitions("mix_shard", "place")
     return mixed.select(*[F.col("doc").getField(c).alias(c) for c in names], *(["mix_shard", "mix_copy"] if with_shard else []))
