@@ -3,8 +3,8 @@
 A *window* is `window` consecutive words of an item, or the whole of a shorter item. The automaton
 accepts every word run of every item; streaming a document's words through it gives, at each word,
 the longest item run that ends there. Where that length reaches a window, the window's words are
-hit. Before the stream, a numpy pass hashes the words and looks up evenly spaced short grams:
-every window holds one of them wholly, so a document without any has no hit and is not streamed.
+hit. Before the stream, a numpy pass hashes the words and looks up evenly spaced short grams, longer
+ones for longer windows: every window holds one of them wholly, so a document without any has no hit and is not streamed.
 
 The test items are a stated query set: they are read in blocks of a checked size, each block one
 broadcast automaton that meets all documents. A row is judged by the hits of all blocks together.
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, materialize, mix64, pieces, prefix_hash, small_batches, span_hash, text_buffer, word_spans
 
-#: Bytes of item texts in one automaton, and so in one broadcast.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item texts in one automaton; its states take some 190 times as much, so about 100 MB of a process.
+BLOCK_BYTES = 1 << 19
+#: Least words of the window lengths that are looked up by grams of one length.
+CLASSES = (1, 2, 4, 8)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOWN = str.maketrans({c: c + 32 for c in range(65, 91)})
 
@@ -96,19 +98,22 @@ class Automaton:
         return new
 
     def _grams(self, texts: list[list[str]]) -> None:
-        """Hashes of all grams of `gram` item words; every window holds one that starts at a multiple of `stride`."""
-        least = min((min(len(t), self.window) for t in texts if t), default=1)
-        self.gram = (least + 1) // 2
-        self.stride = least - self.gram + 1
-        joined = [" ".join(t) for t in texts if t]
-        found = [np.zeros(0, np.uint64)]
-        data, offsets = text_buffer(pa.array(joined, pa.string()))
-        starts, ends, first = word_spans(data, offsets, ALNUM)
-        hashes = span_hash(prefix_hash(data), starts, ends)
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            if b - a >= self.gram:
-                found.append(gram_at(hashes, np.arange(a, b - self.gram + 1), self.gram))
-        self.known = np.unique(np.concatenate(found))
+        """For window lengths of each class (gram, stride, hashes of all grams of `gram` words): every window holds one that starts at a multiple of `stride`."""
+        self.grams: list[tuple[int, int, np.ndarray]] = []
+        size = lambda t: min(len(t), self.window)
+        for low, high in zip(CLASSES, (*CLASSES[1:], self.window + 1), strict=True):
+            own = [t for t in texts if low <= size(t) < high] if high <= self.window else [t for t in texts if low <= size(t)]
+            if not own:
+                continue
+            least = min(map(size, own))
+            gram = (least + 1) // 2
+            data, offsets = text_buffer(pa.array([" ".join(t) for t in own], pa.string()))
+            starts, ends, first = word_spans(data, offsets, ALNUM)
+            hashes = span_hash(prefix_hash(data), starts, ends)
+            found = [gram_at(hashes, np.arange(a, b - gram + 1), gram) for a, b in zip(first[:-1], first[1:], strict=True)]
+            self.grams.append((gram, least - gram + 1, np.unique(np.concatenate(found))))
+            if high > self.window:
+                break
 
     def spans(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
         """Maximal hit word ranges [s, e), and the items whose windows occur."""
@@ -164,13 +169,13 @@ def _scan(automaton: Automaton, column: pa.Array) -> Iterator[tuple[int, list[tu
         counts = np.diff(first)
         hashes = span_hash(prefix_hash(part), starts, ends)
         doc = np.repeat(np.arange(b - a), counts)
-        at = np.arange(len(starts)) - first[:-1][doc]
-        at = np.flatnonzero((at % automaton.stride == 0) & (at + automaton.gram <= counts[doc]))
+        place = np.arange(len(starts)) - first[:-1][doc]
         near = np.zeros(b - a, bool)
-        if len(at) and len(automaton.known):
-            grams = gram_at(hashes, at, automaton.gram)
-            place = np.minimum(np.searchsorted(automaton.known, grams), len(automaton.known) - 1)
-            near[doc[at[automaton.known[place] == grams]]] = True
+        for gram, stride, known in automaton.grams:
+            at = np.flatnonzero((place % stride == 0) & (place + gram <= counts[doc]))
+            if len(at):
+                found = gram_at(hashes, at, gram)
+                near[doc[at[known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found]]] = True
         for i in range(b - a):
             yield (int(counts[i]), *(automaton.spans(normal_words(column[row].as_py())) if near[i] else ([], set())))
             row += 1
@@ -264,6 +269,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 13, covera
     action "drop" removes contaminated rows (see report); "cut" keeps them and removes their hit
     spans from the text. With `longest`, a row with a hit span of that many words counts as
     contaminated too, whatever its coverage. Other rows stay as they are, null texts among them.
+    Repeated rows are judged alike, rows that share a key each by its own text; spans that blocks
+    of items cover jointly count as one. Without items, or for an empty table, nothing changes.
     """
     if action not in ("drop", "cut"):
         raise ValueError(f"action is drop or cut, not {action}")
