@@ -3,8 +3,8 @@
 Each block of text has the path of its open elements. Per path a page sums text length, link text
 and punctuation; the ratios of length and of punctuation to blocks are smoothed over the page's
 blocks with a Gaussian kernel, fused by their product, and paths over a share of the mean are
-content. Blocks in elements that name themselves as boilerplate weigh nothing. The text is what
-else stands in the smallest element that holds the content paths' text, headings among it.
+content. Blocks in elements that name themselves as boilerplate weigh nothing. The text is that of
+the content paths, of headings, and of paths beside them under one parent, unless mostly links, in the smallest element that holds the content paths' text.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +36,7 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo complementary cookie cookies disqus footer login masthead menu modal nav navbar "
     "navigation newsletter notice notices overlay pagination popup promo promoted promotion recommended related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Start tags that end an open element of the same kind.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KERNEL = [math.exp(-k * k / 2) for k in (-2, -1, 0, 1, 2)]
@@ -43,23 +45,26 @@ THRESHOLD, HOLDS = 0.5, 0.9
 
 
 class Element:
-    __slots__ = ("inside", "outside", "parent", "path", "tag")
+    """An open element; `path` numbers its (parent's path, name), so that long paths take no room."""
 
-    def __init__(self, tag: str, attributes: str, parent: Element | None):
-        self.tag, self.parent = tag, parent
+    __slots__ = ("depth", "inside", "outside", "parent", "path", "tag")
+
+    def __init__(self, tag: str, attributes: str, parent: Element | None, paths: dict[tuple[int, str], int]):
+        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
-        self.path = (parent.path if parent else "") + "/" + tag
         self.outside = tag in OUTSIDE or tag == "header" and not self.inside
+        name = tag
         if attributes.strip():
-            for name, *values in ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), "".join(values).lower()
-                if name in ("class", "id", "role"):
+            for key, *values in ATTRIBUTE.findall(attributes):
+                key, value = key.lower(), "".join(values).lower()
+                if key in ("class", "id", "role"):
                     words = re.split(r"[^a-z0-9]+", value)
                     self.outside |= not NAMES.isdisjoint(words) or "header" in words and not self.inside
-                    if name == "class" and words[0]:
-                        self.path += "." + words[0]
-                self.outside |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
+                    if key == "class" and words[0]:
+                        name += "." + words[0]
+                self.outside |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "")
         self.outside |= parent is not None and parent.outside
+        self.path = paths.setdefault((parent.path if parent else -1, name), len(paths))
 
 
 class Block:
@@ -72,7 +77,9 @@ class Block:
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, white space joined."""
-    top = Element("#", "", None)
+    paths: dict[tuple[int, str], int] = {}
+    top = Element("#", "", None, paths)
+    opened: Counter[str] = Counter()
     found: list[Block] = []
     pieces: list[str] = []
     linked = links = at = 0
@@ -114,16 +121,19 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             links = 0
             if m[1]:
-                up = top
-                while up.parent and up.tag != tag:
-                    up = up.parent
-                top = up.parent or top  # an end without its start changes nothing
+                while opened[tag]:  # an end without its start changes nothing
+                    opened[top.tag] -= 1
+                    last, top = top.tag, top.parent
+                    if last == tag:
+                        break
             elif tag not in VOID:
                 for closes in ENDS.get(tag, ()) or ("p",):
                     if top.tag == closes:
+                        opened[closes] -= 1
                         top = top.parent
                 if not m[3].endswith("/") or tag in ("p", "div"):
-                    top = Element(tag, m[3], top)
+                    top = Element(tag, m[3], top, paths)
+                    opened[tag] += 1
     text(page[at:])
     flush()
     return found
@@ -131,46 +141,69 @@ def blocks_of(page: str) -> list[Block]:
 
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """Those of the main text."""
-    paths: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in blocks:
-        total = paths.setdefault(b.element.path, [0, 0, 0])
+        total = sums.setdefault(b.element.path, [0, 0, 0, 0, 0])
         if not b.element.outside:
             total[0] += max(0, b.size - 2 * b.linked)
             total[1] += b.marks
+            total[3] += b.size
+            total[4] += b.linked
         total[2] += 1
-    length = [paths[b.element.path][0] / paths[b.element.path][2] for b in blocks]
-    marks = [paths[b.element.path][1] / paths[b.element.path][2] for b in blocks]
-    score: dict[str, float] = {}
+    length = [sums[b.element.path][0] / sums[b.element.path][2] for b in blocks]
+    marks = [sums[b.element.path][1] / sums[b.element.path][2] for b in blocks]
+    score: dict[int, float] = {}
     for b, x, y in zip(blocks, smooth(length), smooth(marks), strict=True):
         if not b.element.outside:
             score[b.element.path] = max(score.get(b.element.path, 0.0), x * (1 + y))
     if not score or not any(score.values()):
         return []
     least = THRESHOLD * sum(score.get(b.element.path, 0.0) for b in blocks) / len(blocks)
-    content = [b for b in blocks if not b.element.outside and score[b.element.path] >= least]
-    weight: dict[Element, int] = {}
+    chosen = {p for p, x in score.items() if x >= least and 2 * sums[p][4] <= sums[p][3]}
+    content = [b for b in blocks if not b.element.outside and b.element.path in chosen]
+    best = container(content)
+    # headings, and what stands beside the content under one parent or in that parent itself
+    parents = {b.element.parent.path if b.element.parent else -1 for b in content} | {best.path}
+    beside = lambda e: (e.tag in HEADINGS or e.parent and e.parent.path in parents or e.path in parents) and 2 * sums[e.path][4] <= sums[e.path][3]
+    inner = {id(best): True}
+    return [b for b in blocks if not b.element.outside and (b.element.path in chosen or beside(b.element)) and within(b.element, best, inner)]
+
+
+def container(content: list[Block]) -> Element:
+    """The deepest element that holds nearly all of the content, or the article around that."""
+    weight: dict[int, int] = {}
+    elements: dict[int, Element] = {}
     for b in content:
+        weight[id(b.element)] = weight.get(id(b.element), 0) + b.size
         up: Element | None = b.element
-        while up:
-            weight[up] = weight.get(up, 0) + b.size
+        while up and id(up) not in elements:
+            elements[id(up)] = up
             up = up.parent
     total = sum(b.size for b in content)
-    # the deepest element that holds nearly all of it, or the article around that
-    best = max((e for e, w in weight.items() if w >= HOLDS * total), key=lambda e: e.path.count("/"))
-    up = best
+    for e in sorted(elements.values(), key=lambda e: -e.depth):  # from the leaves up
+        if weight.get(id(e), 0) >= HOLDS * total:
+            break
+        if e.parent:
+            weight[id(e.parent)] = weight.get(id(e.parent), 0) + weight.get(id(e), 0)
+    best = up = e
     while up:
         if up.tag in ("article", "main"):
             best = up
         up = up.parent
     if best.tag not in ("article", "main") and best.parent and best.parent.parent and best.tag in ("p", "li", "td", "blockquote"):
         best = best.parent
-    return [b for b in blocks if not b.element.outside and within(b.element, best)]
+    return best
 
 
-def within(element: Element | None, other: Element) -> bool:
-    while element and element is not other:
-        element = element.parent
-    return element is not None
+def within(element: Element, other: Element, known: dict[int, bool]) -> bool:
+    """Whether an element lies in another; known: what earlier calls found, and that the other one does."""
+    way, up = [], element
+    while up and id(up) not in known:
+        way.append(id(up))
+        up = up.parent
+    found = up is not None and known[id(up)]
+    known.update(dict.fromkeys(way, found))
+    return found
 
 
 def smooth(values: list[float]) -> list[float]:
@@ -188,7 +221,8 @@ def main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", sourc
     """Per row of pages (key, url, text, n_chars): its main text and the code points of that.
 
     Null html is empty, and has an empty text, as has a page of nothing but boilerplate. A null
-    key or url is kept. Repeated rows get equal results; an empty table an empty one. Broken
+    key or url is kept. Repeated rows get equal results, paths of equal score stand or fall together;
+    an empty table gives an empty one. Broken
     markup ends where the page ends. Other columns are not looked at.
     """
     small_batches(pages.sparkSession)
