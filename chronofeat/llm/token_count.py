@@ -52,11 +52,14 @@ class CountTree:
     """Leaves with sums of characters and tokens over them, in a heap-ordered binary tree."""
 
     def __init__(self, text: str, coder: tiktoken.Encoding):
-        self.coder, self.leaves, self.recoded = coder, cut_leaves(text), 0
-        self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.width + i], self.tokens[self.width + i] = len(leaf), len(coder.encode_ordinary(leaf))
+        self.coder, self.recoded = coder, 0
+        leaves = cut_leaves(text)
+        self._grow(leaves, [len(coder.encode_ordinary(leaf)) for leaf in leaves])
+
+    def _grow(self, leaves: list[str], tokens: list[int]) -> None:
+        """The tree over these leaves, whose tokens are known: sums alone, nothing is encoded."""
+        self.leaves, self.width = leaves, 1 << (len(leaves) - 1).bit_length()
+        self.chars, self.tokens = ([0] * self.width + x + [0] * (self.width - len(leaves)) for x in ([len(leaf) for leaf in leaves], tokens))
         for v in range(self.width - 1, 0, -1):
             self._sum(v)
 
@@ -102,19 +105,23 @@ class CountTree:
         while high + 1 < len(self.leaves) and not safe(merged, self._next(high)):
             high += 1
             merged += self.leaves[high]
-        # a long one is cut again, over the leaves that it takes
-        parts = cut_leaves(merged)
-        room = high - low + 1
-        parts = [*parts[: room - 1], "".join(parts[room - 1 :])]
-        for k in range(room):
-            self._put(low + k, parts[k] if k < len(parts) else "", counted=k < len(parts))
+        # a long one is cut again; where that gives more leaves than it takes, the tree grows
+        parts, room = cut_leaves(merged), high - low + 1
+        if len(parts) <= room:
+            for k in range(room):
+                self._put(low + k, parts[k] if k < len(parts) else "", counted=k < len(parts))
+            return
+        self.recoded += len(merged)
+        known = self.tokens[self.width : self.width + len(self.leaves)]
+        known[low : high + 1] = [len(self.coder.encode_ordinary(x)) for x in parts]
+        self._grow([*self.leaves[:low], *parts, *self.leaves[high + 1 :]], known)
 
     def _last(self, low: int) -> str:
         """What stands before leaf `low`, as far as it matters."""
-        return next((x for x in reversed(self.leaves[:low]) if x), "")
+        return next((self.leaves[k] for k in range(low - 1, -1, -1) if self.leaves[k]), "")
 
     def _next(self, high: int) -> str:
-        return next((x for x in self.leaves[high + 1 :] if x), "")
+        return next((self.leaves[k] for k in range(high + 1, len(self.leaves)) if self.leaves[k]), "")
 
 
 def count_edited(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: str = "edits", ranks_path: str = RANKS) -> DataFrame:
