@@ -29,7 +29,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.fit(url_filter.seed_table(spark)))
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.fit(url_filter.labelled_urls(spark)))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = langid.train(docs.where(~langid.held_out()))
-    found = langid.predict(docs, dictionaries)
-    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    found = langid.predict(docs, dictionaries, margin=0.05)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ inside one SQL aggregate over the small labelled table, and is applied as an arr
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,27 +17,14 @@ BUCKETS, GRAMS, MAX_LABELLED, PASSES, STEP, RIDGE = 4096, (3, 4), 5000, 120, 4.0
 #: Rules (verdict, host, path); each fits its host and all subdomains, if the path starts with its own.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: The small labelled URL table: words of hosts that are unwanted, and of hosts that are not.
-UNWANTED = (
-    "casino-win casino-royal win-casino free-bets bets-online best-bets sport-bets cheap-pills pills-online cheap-meds buy-pills spam-farm link-farm spam-links "
-    "ads-track track-ads adserver click-ads pop-ads adult-x adult-cam x-adult xxx-cam porn-tube free-porn loan-fast quick-loan payday-loan win-prize prize-win "
-    "malware-drop phish-login free-slots slots-win poker-win viagra-shop warez-dump crack-keys hack-cheats torrent-free fake-watch replica-watch cheap-seo seo-farm"
-).split()
-WANTED = (
-    "news library museum archive wiki journal weather school college research science garden kitchen travel history music theatre cinema sports health clinic "
-    "bank market energy forest river harbour bridge village council parish gallery atlas almanac gazette tribune herald observer reader writer poet novel "
-    "thestory ththink thering erthing tionland annals onthego andmore hereand athome enson instone ouring esther reeds"
-).split()
-
-
-def seed_table(spark: SparkSession) -> DataFrame:
-    """(url, label): the fixed words above as hosts over all endings and page forms of a site, label 1 to block."""
-    words = [(w, 1) for w in UNWANTED] + [(w, 0) for w in WANTED]
-    rows, forms = [], ("https://{}.example.{}/{}/{}", "http://www.{}.example.{}/{}/{}.html", "https://blog.{}.example.{}/{}/{}?page=2", "http://m.{}.example.{}/{}/{}/")
-    for k, (word, label) in enumerate(words):
-        for j, form in enumerate(forms):
-            rows.append((form.format(word, ("com", "org", "net")[(k + j) % 3], ("en", "de", "fr", "es")[(k // 3 + j) % 4], 37 * k + 101 * j), label))
-    return spark.createDataFrame(rows, "url string, label int")
+#: The small labelled URL table: a line of label (1 to block) and url each.
+LABELLED = Path(__file__).with_name("labelled_urls.txt")
+
+
+def labelled_urls(spark: SparkSession, path: str | Path = LABELLED) -> DataFrame:
+    """(url, label) of a labelled URL file; the one given here holds ordinary sites of many kinds and unwanted ones, none of them a host of the tables."""
+    rows = [line.split(" ", 1) for line in Path(path).read_text(encoding="utf-8").splitlines() if line]
+    return spark.createDataFrame([(url, int(label)) for label, url in rows], "url string, label int")
 
 
 def host_of(url: Column) -> Column:
@@ -77,11 +66,11 @@ def fit(labelled: DataFrame, *, url: str = "url", label: str = "label") -> list[
     """
     rows = labelled.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(host_of(F.col(url)).alias("h"), path_of(F.col(url)).alias("p"), F.col(label).cast("double").alias("y"))
     rows = rows.select("y", F.concat(grams_of(F.col("h"), F.col("p")), F.array(F.lit(BUCKETS))).alias("grams"))
-    one = rows.agg(F.sort_array(F.collect_list(F.struct("y", "grams"))).alias("rows"), F.count("*").alias("n"))
-    if (n := one.first()["n"]) > MAX_LABELLED or n == 0:
-        if n:
-            raise ValueError(f"the labelled table has {n} rows, more than {MAX_LABELLED}")
+    if (n := rows.select("y").limit(MAX_LABELLED + 1).count()) > MAX_LABELLED:
+        raise ValueError(f"the labelled table has more than {MAX_LABELLED} rows")
+    if not n:
         return [0.0] * (BUCKETS + 1)
+    one = rows.agg(F.sort_array(F.collect_list(F.struct("y", "grams"))).alias("rows"))
     # for each bucket, the rows that hold it
     held = one.select(F.posexplode("rows").alias("i", "row")).select("i", F.explode("row.grams").alias("b")).groupBy("b").agg(F.sort_array(F.collect_list("i")).alias("at"))
     held = held.agg(F.map_from_entries(F.collect_list(F.struct("b", "at"))).alias("held"))
