@@ -37,7 +37,7 @@ from .common import LOWER, NOT_SPACE, materialize, mix64, pieces, prefix_hash, s
 from .graph import connected_components
 
 #: Least bits of a signature, members of a block, components up to which a tile is cut by their pairs, ratio of a band's ends.
-BITS, BLOCK, FEW, BAND = 1024, 512, 4, 1.5
+BITS, BLOCK, FEW, BAND = 1024, 1024, 4, 1.5
 #: One tile in so many gets a forest of likely links before all tiles get all of theirs.
 SOME = 16
 

@@ -37,8 +37,8 @@ def holds(words: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def build(df: DataFrame, column: str) -> Broadcast:
     """The filter of a long column's values, set bits gathered by an aggregation and broadcast; destroy() it when its readers are written."""
-    bits = 1 << 10
-    count = df.agg(F.approx_count_distinct(column)).first()[0]
+    df = df.select(F.col(column).cast("long").alias("value")).where("value is not null").distinct()
+    bits, count = 1 << 10, df.agg(F.approx_count_distinct("value")).first()[0]
     while bits < MOST_BITS and bits < BITS_EACH * count:
         bits *= 2
 
@@ -49,7 +49,7 @@ def build(df: DataFrame, column: str) -> Broadcast:
             words = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), head) if len(at) else at.astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(at[head] >> 6), pa.array(words.view(np.int64))], ["at", "word"])
 
-    set_bits = df.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    set_bits = df.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
     words = np.zeros(bits // 64, np.uint64)
     found = set_bits.toArrow()  # MOST_BITS / 64 rows at most, 32 MB
     words[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
