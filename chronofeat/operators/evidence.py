@@ -42,7 +42,8 @@ def best_estimate(ev: DataFrame, sources: DataFrame, this_year: int) -> DataFram
     Else bounds are intersected: presence before 2020 from above, absence from below, ranges from
     both, weak exact years within ten years; bounds that cross give their middle within 20 years.
     Narrow ranges and more evidence raise the confidence; without a bound the method is `unknown`.
-    Ties of priority fall to the smaller source id, then to the smaller year.
+    Ties of priority fall to the smaller source id, then to the smaller year, the higher confidence,
+    and the smaller end, none before any.
     """
     rows = ev.join(sources.select("source_id", "priority"), "source_id", "left").withColumn("priority", F.coalesce("priority", F.lit(999)))
     kind = F.col("evidence_type")
@@ -51,7 +52,7 @@ def best_estimate(ev: DataFrame, sources: DataFrame, this_year: int) -> DataFram
     present = (kind == "presence") & (F.col("max_year") < MODERN)
     low = F.when(kind.isin("absence", "range"), F.col("min_year")).when(weak, F.col("exact_year") - WEAK)
     high = F.when(present | (kind == "range"), F.col("max_year")).when(weak, F.col("exact_year") + WEAK)
-    order = F.struct("priority", "source_id", "exact_year")
+    order = F.struct("priority", "source_id", "exact_year", -F.col("confidence"), "end_year")
     agg = rows.groupBy("building_id").agg(
         F.min_by(F.struct("exact_year", "end_year", "confidence", "source_id"), F.when(sure, order)).alias("exact"),
         F.max(low).alias("low"),
@@ -153,3 +154,54 @@ def apply_estimates(buildings: DataFrame, estimates: DataFrame) -> DataFrame:
         old = F.col(own) if own in buildings.columns else F.lit(None).cast(kind)
         out = out.withColumn(own, F.coalesce(F.col(new), old))
     return out.drop("_y", "_c", "_m")
+
+
+#: Words of a building's type, area in square metres from which it is large, year and confidence if it is, and if it isn't.
+TYPES = (
+    (("industrial", "warehouse", "factory", "commercial"), 500, (1950, 0.4), (1920, 0.3)),
+    (("church", "cathedral", "chapel"), 0, (1800, 0.25), (1800, 0.25)),
+    (("garage", "parking", "supermarket", "mall"), 0, (1970, 0.5), (1970, 0.5)),
+    (("apartment", "residential"), 1000, (1960, 0.35), (None, 0.0)),
+)
+
+
+def estimate_by_type(kind: Column, area: Column) -> Column:
+    """struct(year, confidence) by a building's type and size; year null and confidence 0 where they say nothing."""
+    pair = lambda y, c: F.struct(F.lit(y).cast("int").alias("year"), F.lit(float(c)).alias("confidence"))
+    out = None
+    for words, size, large, small in TYPES:
+        fits = F.lower(kind).rlike("|".join(words))
+        value = F.when(area > size, pair(*large)).otherwise(pair(*small))
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    return out.otherwise(pair(None, 0.0))
+
+
+def estimate_by_neighbours(asked: DataFrame, donors: DataFrame, radius: float = 300.0, least: float = 1.0, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """(id, year, confidence, neighbours) of rows (id, x, y) from donors (id, x, y, year, confidence) within the radius and farther than `least`.
+
+    Years weigh by confidence and by nearness, falling to 0 at the radius; the confidence is half
+    the mean weight, 0.6 at most. Rows without a weight have no estimate.
+    """
+    from . import spatial
+
+    pairs = spatial.within_distance(asked.select("id", "x", "y"), donors.select("id", "x", "y", "year", "confidence"), radius, scale).where(F.col("distance") > least)
+    pairs = pairs.select(F.col("a.id").alias("id"), F.col("b.year").alias("year"), (F.col("b.confidence") * (1 - F.col("distance") / radius)).alias("weight"))
+    sums = pairs.groupBy("id").agg(F.sum("weight").alias("w"), F.sum(F.col("year") * F.col("weight")).alias("wy"), F.count("*").alias("neighbours")).where("w > 0")
+    return sums.select("id", F.round(F.col("wy") / F.col("w"), 6).cast("int").alias("year"), F.least(F.lit(0.6), F.col("w") / F.col("neighbours") * 0.5).alias("confidence"), "neighbours")
+
+
+def extraction_confidence(model: Column, area: Column, shape: Column, context: Column) -> Column:
+    """How sure a feature read off a map is: the model's probability, and how fit its size, shape and surroundings are."""
+    return 0.4 * model + 0.2 * area + 0.2 * shape + 0.2 * context
+
+
+def recompute(buildings: DataFrame, ev: DataFrame, sources: DataFrame, this_year: int, matched: DataFrame | None = None) -> DataFrame:
+    """Buildings with estimates made anew, of all or only of those in `matched` (building_id); others keep what they have."""
+    if matched is not None:
+        ev = ev.join(matched.select("building_id").distinct(), "building_id", "left_semi")
+    return apply_estimates(buildings, best_estimate(ev, sources, this_year))
+
+
+def with_priority(ev: DataFrame, sources: DataFrame) -> DataFrame:
+    """Evidence with its source's name and priority; evidence of unknown sources is left out."""
+    return ev.join(sources.select("source_id", "source_name", "priority"), "source_id")

@@ -124,3 +124,17 @@ def filter_min_size(df: DataFrame, limits: dict[str, float], cls: str = "class",
     """Rows at least as large as their class asks; classes without a limit pass."""
     least = F.coalesce(F.element_at(text.map_literal(limits), F.col(cls)), F.lit(0.0))
     return df.where(F.col(size) >= least)
+
+
+def scan(df: DataFrame, columns: Iterable[str] | None = None, *, sources: Iterable[str] | None = None, dated: bool | None = None, low: int | None = None, high: int | None = None, limit: int | None = None) -> DataFrame:
+    """Rows of a feature table that keep the predicates given, some columns of them, any `limit` of them at most. Predicates reach the Parquet scan."""
+    if sources is not None:
+        df = df.where(F.col("src").isin(list(sources)))
+    if dated is not None:
+        df = df.where(F.col("sd").isNotNull() if dated else F.col("sd").isNull())
+    if low is not None:
+        df = df.where(F.col("sd") >= low)
+    if high is not None:
+        df = df.where(F.col("sd") <= high)
+    df = df.select(*columns) if columns is not None else df
+    return df if limit is None else df.limit(limit)

@@ -75,21 +75,40 @@ def duplicate_pairs(df: DataFrame, least: float = 0.8, cell: float = 64.0) -> Da
     return pairs.where(spatial.iou(F.col("a.box"), F.col("b.box")) >= least).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+#: Rounds of duplicate_groups at most; a round settles every row whose earlier neighbours are settled.
+MAX_ROUNDS = 60
+
+
 def duplicate_groups(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, seed): stars around the first row: a row joins its smallest neighbour that is a seed itself; others are their own."""
-    small = pairs.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("before"))
-    # a row that has no earlier duplicate is a seed; one whose earlier duplicates all joined others is one, too
-    now = df.select("id").join(small, "id", "left").select("id", F.coalesce("before", F.array().cast("array<bigint>")).alias("before"), F.lit(None).cast("long").alias("seed"))
+    """(id, seed): stars around the first row: a row joins its smallest neighbour that is a seed itself; others are their own.
+
+    pairs (a, b) have a < b. A row that no earlier row takes is a seed, also if its earlier
+    neighbours all joined others.
+    """
     links = cut(pairs.select(F.col("a").alias("from"), F.col("b").alias("id")))
-    state = cut(now.select("id", F.when(F.size("before") == 0, F.col("id")).alias("seed")))
-    while not state.where("seed IS NULL").isEmpty():
+    later = links.select("id").distinct().withColumn("waits", F.lit(True))
+    state = cut(df.select("id").distinct().join(later, "id", "left").select("id", F.when(F.col("waits").isNull(), F.col("id")).alias("seed")))
+    for _ in range(MAX_ROUNDS):
+        if state.where("seed IS NULL").isEmpty():
+            return state
         known = links.join(state.select(F.col("id").alias("from"), F.col("seed").alias("of")), "from")
         told = known.groupBy("id").agg(F.min(F.when(F.col("of") == F.col("from"), F.col("from"))).alias("first_seed"), F.min(F.when(F.col("of").isNull(), F.col("from"))).alias("first_open"))
         # the first seed before it decides, unless an earlier row is still open
         new = F.when(F.col("first_seed").isNotNull() & (F.col("first_open").isNull() | (F.col("first_seed") < F.col("first_open"))), F.col("first_seed"))
         new = new.when(F.col("first_seed").isNull() & F.col("first_open").isNull(), F.col("id"))
         state = cut(state.join(told, "id", "left").select("id", F.coalesce("seed", new).alias("seed")))
-    return state
+    raise RuntimeError(f"groups did not settle in {MAX_ROUNDS} rounds")
+
+
+def enrich(df: DataFrame, other: DataFrame, key: str, *columns: str) -> DataFrame:
+    """df with columns of the row of `other` that has its key (one at most), null without one."""
+    return df.join(other.select(key, *columns), key, "left")
+
+
+def enrich_by_number(roads: DataFrame, register: DataFrame, parts: tuple[str, ...], *columns: str) -> DataFrame:
+    """Roads with columns of a register, met under the concatenation of category and number; null without an entry, or without one of the parts."""
+    ref = F.concat(*[F.col(c).cast("string") for c in parts])
+    return enrich(roads.withColumn("_ref", ref), register.withColumn("_ref", ref), "_ref", *columns).drop("_ref")
 
 
 def building_at_point(points: DataFrame, boxes: DataFrame, radius: float, cell: float = 128.0) -> DataFrame:

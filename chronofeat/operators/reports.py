@@ -135,3 +135,60 @@ def stats_by_group(df: DataFrame, column: str) -> DataFrame:
 def top(df: DataFrame, column: str, k: int) -> DataFrame:
     """The k most frequent values, ties by value."""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
+def export_stats(df: DataFrame) -> DataFrame:
+    """(part, name, n, pct) of exported features (src, sd, ed, ev, ml_src, src_all, rep_by): sources, evidence, maps, dates, several sources, replaced ones, first and last year.
+
+    n of `first` and `last` is a year. Everything comes from one aggregation by (src, ev, ml_src).
+    """
+    several = F.coalesce(F.size("src_all") > 1, F.lit(False)) if "src_all" in df.columns else F.lit(False)
+    replaced = F.col("rep_by").isNotNull() if "rep_by" in df.columns else F.lit(False)
+    one = lambda test: F.sum(test.cast("long"))
+    groups = df.groupBy(F.coalesce("src", F.lit("unknown")).alias("src"), F.coalesce("ev", F.lit("unknown")).alias("ev"), "ml_src").agg(
+        F.count("*").alias("n"), F.count("sd").alias("start"), F.count("ed").alias("end"), one(several).alias("several"), one(replaced).alias("replaced"), F.min("sd").alias("low"), F.max("sd").alias("high")
+    )
+    entry = lambda part, name, n: F.struct(F.lit(part).alias("part"), name.cast("string").alias("name"), n.cast("long").alias("n"))
+    total = lambda name: entry("all", F.lit(name), F.col(name))
+    entries = [entry("source", F.col("src"), F.col("n")), entry("evidence", F.col("ev"), F.col("n")), entry("map", F.col("ml_src"), F.col("n")), entry("all", F.lit("n"), F.col("n")), *map(total, ("start", "end", "several", "replaced"))]
+    long = groups.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("name IS NOT NULL").groupBy("part", "name").agg(F.sum("n").alias("n"))
+    whole = F.max(F.when((F.col("part") == "all") & (F.col("name") == "n"), F.col("n"))).over(Window.partitionBy(F.lit(1)))  # over a few counts
+    years = groups.agg(F.min("low").alias("low"), F.max("high").alias("high")).select(F.explode(F.array(entry("years", F.lit("first"), F.col("low")), entry("years", F.lit("last"), F.col("high")))).alias("e")).select("e.*")
+    return long.withColumn("pct", share(F.col("n"), whole)).union(years.withColumn("pct", F.lit(None).cast("double")))
+
+
+def road_export_stats(df: DataFrame) -> DataFrame:
+    """Exported roads and dated ones of each source; a source that is missing is `unk`."""
+    return df.groupBy(F.coalesce("src", F.lit("unk")).alias("src")).agg(F.count("*").alias("n"), F.count("sd").alias("dated"))
+
+
+def change_counts(df: DataFrame) -> DataFrame:
+    """Roads of each kind of change."""
+    return df.groupBy("change").agg(F.count("*").alias("n"))
+
+
+def inference_stats(df: DataFrame, column: str = "sd_how") -> DataFrame:
+    """(how, n, pct): how roads got their year, with percent of all; no year counts as `none`."""
+    return distribution(df.withColumn("how", F.coalesce(F.col(column), F.lit("none"))), "how")
+
+
+def merge_report(inputs: DataFrame, merged: DataFrame) -> DataFrame:
+    """(part, name, n): input rows, output rows and dated output rows of each source."""
+    part = lambda name, df, n: df.groupBy(F.lit(name).alias("part"), F.col("src").alias("name")).agg(n.alias("n"))
+    return part("inputs", inputs, F.count("*")).union(part("output", merged, F.count("*"))).union(part("dated", merged, F.count("sd")))
+
+
+def store_stats(ev: DataFrame) -> DataFrame:
+    """Per kind of evidence: rows, buildings, rows with an end."""
+    return ev.groupBy("evidence_type").agg(F.count("*").alias("n"), F.countDistinct("building_id").alias("buildings"), F.count("end_year").alias("with_end"))
+
+
+def presence_stats(df: DataFrame, found: str = "found", sure: str = "sure", least: float = 0.7) -> DataFrame:
+    """Rows of five buckets: existed or absent, each sure or not, and no coverage where the confidence is missing."""
+    bucket = F.when(F.col(sure).isNull(), "no coverage").otherwise(F.concat(F.when(F.col(found), "existed").otherwise("absent"), F.when(F.col(sure) >= least, ", sure").otherwise(", unsure")))
+    return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def status(sources: DataFrame, rows: DataFrame, done) -> DataFrame:
+    """Per source (source): its rows and those that are done; sources without rows have none."""
+    return sources.select("source").join(rows, "source", "left").groupBy("source").agg(F.count(F.col("id")).alias("raw"), F.count(F.when(done, 1)).alias("normalized"))

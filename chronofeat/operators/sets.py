@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def dedup_keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key; rows without a key all stay."""
@@ -42,9 +44,30 @@ def replace_source(df: DataFrame, fresh: DataFrame, source: str, column: str = "
 
 
 def even_sample(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """About n rows evenly spaced in an order: every k-th, k the rows divided by n."""
-    from pyspark.sql.window import Window
+    """About n rows evenly spaced in an order: every k-th, k the rows divided by n. The order should leave no ties."""
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    offset, offsets = 0, []
+    for p, k in sorted(map(tuple, ranged.groupBy("_p").count().collect())):  # a row a partition
+        offsets.append((p, offset))
+        offset += k
+    step = max(1, offset // max(n, 1))
+    before = df.sparkSession.createDataFrame(offsets, "_p int, _before long")
+    return ranged.join(F.broadcast(before), "_p").where((F.col("_before") + F.col("_k")) % step == 0).drop("_p", "_k", "_before").orderBy(*order).limit(n)
+
+
+def by_priority(df: DataFrame, catalog: DataFrame, *order: str) -> DataFrame:
+    """Rows in the order of their source's priority (catalog: src, priority), unlisted sources last, then in an explicit order."""
+    return df.join(F.broadcast(catalog.select("src", "priority")), "src", "left").orderBy(F.coalesce("priority", F.lit(999)), *order)
+
+
+def union_sources(*tables: DataFrame) -> DataFrame:
+    """All rows of all tables by column name; columns that one lacks are null there."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
 
-    total = df.count()
-    step = max(1, total // max(n, 1))
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_n") % step == 0).limit(n).drop("_n")
+def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows in an order, as the oldest or the latest ones."""
+    return df.orderBy(*order).limit(n)

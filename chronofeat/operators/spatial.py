@@ -18,13 +18,24 @@ def _own_level(cell: float) -> Column:
     return F.least(F.greatest(F.ceil(F.log(float(FACTOR), F.greatest(extent / cell, F.lit(1e-9)))), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
 
 
-def _cells(df: DataFrame, name: str, cell: float, levels: Column) -> DataFrame:
-    """Each row once for every cell that its box touches on the given levels; column `name` holds the row."""
-    rows = df.where("box IS NOT NULL").select(F.struct("*").alias(name), F.col("box").alias("_box"), _own_level(cell).alias("own"))
-    rows = rows.withColumn("level", F.explode(levels)).withColumn("_size", F.lit(float(cell)) * F.pow(F.lit(float(FACTOR)), "level"))
-    span = lambda a, z: F.sequence(F.floor(F.col(f"_box.{a}") / F.col("_size")), F.floor(F.col(f"_box.{z}") / F.col("_size")))
-    rows = rows.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    return rows.select(name, F.col("own").alias(f"{name}_own"), F.col("_size").alias(f"{name}_size"), "level", "cx", "cy")
+def _cells(df: DataFrame, name: str, cell: float, other: DataFrame, kinds: tuple[list[int], list[int]]) -> DataFrame:
+    """Each row once for every cell that its box touches on its own level and on the other side's levels above; column `name` holds the row.
+
+    kinds: the halves of the join that a row takes part in on its own level, and above it.
+    """
+    top = other.where("box IS NOT NULL").agg(F.coalesce(F.max(_own_level(cell)), F.lit(0)).alias("top"))
+    rows = df.where("box IS NOT NULL").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name), F.col("box").alias("_box"), _own_level(cell).alias("own"), top.scalar().alias("_top"))
+    span = lambda lo, hi, size: F.sequence(F.floor(F.col(f"_box.{lo}") / size), F.floor(F.col(f"_box.{hi}") / size))
+
+    def cells(level: Column) -> Column:
+        size = F.lit(float(cell)) * F.pow(F.lit(float(FACTOR)), level)
+        # nothing stands above its own level on level 0, so half 1 is empty there
+        half = F.when(level == 0, F.array(F.lit(0))).when(level == F.col("own"), F.array(*map(F.lit, kinds[0]))).otherwise(F.array(*map(F.lit, kinds[1])))
+        at = lambda cx, cy: F.transform(half, lambda h: F.struct(size.alias("size"), level.alias("level"), cx.alias("cx"), cy.alias("cy"), h.alias("half")))
+        return F.flatten(F.transform(span("x0", "x1", size), lambda cx: F.flatten(F.transform(span("y0", "y1", size), lambda cy: at(cx, cy)))))
+
+    rows = rows.select(name, F.explode(F.flatten(F.transform(F.sequence("own", F.greatest("own", "_top")), cells))).alias("at"))
+    return rows.select(name, F.col("at.size").alias(f"{name}_size"), *[F.col(f"at.{c}").alias(c) for c in ("level", "cx", "cy", "half")])
 
 
 def box_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
@@ -32,19 +43,15 @@ def box_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
 
     A pair meets on the level of its larger box, in the one cell that holds the lower left corner of
     the boxes' intersection, so no distinct is needed. A row stands on its own level in the few
-    cells that its box touches, and waits on the levels above only for larger boxes there. Rows
-    without a box meet none.
+    cells that its box touches, and waits on the levels above only for larger boxes there: in half
+    0 of the join a row of `a` is on its own level, in half 1 one of `b` is, and that of `a` above.
+    Rows without a box meet none. No job runs before the result is asked for.
     """
-    tops = [df.agg(F.max(_own_level(cell))).first()[0] or 0 for df in (a, b)]
-    own, above = F.array("own"), lambda first, top: F.filter(F.sequence(F.lit(0), F.lit(top)), lambda k: k >= F.col("own") + first)
     x, y = (F.greatest(F.col(f"a.box.{k}"), F.col(f"b.box.{k}")) for k in ("x0", "y0"))
     touch = (x <= F.least("a.box.x1", "b.box.x1")) & (y <= F.least("a.box.y1", "b.box.y1"))
     here = (F.col("cx") == F.floor(x / F.col("a_size"))) & (F.col("cy") == F.floor(y / F.col("a_size")))
-    larger_a = _cells(a, "a", cell, own).join(_cells(b, "b", cell, above(0, tops[0])), ["level", "cx", "cy"]).where(touch & here).select("a", "b")
-    if not tops[1]:
-        return larger_a
-    larger_b = _cells(a, "a", cell, above(1, tops[1])).join(_cells(b, "b", cell, own), ["level", "cx", "cy"]).where(touch & here).select("a", "b")
-    return larger_a.union(larger_b)
+    met = _cells(a, "a", cell, b, ([0], [1])).join(_cells(b, "b", cell, a, ([0, 1], [0])), ["level", "cx", "cy", "half"])
+    return met.where(touch & here).select("a", "b")
 
 
 def box_area(b: Column) -> Column:

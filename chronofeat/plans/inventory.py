@@ -1,4 +1,4 @@
-"""Further registered queries of operators that the main registry does not show; the README lists those without one."""
+"""Further registered queries of operators that the main registry does not show."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, geo
 from ..operators import evidence, filters, link, reports, resolve, roads, sets, spatial
 from ..sources import normalize
-from .registry import ESTIMATE, OVERLAP, SMALLER, TOUCH, _estimates, query
+from .registry import ESTIMATE, _estimates, query
 
 # ---------------------------------------------------------------- C, D
 
@@ -32,24 +32,20 @@ def d9_building_at_point(v):
 
 @query("SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
 def d16_enrich_by_ref(v):
-    return v.table("lineitem").join(v.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey", "left").select("l_orderkey", "l_linenumber", "o_orderpriority")
+    roads = v.table("lineitem").select("l_orderkey", "l_linenumber", F.lit("F").alias("category"), F.col("l_orderkey").alias("number"))
+    register = v.table("orders").select(F.lit("F").alias("category"), F.col("o_orderkey").alias("number"), "o_orderpriority")
+    return link.enrich_by_number(roads, register, ("category", "number"), "o_orderpriority").select("l_orderkey", "l_linenumber", "o_orderpriority")
 
 
 @query(ESTIMATE.replace("SELECT d.building_id,", ", est AS (SELECT d.building_id,", 1) + ") SELECT e.building_id, e.start_year, b.src FROM est e JOIN base_features b ON b.ord = e.building_id WHERE method = 'exact' ORDER BY start_year, e.building_id LIMIT 5")
 def d19_oldest_exact(v):
     found = _estimates(v).where("method = 'exact'").join(v("base_features").select(F.col("ord").alias("building_id"), "src"), "building_id")
-    return found.orderBy("start_year", "building_id").limit(5).select("building_id", "start_year", "src")
-
-
-@query("SELECT floor((b.x0 + b.x1) / 2.0 / 1000) AS col, floor((b.y0 + b.y1) / 2.0 / 1000) AS row, count(*) AS n FROM base_features b GROUP BY 1, 2")
-def d20_features_to_tiles(v):
-    cell = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2 / 1000).cast("double")
-    return v("base_features").groupBy(cell("x0", "x1").alias("col"), cell("y0", "y1").alias("row")).agg(F.count("*").alias("n"))
+    return sets.first_rows(found, 5, "start_year", "building_id").select("building_id", "start_year", "src")
 
 
 @query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def d22_apply_labels(v):
-    return v.table("documents").join(v.table("labels"), "doc_id", "left").select("doc_id", "source", "quality", "toxic")
+    return link.enrich(v.table("documents"), v.table("labels"), "doc_id", "quality", "toxic").select("doc_id", "source", "quality", "toxic")
 
 
 # ---------------------------------------------------------------- E
@@ -57,13 +53,12 @@ def d22_apply_labels(v):
 
 @query("SELECT 'inputs' AS part, src AS name, count(*) AS n FROM date_features GROUP BY src UNION ALL SELECT 'output', src, count(*) FROM base_features GROUP BY src UNION ALL SELECT 'dated', src, count(sd) FROM base_features GROUP BY src")
 def e3_merge_report(v):
-    part = lambda name, df, n: df.groupBy(F.lit(name).alias("part"), F.col("src").alias("name")).agg(n.alias("n"))
-    return part("inputs", v("date_features"), F.count("*")).union(part("output", v("base_features"), F.count("*"))).union(part("dated", v("base_features"), F.count("sd")))
+    return reports.merge_report(v("date_features"), v("base_features"))
 
 
 @query("SELECT evidence_type, count(*) AS n, count(DISTINCT building_id) AS buildings, count(end_year) AS with_end FROM evidence GROUP BY evidence_type")
 def e7_store_stats(v):
-    return v("evidence").groupBy("evidence_type").agg(F.count("*").alias("n"), F.countDistinct("building_id").alias("buildings"), F.count("end_year").alias("with_end"))
+    return reports.store_stats(v("evidence"))
 
 
 @query("""SELECT id, count(DISTINCT map_year) AS checked, count(DISTINCT CASE WHEN found THEN map_year END) AS seen, min(CASE WHEN found THEN map_year END) AS verified_by, CASE WHEN count(DISTINCT CASE WHEN found THEN map_year END) >= 3 THEN 'h' WHEN count(DISTINCT CASE WHEN found THEN map_year END) = 2 THEN 'm' ELSE 'l' END AS ev
@@ -75,9 +70,8 @@ def e10_fold_detections(v):
 
 @query("SELECT CASE WHEN sure IS NULL THEN 'no coverage' ELSE CASE WHEN found THEN 'existed' ELSE 'absent' END || CASE WHEN sure >= 0.7 THEN ', sure' ELSE ', unsure' END END AS bucket, count(*) AS n FROM (SELECT p_size % 2 = 0 AS found, CASE WHEN p_size % 7 > 0 THEN p_size / 50.0 END AS sure FROM part) GROUP BY 1")
 def e11_presence_stats(v):
-    found, sure = F.col("p_size") % 2 == 0, F.when(F.col("p_size") % 7 > 0, F.col("p_size") / 50.0)
-    bucket = F.when(sure.isNull(), "no coverage").otherwise(F.concat(F.when(found, "existed").otherwise("absent"), F.when(sure >= 0.7, ", sure").otherwise(", unsure")))
-    return v.table("part").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    size = F.col("p_size")
+    return reports.presence_stats(v.table("part").select((size % 2 == 0).alias("found"), F.when(size % 7 > 0, size / 50.0).alias("sure")))
 
 
 @query("SELECT count(*) AS n, count(sd) AS dated, min(sd) AS first_year, max(sd) AS last_year FROM base_features")
@@ -110,7 +104,9 @@ def e28_gcp_bounds(v):
 
 @query("SELECT n_name AS source, count(c_custkey) AS raw, count(CASE WHEN c_acctbal > 0 THEN 1 END) AS normalized FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
 def e31_status(v):
-    return v.table("nation").join(v.table("customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("source")).agg(F.count("c_custkey").alias("raw"), F.count(F.when(F.col("c_acctbal") > 0, 1)).alias("normalized"))
+    nation = v.table("nation").select(F.col("n_name").alias("source"), "n_nationkey")
+    rows = v.table("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("source", F.col("c_custkey").alias("id"), "c_acctbal")
+    return reports.status(nation, rows, F.col("c_acctbal") > 0)
 
 
 # ---------------------------------------------------------------- F
@@ -142,16 +138,13 @@ def f15_apply_presence(v):
     return resolve.apply_presence(rows, rows.where("id % 3 = 0")).select("id", "sd", "sd_min")
 
 
-@query(f"""WITH p AS (SELECT a.did AS a, b.did AS b FROM (SELECT * FROM date_features WHERE did % 8 IN (1, 2)) a JOIN (SELECT * FROM date_features WHERE did % 8 IN (1, 2)) b ON {TOUCH} AND a.did < b.did WHERE 2 * {OVERLAP} >= {SMALLER}) SELECT a, b FROM p""")
-def d24_chain_match(v):
-    first = v("date_features").where("did % 8 IN (1, 2)")
-    return link.link_by_overlap(first, first).where("a.did < b.did").select(F.col("a.did").alias("a"), F.col("b.did").alias("b"))
-
-
-@query()
+@query("""WITH q AS (SELECT -1 - o_orderkey AS id, (o_orderkey * 7919) % 40000 AS x, (o_orderkey * 104729) % 15000 AS y FROM orders WHERE o_orderkey % 50 = 0), d AS (SELECT id, x, y, sd FROM registry_points WHERE ev IN ('h', 'm')),
+    p AS (SELECT q.id, d.id AS donor, d.sd, sqrt(pow(CAST(q.x - d.x AS DOUBLE), 2) + pow(CAST(q.y - d.y AS DOUBLE), 2)) AS distance FROM q, d), m AS (SELECT id, CAST(trunc(median(sd)) AS INT) AS near FROM p WHERE distance <= 500 GROUP BY id), n AS (SELECT id, sd AS far FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, donor) AS k FROM p) WHERE k = 1)
+    SELECT q.id, coalesce(near, far) AS sd, CASE WHEN near IS NOT NULL THEN 'median' ELSE 'nearest' END AS sd_method FROM q LEFT JOIN m ON m.id = q.id LEFT JOIN n ON n.id = q.id""")
 def f2_inherit_dates_tiered(v):
+    """Every order divisible by 50 asks all registry points."""
     key = F.col("o_orderkey")
-    asked = v.table("orders").where(key % 20 == 0).select((-1 - key).alias("id"), ((key * 7919) % 40_000).alias("x"), ((key * 104_729) % 15_000).alias("y"), F.lit(None).cast("int").alias("sd"), F.lit("l").alias("ev"))
+    asked = v.table("orders").where(key % 50 == 0).select((-1 - key).alias("id"), ((key * 7919) % 40_000).alias("x"), ((key * 104_729) % 15_000).alias("y"), F.lit(None).cast("int").alias("sd"), F.lit("l").alias("ev"))
     out = resolve.inherit_dates_tiered(asked.union(v("registry_points").select("id", "x", "y", "sd", "ev")), 500.0, scale=(1.0, 1.0))
     return out.where("id < 0").select("id", "sd", "sd_method")
 
@@ -166,7 +159,7 @@ def f20_split_at_crossings(v):
 
 @query("SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
 def g5_recent(v):
-    return v.table("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "user_id")
+    return sets.first_rows(v.table("events"), 10, F.desc("ts"), F.desc("event_id")).select("event_id", "user_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY source, doc_id LIMIT 40")
