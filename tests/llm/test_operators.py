@@ -537,8 +537,8 @@ def test_languages(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(table, {}).collect()} == {"und"}
 
 
-def smallest(texts, dictionaries):
-    """Names of the smallest and next sizes, by plain zstandard."""
+def smallest(texts, dictionaries, least=None):
+    """Name of the smallest size and how far the next lies behind, by plain zstandard; with `least` also as a share of that many bytes at most."""
     out = []
     for text in texts:
         data = re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode()
@@ -549,7 +549,8 @@ def smallest(texts, dictionaries):
             c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False)
             sizes.append((len(c.compress(data)), name))
         sizes.sort()
-        out.append((sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]))
+        margin = sizes[1][0] - sizes[0][0]
+        out.append((sizes[0][1], margin / sizes[1][0]) if least is None else (sizes[0][1], margin / sizes[1][0], margin / min(sizes[1][0], least)))
     return out
 
 

@@ -1,7 +1,10 @@
 """The pipeline's stages, each on what the one before it wrote."""
 
+import collections
 import os
 import random
+import re
+import sys
 
 import pytest
 
@@ -41,3 +44,54 @@ def test_names():
     names = queries.queries()
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage on its own input, against plain Python over whole texts."""
+    sys.path.insert(0, os.path.dirname(__file__))
+    from test_operators import hit, joined, smallest
+
+    from chronofeat.llm import langid, mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    kept = lambda df: {r.doc_id for r in df.collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    # language ID: a letter, and a lead over the runner-up
+    dictionaries = langid.train(docs.where(~langid.held_out()))
+    rows = [r for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)]
+    leads = smallest([r.text for r in rows], dictionaries, least=langid.FULL)
+    docs_1 = stage["language_id"](spark, docs, SF)
+    assert kept(docs_1) == {r.doc_id for r, (_, _, lead) in zip(rows, leads, strict=True) if lead >= corpus_pipeline.MARGIN}
+    # near duplicates: the smallest id of each group
+    plain = [(r.doc_id, r.text) for r in docs_1.collect()]
+    docs_2 = stage["ngram_jaccard_join"](spark, docs_1, SF)
+    assert kept(docs_2) == {k for k, _, c in joined(plain, 5, 80) if k == c}
+    # benchmark passages
+    plain = [(r.doc_id, r.text) for r in docs_2.collect()]
+    docs_3 = stage["benchmark_decontamination"](spark, docs_2, SF)
+    assert kept(docs_3) == {k for k, x in hit(plain, items).items() if not x[4]}
+    # mixing: each source near its target, no document more than twice, all columns as they were
+    before, after = docs_3.collect(), stage["source_mixing"](spark, docs_3, SF).collect()
+    size = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in before}
+    sources = sorted({r.source for r in before if r.source is not None}) + ([None] if any(r.source is None for r in before) else [])
+    total = {s: sum(size[r.doc_id] for r in before if r.source == s) for s in sources}
+    goal = dict(zip(sources, mixing.targets([total[s] for s in sources], [(3.0, 1.0, 2.0)[k % 3] for k in range(len(sources))], 1.5, 2.0), strict=True))
+    for s in sources:
+        assert abs(sum(size[r.doc_id] for r in after if r.source == s) - goal[s]) <= max(size[r.doc_id] for r in before if r.source == s)
+    times = collections.Counter(r.doc_id for r in after)
+    assert max(times.values()) <= 2 and set(map(tuple, after)) <= set(map(tuple, before))
+    # sharding: every row once, slots without gaps, equal texts together, no shard above the least possible size
+    mixed = spark.createDataFrame(after, docs.schema)
+    shards = stage["sharding"](spark, mixed, SF).collect()
+    assert len(shards) == len(after)
+    groups, of = collections.Counter(), collections.defaultdict(set)
+    for r in shards:
+        groups[r.text_crc32, r["size"]] += r["size"]
+        of[r.shard].add(r.slot)
+    assert all(slots == set(range(len(slots))) for slots in of.values()) and set(of) <= set(range(8))
+    load = collections.Counter()
+    for r in shards:
+        load[r.shard] += r["size"]
+    assert max(load.values()) <= sum(load.values()) / 8 + max(groups.values())
