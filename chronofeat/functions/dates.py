@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 MIN_YEAR, MAX_YEAR, MIN_PREHISTORIC = 1700, 2030, -5000
 PERIODS = (("middelalder", 1300), ("vikingtid", 900), ("jernald", 500), ("bronsealder", -1000), ("steinalder", -3000))
 
+#: Notations of years.
 RANGE = r"^(\d{4})\s*[-–]\s*(\d{4})$"
 DECADE = r"^(\d{3})0s$"
 PART_OF_DECADE = r"^(early|late|mid)\s+(\d{3})0s$"
 CENTURY = r"^(\d{1,2})(?:st|nd|rd|th)\s+century"
 HUNDREDS = r"^(\d{2})00-tallet$"
-#: Pattern, group, factor and shift of notations that give one year.
+#: Pattern, group, factor and shift of notations that give one year, in the order they are tried.
 SINGLE = (
     (r"^(\d{4})$", 1, 1, 0),
     (r"^[~c]a?\s*(\d{4})$", 1, 1, 0),
     (r"^(\d{4})-\d{1,2}", 1, 1, 0),
     (RANGE, 1, 1, 0),
     (DECADE, 1, 10, 0),
+    (PART_OF_DECADE, 2, 10, 0),
     (CENTURY, 1, 100, -100),
     (HUNDREDS, 1, 100, 50),
 )
@@ -37,7 +39,7 @@ def within_window(year: Column, low: int = MIN_YEAR, high: int = MAX_YEAR) -> Co
 
 
 def _plain(value: Column) -> Column:
-    return F.lower(F.trim(value.cast("string")))
+    return F.lower(F.btrim(value.cast("string"), F.lit(" \t\n\r\x0b\x0c")))
 
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -49,13 +51,10 @@ def parse_year(value: Column) -> Column:
     text = _plain(value)
     # a text that fits a notation is not tried by later ones, even if its year is not valid
     out = F.when(F.lit(False), F.lit(0))
-    for pattern, group, factor, shift in SINGLE[:5]:
-        out = out.when(text.rlike(pattern), within_window(_group(text, pattern, group) * factor + shift))
     part = F.regexp_extract(text, PART_OF_DECADE, 1)
-    shift = F.when(part == "early", 0).when(part == "mid", 5).otherwise(7)
-    out = out.when(text.rlike(PART_OF_DECADE), within_window(_group(text, PART_OF_DECADE, 2) * 10 + shift))
-    for pattern, group, factor, shift in SINGLE[5:]:
-        out = out.when(text.rlike(pattern), within_window(_group(text, pattern, group) * factor + shift))
+    into = F.when(part == "mid", 5).when(part == "late", 7).otherwise(0)
+    for pattern, group, factor, shift in SINGLE:
+        out = out.when(text.rlike(pattern), within_window(_group(text, pattern, group) * factor + shift + (into if pattern == PART_OF_DECADE else 0)))
     for word, year in PERIODS:
         out = out.when(text.contains(word), within_window(F.lit(year), MIN_PREHISTORIC))
     return out.otherwise(within_window(_group(text, r"\b(1[0-9]{3}|20[0-3][0-9])\b")))

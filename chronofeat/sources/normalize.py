@@ -17,21 +17,32 @@ HIGHWAYS = {
 }
 ROAD_DATES = ("start_date", "construction_date", "nvdb:date", "opening_date")
 BUILDING_DATES = ("start_date", "construction_date", "building:start_date")
-#: Cadastre: codes of each building category.
+#: Cadastre: category of each building code.
 CADASTRE = {
-    "residential": "111 112 113 121 122 123 131 133 135 136 141 142 143 144 145 146",
-    "industrial": "211 212 214 216 219",
-    "commercial": "311 312 313 319 321 322 323 329",
-    "public": "611 612 613 614 615 616 619 621 623 629 641 642 651 661 662",
-    "religious": "671 672 673 674 675",
-    "agricultural": "241 243 244 245 248",
-    "transport": "441 449",
-    "leisure": "161 162 163 171 181 182 183",
-}
+    "111": "residential", "112": "residential", "113": "residential", "121": "residential", "122": "residential", "123": "residential",
+    "131": "residential", "133": "residential", "135": "residential", "136": "residential", "141": "residential", "142": "residential",
+    "143": "residential", "144": "residential", "145": "residential", "146": "residential",
+    "211": "industrial", "212": "industrial", "214": "industrial", "216": "industrial", "219": "industrial",
+    "311": "commercial", "312": "commercial", "313": "commercial", "319": "commercial", "321": "commercial", "322": "commercial",
+    "323": "commercial", "329": "commercial",
+    "611": "public", "612": "public", "613": "public", "614": "public", "615": "public", "616": "public",
+    "619": "public", "621": "public", "623": "public", "629": "public", "641": "public", "642": "public",
+    "651": "public", "661": "public", "662": "public",
+    "671": "religious", "672": "religious", "673": "religious", "674": "religious", "675": "religious",
+    "241": "agricultural", "243": "agricultural", "244": "agricultural", "245": "agricultural", "248": "agricultural",
+    "441": "transport", "449": "transport",
+    "161": "leisure", "162": "leisure", "163": "leisure", "171": "leisure", "181": "leisure", "182": "leisure",
+    "183": "leisure",
+}
 #: Registry: words of a building's function and codes that tell its category, in the order they are tried; first and last year of time codes.
 FUNCTIONS = (("residential", "bolig|hus|bu"), ("agricultural", "fjøs|løe|stall|låve|naust"), ("commercial", "fabrikk|verksted|butikk|handel"), ("religious", "kirke|kapell|bedehus"), ("ruin", "ruin|rest|tomt"))
 FUNCTION_CODES = (("residential", ("111", "112", "113", "171")), ("agricultural", ("151", "152", "153", "161", "162")), ("ruin", ("249",)))
-TIME_CODES = {"166": (1660, 1700), **{str(c): (c * 10, c * 10 + 10) for c in range(170, 190)}, "190": (1900, 1920), "191": (1920, 1945)}
+TIME_CODES = {
+    "166": (1660, 1700), "170": (1700, 1710), "171": (1710, 1720), "172": (1720, 1730), "173": (1730, 1740), "174": (1740, 1750),
+    "175": (1750, 1760), "176": (1760, 1770), "177": (1770, 1780), "178": (1780, 1790), "179": (1790, 1800), "180": (1800, 1810),
+    "181": (1810, 1820), "182": (1820, 1830), "183": (1830, 1840), "184": (1840, 1850), "185": (1850, 1860), "186": (1860, 1870),
+    "187": (1870, 1880), "188": (1880, 1890), "189": (1890, 1900), "190": (1900, 1920), "191": (1920, 1945),
+}
 #: Road database: classes by category and by type, name prefixes of categories.
 CATEGORIES = {"E": "motorway", "R": "primary", "F": "secondary", "K": "tertiary", "P": "residential", "S": "track"}
 ROAD_TYPES = {"kanalisertVeg": "motorway", "enkelBilveg": "secondary", "rampe": "service", "rundkjøring": "service", "gangOgSykkelveg": "path", "sykkelveg": "path", "gangveg": "path", "gågate": "path", "fortau": "path"}
@@ -189,8 +200,7 @@ def normalize_registry(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def normalize_cadastre(df: DataFrame) -> DataFrame:
     """Cadastre buildings: the building number or else the local id, category of the code, no years, evidence h."""
-    codes = {c: name for name, cs in CADASTRE.items() for c in cs.split()}
-    return df.select(F.lit("fkb_bygning").alias("src"), F.coalesce("bygningsnummer", "lokalId").alias("src_id"), F.lit(None).cast("int").alias("sd"), F.lit("h").alias("ev"), F.element_at(text.map_literal(codes), F.trim("bygningstype")).alias("bt"), "geometry")
+    return df.select(F.lit("fkb_bygning").alias("src"), F.coalesce("bygningsnummer", "lokalId").alias("src_id"), F.lit(None).cast("int").alias("sd"), F.lit("h").alias("ev"), F.element_at(text.map_literal(CADASTRE), F.trim("bygningstype")).alias("bt"), "geometry")
 
 
 def normalize_listings(df: DataFrame) -> DataFrame:
