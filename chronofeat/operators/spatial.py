@@ -128,6 +128,7 @@ def nearest_k(a: DataFrame, donors: DataFrame, k: int, cell: float, scale: tuple
         there = places.withColumn("cx", F.floor(F.col("dx") / size)).withColumn("cy", F.floor(F.col("dy") / size))
         hits = asked.join(there, ["cx", "cy"]).withColumn("distance", F.sqrt(F.pow(F.col("ax") - F.col("dx"), 2) + F.pow(F.col("ay") - F.col("dy"), 2)))
         hits = hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= need).select(key, "donor", "distance", "rank")
+        hits = cut(hits)  # the join of a level is evaluated once
         final = hits.groupBy(key).agg(F.max("rank").alias("n"), F.max("distance").alias("far")).where((F.col("n") == need) & (F.col("far") <= size)).select(key)
         found = hits.join(final, key, "left_semi")
         left = cut(left.join(final, key, "left_anti"))
