@@ -169,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge table (a, b): the smallest node that each reaches, by label spreading and pointer jumping until nothing changes."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
+    for _ in range(link.MAX_ROUNDS):
         near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = label.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = new.alias("n").join(new.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
@@ -177,6 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
         if jump.where("label <> old").isEmpty():
             return jump.select("node", F.col("label").alias("component"))
         label = jump.select("node", "label")
+    raise RuntimeError(f"components did not settle in {link.MAX_ROUNDS} rounds")
 
 
 def cluster_buildings(df: DataFrame, radius: float = 20.0, years: int = 5, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
