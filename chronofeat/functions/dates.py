@@ -123,7 +123,10 @@ ERAS = {
     4: ((1850, "before 1850"), (1900, "1850-1899"), (1950, "1900-1949"), (None, "1950 on")),
     5: ((1850, "before 1850"), (1900, "1850-1899"), (1950, "1900-1949"), (1980, "1950-1979"), (None, "1980 on")),
     6: ((1800, "before 1800"), (1850, "1800-1849"), (1900, "1850-1899"), (1950, "1900-1949"), (2000, "1950-1999"), (None, "2000 on")),
+    7: ((1750, "Early 18th Century"), (1800, "Late 18th Century"), (1850, "Early 19th Century"), (1900, "Late 19th Century"), (1950, "Early 20th Century"), (2000, "Late 20th Century"), (None, "21st Century")),
 }
+#: Names of the data behind a year, from it and up to it (exclusive).
+DATA_SOURCES = ((None, 1900, "SEFRAK (Riksantikvaren)"), (1800, 1950, "Kartverket Historical"), (1950, None, "OpenStreetMap"))
 
 
 def era(year: Column, bins: int = 3) -> Column:
@@ -132,3 +135,12 @@ def era(year: Column, bins: int = 3) -> Column:
     for end, name in ERAS[bins]:
         out = out.otherwise(name) if end is None else out.when(year < end, name)
     return out
+
+
+def data_sources(year: Column) -> Column:
+    """The names of the data that a year is shown from, joined by ` + `; empty for null."""
+    names = []
+    for low, high, name in DATA_SOURCES:
+        within = F.lit(True) if low is None else year >= low
+        names.append(F.when((within if high is None else within & (year < high)), name))
+    return F.concat_ws(" + ", *names)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.geo import GEOMETRY
+
 # ---------------------------------------------------------------- polygons
 
 
@@ -216,3 +218,35 @@ def ring_fault(p: np.ndarray) -> str | None:
         if cross.any():
             return "crossing"
     return None
+
+
+# ---------------------------------------------------------------- columns
+
+
+def simplified(tolerance: float, scale: tuple[float, float] = (1.0, 1.0)):
+    """A pandas UDF of a geometry: each ring or line simplified by a tolerance in metres; a ring's ends stay its ends. Null stays null."""
+
+    def one(ring) -> list[dict]:
+        p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
+        kept = simplify(p * scale, tolerance) / scale if len(p) > 2 else p
+        return [{"x": x, "y": y} for x, y in kept.tolist()]
+
+    @F.pandas_udf(GEOMETRY)
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        parts = [None if kind is None else [[one(ring) for ring in part] for part in parts] for kind, parts in zip(g["gtype"], g["parts"], strict=True)]
+        return pd.DataFrame({"gtype": g["gtype"], "parts": parts})
+
+    return run
+
+
+@F.pandas_udf(T.StringType())
+def geometry_fault(g: pd.DataFrame) -> pd.Series:
+    """The fault of a polygon's first faulty ring: too short, open, crossing; null for none, and for other geometries."""
+
+    def first(kind, parts):
+        if kind not in ("Polygon", "MultiPolygon"):
+            return None
+        rings = (np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2) for part in parts for ring in part)
+        return next((fault for p in rings if (fault := ring_fault(p))), None)
+
+    return pd.Series([first(*x) for x in zip(g["gtype"], g["parts"], strict=True)], dtype=object)

@@ -665,4 +665,4 @@ def d14_match_roads(v):
 def f16_cluster_buildings(v):
     return resolve.cluster_buildings(v("registry_points"), 300.0, 25)
 
-from . import further, inventory, rows  # noqa: E402, F401  register the rest
+from . import further, inventory, rows, shapes  # noqa: E402, F401  register the rest

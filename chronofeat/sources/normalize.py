@@ -185,10 +185,11 @@ def decode_time_code(code: Column) -> Column:
 
 def normalize_registry(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(buildings, rejected rows with a reason) of registry points: middle year of the building period, demolished for status 0, degrees from UTM."""
-    start, end = dates.parse_year(F.col("start_date")), dates.parse_year(F.col("end_date"))
-    year = F.when(end > start, dates.mid_year(start, end)).otherwise(start)
-    reason = F.when(F.col("easting").isNull() | F.col("northing").isNull(), "no_geometry").when(F.coalesce("sefrak_id", F.lit("")) == "", "no_id").when(year.isNull(), "no_date")
-    rows = df.withColumn("reason", reason).withColumn("_sd", year)
+    ends = F.array(F.struct(dates.parse_year(F.col("start_date")).alias("a"), dates.parse_year(F.col("end_date")).alias("b")))
+    # each date is parsed once, whatever the number of its uses
+    year = F.get(F.transform(ends, lambda p: F.when(p["b"] > p["a"], dates.mid_year(p["a"], p["b"])).otherwise(p["a"])), F.lit(0))
+    reason = F.when(F.col("easting").isNull() | F.col("northing").isNull(), "no_geometry").when(F.coalesce("sefrak_id", F.lit("")) == "", "no_id").when(F.col("_sd").isNull(), "no_date")
+    rows = df.withColumn("_sd", year).withColumn("reason", reason)
     place = geo.utm32_to_lonlat(F.col("easting"), F.col("northing"))
     good = rows.where("reason IS NULL").select(
         F.lit("sefrak").alias("src"), F.col("sefrak_id").alias("src_id"), F.col("_sd").alias("sd"), F.lit("h").alias("ev"),
@@ -307,7 +308,7 @@ def extract_listing(url: Column, page: Column) -> Column:
 def normalize_property(df: DataFrame) -> DataFrame:
     """Property rows: year of a month/day/year date, place from UTM, rows without any text left out."""
     place = geo.utm32_to_lonlat(F.col("easting"), F.col("northing"))
-    return df.select("property_id", "address", dates.year_of_slashed_date(F.col("built")).alias("sd"), place.alias("place")).where("coalesce(property_id, address) IS NOT NULL")
+    return df.select("property_id", "address", dates.year_of_slashed_date(F.col("built")).alias("sd"), place.alias("place")).where("property_id IS NOT NULL OR address IS NOT NULL")
 
 
 NORMALIZERS = {"osm": normalize_osm, "osm_roads": normalize_osm_roads, "sefrak": normalize_registry, "fkb_bygning": normalize_cadastre, "finn": normalize_listings, "manual": normalize_manual, "nvdb": normalize_nvdb, "water": normalize_water}

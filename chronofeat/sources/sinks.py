@@ -24,11 +24,15 @@ def geometry_to_json(geometry):
     return F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}"))
 
 
-def to_geojson_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """One GeoJSON feature a row, as column `value`; nulls and columns that begin with `_` are left out."""
+def feature_text(df: DataFrame, geometry: str = "geometry"):
+    """The column of a row's GeoJSON feature; nulls and columns that begin with `_` are left out."""
     names = [c for c in df.columns if c != geometry and not c.startswith("_")]
-    text = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*names)), F.lit(',"geometry":'), F.coalesce(geometry_to_json(F.col(geometry)), F.lit("null")), F.lit("}"))
-    return df.select(text.alias("value"))
+    return F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*names)), F.lit(',"geometry":'), F.coalesce(geometry_to_json(F.col(geometry)), F.lit("null")), F.lit("}"))
+
+
+def to_geojson_lines(df: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """One GeoJSON feature a row, as column `value`."""
+    return df.select(feature_text(df, geometry).alias("value"))
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet", by: str = "src") -> None:
