@@ -12,8 +12,10 @@ of a smaller key, or earlier in the same one. The corpus is never one text in on
 3. Bounded blocks of whole anchor groups get a suffix array: suffixes smaller than their successors
    are sorted directly, the others induced by bucket scans; adjacent common prefixes of `length`
    show equal windows, of which all but the first are repeated.
-4. An anchor with more than HOT different slices is no block: its windows are keyed by themselves,
-   and an aggregation finds each one's first place.
+4. An anchor with more than HOT different slices would be too much for one task: its slices are
+   split into their windows, which meet by the hash of their bytes. Suffix arrays of the windows
+   of one task's batches thin them before the shuffle, and step 3 does the rest: of windows of one
+   hash only those not yet known to be repeated are kept from one block to the next.
 
 Slice contents are compared by 64-bit hashes in step 2, by their bytes in steps 3 and 4.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import PIECE_BYTES, materialize, mix64, pieces, powers, prefix_hash, span_hash, text_buffer
 
-#: Bytes of an anchor; of a part of a long text that is looked at on its own; of a block; slices of an anchor in a block at most.
+#: Bytes of an anchor; of a part of a long text that is looked at on its own; of a block; different slices of an anchor above which they are split into windows.
 ANCHOR, PART, BLOCK, HOT = 24, 1 << 22, 1 << 19, 20_000
 LAST = np.iinfo(np.int64).max
 
@@ -222,28 +224,73 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, len
     return d[later], s[later]
 
 
-def _blocks(length: int):
-    """Repeated spans of slices sorted by anchor, whole anchor groups together."""
+def _blocks(length: int, windows: bool = False):
+    """Repeated spans of slices sorted by anchor, whole anchor groups together; of slices of one window each, groups may fill several blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
-        size, open_anchor = 0, None
+        size, open_anchor, opened = 0, None, 0  # opened: where the open anchor's slices begin
         for batch in batches:
             for anchor, doc, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > BLOCK and anchor != open_anchor:
-                    yield _block(held, length)
-                    held, size = [], 0
+                if size > BLOCK and (windows or anchor != open_anchor):
+                    d, s = _repeated(held, length)
+                    yield _block(d, s, length)
+                    again = set(zip(d.tolist(), s.tolist(), strict=True)) if anchor == open_anchor else ()
+                    held = [x for x in held[opened:] if x[:2] not in again] if anchor == open_anchor else []
+                    size, opened = sum(len(x[2]) for x in held), 0
+                if anchor != open_anchor:
+                    open_anchor, opened = anchor, len(held)
                 held.append((doc, start, text))
-                size, open_anchor = size + len(text), anchor
+                size += len(text)
         if held:
-            yield _block(held, length)
+            yield _block(*_repeated(held, length), length)
 
     return run
 
 
-def _block(held: list[tuple[int, int, bytes]], length: int) -> pa.RecordBatch:
+def _windows(length: int):
+    """The windows of slices, as (anchor, doc, start, stop, slice): those that a block shows to be repeated as spans without bytes, the others keyed by the hash of their bytes."""
+
+    def rows(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        doc, start = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
+        data = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
+        sizes = np.array([len(x[2]) for x in held])
+        many, begin = sizes - length + 1, np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(held)), many)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        d, s, at = doc[row], start[row] + inner, begin[row] + inner
+        gone_doc, gone_start = _repeated(held, length)
+        gone = set(zip(gone_doc.tolist(), gone_start.tolist(), strict=True))
+        left = np.array([x not in gone for x in zip(d.tolist(), s.tolist(), strict=True)], bool)
+        spans = _block(gone_doc, gone_start, length)
+        n, key = len(spans), span_hash(prefix_hash(data), at[left], at[left] + length).view(np.int64)
+        columns = [np.zeros(n, np.int64), *(spans.column(k).to_numpy() for k in range(3))], [key, d[left], s[left], s[left] + length]
+        text = [None] * n + [data[i : i + length].tobytes() for i in at[left].tolist()]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*columns, strict=True)), pa.array(text, pa.binary())], ["anchor", "doc", "start", "stop", "slice"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        size = 0
+        for batch in batches:
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(x)
+                size += len(x[2])
+                if size > BLOCK:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return run
+
+
+def _repeated(held: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
     doc, start = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
-    d, s = repeated_windows([x[2] for x in held], doc, start, length)
+    return repeated_windows([x[2] for x in held], doc, start, length)
+
+
+def _block(d: np.ndarray, s: np.ndarray, length: int) -> pa.RecordBatch:
+    """The windows (d, s) joined to spans."""
     order = np.lexsort((s, d))
     d, s = d[order], s[order]
     if len(d):
@@ -310,11 +357,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", t
     slices = rows.join(by_doc, "doc").select("doc", "text", "wanted").mapInArrow(_cut, "anchor long, doc long, start long, slice binary")
     hot = materialize(open_ones.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
     if not hot.isEmpty():
-        own = slices.join(hot, "anchor").withColumn("at", F.explode(F.sequence(F.lit(0), F.length("slice") - length)))
-        own = own.select("doc", (F.col("start") + F.col("at")).alias("start"), F.expr(f"substring(slice, at + 1, {length})").alias("window"))
-        least = own.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
-        later = own.join(least, "window").where(F.struct("doc", "start") > F.col("first"))
-        found = found.union(later.select("doc", "start", (F.col("start") + length).alias("stop")))
+        own = slices.join(hot, "anchor").select("doc", "start", "slice").mapInArrow(_windows(length), "anchor long, doc long, start long, stop long, slice binary")
+        own = materialize(own, "windows")
+        apart = own.where("slice IS NOT NULL").select("anchor", "doc", "start", "slice").repartition("anchor").sortWithinPartitions("anchor")
+        found = found.union(own.where("slice IS NULL").select("doc", "start", "stop")).union(apart.mapInArrow(_blocks(length, windows=True), "doc long, start long, stop long"))
         slices = slices.join(hot, "anchor", "left_anti")
     found = found.union(slices.select("anchor", "doc", "start", "slice").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_blocks(length), "doc long, start long, stop long"))
     merged = found.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

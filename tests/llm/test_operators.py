@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -472,9 +473,10 @@ def removed(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeats(spark, docs, empty, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "block"), [(20_000, 1 << 19), (1, 1 << 19), (1, 3000)])
+def test_repeats(spark, docs, empty, monkeypatch, hot, block):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     rng = random.Random(1)
     rows = [(r[0], r[1]) for r in documents()] + [(900, "a" * 700), (901, "ab" * 400), (902, "ab" * 60 + "é" * 80), (903, "".join(rng.choice("ab ") for _ in range(3000)))]
     rows.append((904, rows[-1][1][500:900] + "zz" + rows[-1][1][1000:1300]))
@@ -499,6 +501,22 @@ def test_repeated_row_with_a_shared_passage(spark, monkeypatch, hot):
     assert collections.Counter(plain(*r) for r in found) == collections.Counter(plain(k, *want[k]) for k, _ in rows)
 
 
+def test_windows_of_one_key_in_several_blocks(monkeypatch):
+    """Many places of few windows, in blocks much smaller than a key's rows: all but each one's first are found, and little is held."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
+    rng = random.Random(5)
+    texts = {k: [bytes(rng.choices(b"abc", k=100)) for _ in range(2)] for k in (7, 8)}  # equal texts have one key
+    places = rng.sample([(d, 1000 * s) for d in range(9) for s in range(100)], 400)
+    rows = sorted(((rng.choice([7, 8]), d, s) for d, s in places), key=lambda r: r[0])  # a key's places come in any order
+    rows = [(k, d, s, rng.choice(texts[k])) for k, d, s in rows]
+    first = {}
+    for _, d, s, x in rows:
+        first[x] = min(first.get(x, (d, s)), (d, s))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 50], strict=True)], ["anchor", "doc", "start", "slice"]) for i in range(0, len(rows), 50)]
+    out = pa.Table.from_batches(list(suffix_dedup._blocks(100, windows=True)(iter(batches)))).to_pylist()
+    assert sorted((r["doc"], r["start"], r["stop"]) for r in out) == sorted((d, s, s + 100) for _, d, s, x in rows if (d, s) != first[x])
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 500)
     rng = random.Random(3)
