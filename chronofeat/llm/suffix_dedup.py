@@ -355,7 +355,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", t
     found, open_ones = spans.where("found").select("doc", "start", "stop"), spans.where("not found").drop("found")
     by_doc = open_ones.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("wanted"))
     slices = rows.join(by_doc, "doc").select("doc", "text", "wanted").mapInArrow(_cut, "anchor long, doc long, start long, slice binary")
-    hot = materialize(open_ones.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
+    slices = materialize(slices, "slices")  # read for the hot anchors and for the others; the texts are shuffled for it once
+    hot = materialize(slices.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
     if not hot.isEmpty():
         own = slices.join(hot, "anchor").select("doc", "start", "slice").mapInArrow(_windows(length), "anchor long, doc long, start long, stop long, slice binary")
         own = materialize(own, "windows")
