@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, media, mixing, ngram_join, sharding, suffix_dedup, token_count, url_filter
+from . import decontaminate, html_extract, langid, media, mixing, ngram_join, piece_encode, resample, sharding, suffix_dedup, token_count, url_filter, vector_codes
 from .common import table
 
 
@@ -71,6 +71,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0, shards=8)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=2, buckets=10_000, percent=25, min_words=20, seed=7)
+
+
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encode.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -111,5 +123,41 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id"""
 
 
+_SUM = "reduce(list_concat([4294967295], list_transform(range(0, CAST(length(x) // 2 AS BIGINT)), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))), lambda c, b: reduce(list_concat([xor(c, b)], range(0, 8)), lambda e, k: CASE WHEN e % 2 = 1 THEN xor(e >> 1, 3988292384) ELSE e >> 1 END))"
+
+#: The checksum of each different feature bit by bit, counts by bucket, scores and ranks.
+OP11_SQL = rf"""
+WITH w AS (SELECT 0 AS side, doc_id AS id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents UNION ALL SELECT 1, item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT side, id, array_to_string(ws[i:i + k - 1], ' ') AS g FROM w, unnest([1, 2]) AS u(k), unnest(range(1, len(ws) - k + 2)) AS t(i)),
+b AS (SELECT g, xor({_SUM}, 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT g, hex(encode(g)) AS x FROM f)),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN b USING (g) GROUP BY bucket),
+n_all AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM n),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM n, n_all),
+m AS (SELECT id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN b USING (g) JOIN gain USING (bucket) WHERE side = 0 GROUP BY id),
+d AS (SELECT id AS doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || sha256('7:' || id)[1:8] AS BIGINT) AS h FROM w LEFT JOIN m USING (id) WHERE side = 0),
+r AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score, n_words >= 20 AS long_enough FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id) AS place FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN long_enough AND place <= 25 * (SELECT count(*) FROM o WHERE long_enough) // 100 THEN place END AS rank FROM o"""
+
+
+def op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every point against every entry in each round."""
+    nearest = "(SELECT id, p, x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT pts.id, pts.p, pts.x, c.e, list_sum(list_transform(range(1, len(pts.x) + 1), lambda i: (pts.x[i] - c.x[i]) * (pts.x[i] - c.x[i]))) AS d FROM pts JOIN {0} c USING (p)) GROUP BY id, p, x)"
+    steps = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(4096 * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)",
+        f"pts AS (SELECT vec_id AS id, p, x[p * (len(x) // {parts}) + 1:(p + 1) * (len(x) // {parts})] AS x FROM v, unnest(range(0, {parts})) AS t(p))",
+        f"c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY id) - 1 AS e, x FROM pts QUALIFY e < {entries})",
+    ]
+    for k in range(rounds):
+        steps.append(f"a{k} AS {nearest.format(f'c{k}')}")
+        steps.append(f"s{k} AS (SELECT p, e, list(m ORDER BY i) AS x FROM (SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a{k}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY p, e, i) GROUP BY p, e)")
+        steps.append(f"c{k + 1} AS (SELECT c{k}.p, c{k}.e, coalesce(s{k}.x, c{k}.x) AS x FROM c{k} LEFT JOIN s{k} USING (p, e))")
+    steps.append(f"f AS {nearest.format(f'c{rounds}')}")
+    steps.append("r AS (SELECT id, string_agg(lower(lpad(to_base(e, 16), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY id)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})")
+    head = ",\n".join(s.replace(" AS ", " AS MATERIALIZED ", 1) for s in steps)
+    return f"WITH {head}\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v ON v.vec_id = r.id, h"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_html_extraction": OP6_SQL}
+    return {"op11_importance_resampling": OP11_SQL, "op12_vector_code_compression": op12_sql(), "op1_ngram_jaccard_join": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op6_html_extraction": OP6_SQL}
