@@ -396,6 +396,40 @@ def test_long_html():
     assert html_extract.extract_text("<div>x, y." * 30_000 + "</b></section>" * 30_000).count("\n") > 0
 
 
+TALK = "<p>This is a long paragraph, with commas, and a point. It has more, and more words, to be long enough.</p>"
+
+
+def test_names_do_not_empty_a_page():
+    text = TALK[3:-4]
+    for body in ('<body class="has-sidebar">', '<body class="page no-sidebar">', '<body class="modal-open">', '<body class="sidebar">'):
+        assert html_extract.extract_text(f"<html>{body}<h1>T</h1>{TALK * 3}</body></html>").split("\n") == ["T", *[text] * 3]
+    assert html_extract.extract_text(f'<article class="notice">{TALK * 2}</article>').count(text) == 2
+    assert html_extract.extract_text(f"<body><div class='widget'><article>{TALK * 2}</article></div>").count(text) == 2
+    assert "It rose, and fell." in html_extract.extract_text(f"<article>{TALK}<div class='share-price'>It rose, and fell.</div>{TALK}</article>")
+    gone = html_extract.extract_text(f"<article>{TALK}<div class='shareButtons'>Send, mail.</div><div id='post-comments'>{TALK}</div><div class='cookie-banner'>Yes, no.</div></article><div class=sidebar>{TALK}</div>")
+    assert gone == text
+
+
+def test_short_parts_of_an_article_stay():
+    page = f"<nav><a href=/>Home</a></nav><article><h1>T</h1>{TALK * 4}<table><tr><td>a1</td><td>b 2</td></tr></table><blockquote><p>Short.</p></blockquote><figure><img><figcaption>Seen</figcaption></figure><ul><li><a href=x>ref</a></li></ul>{TALK}<ul><li><a href=y>more</a></li></ul></article>"
+    lines = html_extract.extract_text(page).split("\n")
+    assert [x for x in lines if x != TALK[3:-4]] == ["T", "a1", "b 2", "Short.", "Seen", "ref"]
+
+
+def test_odd_pages_do_not_fail():
+    linked = "<html><body><div><p>Hello there.</p><p><a href='/x'>" + "long link text " * 20 + "</a></p></div></body></html>"
+    assert html_extract.extract_text(linked) == ""
+    assert [html_extract.extract_text(x) for x in ("<a>x</a>", "<p>x</p>", "no tags", "<li><a>a</a><li><a>b</a>", "", None)] == ["", "x", "no tags", "", "", ""]
+    rng = random.Random(0)
+    tags = "html body div p article main section h1 h2 ul li a table tr td blockquote figcaption header footer nav aside span b br script style".split()
+    for _ in range(3000):
+        parts = []
+        for _ in range(rng.randrange(1, 25)):
+            t, r = rng.choice(tags), rng.random()
+            parts.append(f"<{t}{rng.choice(['', ' class=sidebar', ' class=no-ad', ' id=x'])}>" if r < 0.45 else f"</{t}>" if r < 0.65 else rng.choice(["Text, here. ", "x", "", "&amp;", "<!--", "<", "a link. "]))
+        html_extract.extract_text("".join(parts))
+
+
 def test_path_ratios_decide(monkeypatch):
     """No article, and boilerplate without telling names: what the paths' text and punctuation say decides."""
     links = "".join(f"<li><a href='/{i}'>Topic {i}</a></li>" for i in range(30))
