@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import geo
+
 #: View name to (tables, SQL).
 VIEWS = {
     "base_features": (
@@ -82,11 +84,27 @@ VIEWS = {
     ),
 }
 
+#: Views of boxes with a notch (n0, m0, n1, m1) cut out: none, one that is open to the top, or a hole, in turn.
+SHAPED = {"base_shapes": ("base_features", "ord"), "date_shapes": ("date_features", "did"), "detection_shapes": ("detections", "id")}
+for _name, (_of, _key) in SHAPED.items():
+    VIEWS[_name] = (VIEWS[_of][0], f"SELECT *, x0 + 10 AS n0, CASE WHEN {_key} % 3 = 0 THEN x0 + 10 ELSE x1 - 10 END AS n1, y0 + 15 AS m0, CASE {_key} % 3 WHEN 0 THEN y0 + 15 WHEN 1 THEN y1 ELSE y1 - 10 END AS m1 FROM ({VIEWS[_of][1]}) f")
+
+
+def notched() -> Column:
+    """The polygon of a row with a box and a notch."""
+    at = lambda *names: F.array(*[geo.point(F.col(x), F.col(y)) for x, y in names])
+    whole = at(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0"))
+    hole = at(("n0", "m0"), ("n1", "m0"), ("n1", "m1"), ("n0", "m1"), ("n0", "m0"))
+    bay = at(("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("n1", "y1"), ("n1", "m0"), ("n0", "m0"), ("n0", "y1"), ("x0", "y1"), ("x0", "y0"))
+    rings = F.when(F.col("n0") == F.col("n1"), F.array(whole)).when(F.col("m1") == F.col("y1"), F.array(bay)).otherwise(F.array(whole, hole))
+    return F.struct(F.lit("Polygon").alias("gtype"), F.array(rings).alias("parts"))
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived view over the tables in sf_dir; views with corners also have them as the struct `box`."""
     tables, sql = VIEWS[name]
     found = spark.sql(sql.replace("FROM " + tables[0], "FROM {" + tables[0] + "}").replace("JOIN " + tables[-1], "JOIN {" + tables[-1] + "}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    found = found.withColumn("geometry", notched()) if name in SHAPED else found
     return found.withColumn("box", F.struct("x0", "y0", "x1", "y1")) if "x1" in found.columns else found
 
 

@@ -75,11 +75,12 @@ def vertex_centroid(geometry: Column) -> Column:
 
 
 def area_centroid(geometry: Column) -> Column:
-    """The centre of gravity of the first part's outer ring; of a line or point, the mean of its points."""
-    ring = geometry["parts"][0][0]
-    area = ring_area(ring)
-    weigh = lambda axis: _pairs(ring, lambda p, q: (p[axis] + q[axis]) * (p["x"] * q["y"] - q["x"] * p["y"])) / (6 * area)
+    """The centre of gravity of a polygon's parts less their holes; of a line, a point or a polygon without area, the mean of its points."""
     flat = vertex_centroid(geometry)
+    sign = lambda r, i: F.when((ring_area(r) > 0) == (i == 0), 1).otherwise(-1)
+    over = lambda f: F.aggregate(F.flatten(F.transform(geometry["parts"], lambda rings: F.transform(rings, lambda r, i: sign(r, i) * f(r)))), F.lit(0.0), lambda t, x: t + x)
+    area = over(ring_area)
+    weigh = lambda axis: over(lambda r: _pairs(r, lambda p, q: (p[axis] + q[axis]) * (p["x"] * q["y"] - q["x"] * p["y"]))) / (6 * area)
     whole = geometry["gtype"].isin("Polygon", "MultiPolygon") & (area != 0)
     return F.struct(F.when(whole, weigh("x")).otherwise(flat["x"]).alias("x"), F.when(whole, weigh("y")).otherwise(flat["y"]).alias("y"))
 
@@ -96,6 +97,36 @@ def point_in_polygon(x: Column, y: Column, geometry: Column) -> Column:
     return F.exists(geometry["parts"], part)
 
 
+def on_boundary(x: Column, y: Column, geometry: Column) -> Column:
+    """Whether a point lies on an edge of a polygon."""
+
+    def edge(p: Column, q: Column) -> Column:
+        line = (q["x"] - p["x"]) * (y - p["y"]) == (q["y"] - p["y"]) * (x - p["x"])
+        return F.when(line & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"])), 1).otherwise(0)
+
+    return F.exists(geometry["parts"], lambda rings: F.exists(rings, lambda r: _pairs(r, edge, "int") > 0))
+
+
+def strictly_inside(x: Column, y: Column, geometry: Column) -> Column:
+    """Whether a point lies in the interior of a polygon: not in a hole, not on an edge."""
+    return point_in_polygon(x, y, geometry) & ~on_boundary(x, y, geometry)
+
+
+def distance_to(x: Column, y: Column, geometry: Column) -> Column:
+    """Distance of a point to a polygon, 0 inside, or to a line or point, in the unit of the coordinates."""
+
+    def near(p: Column, q: Column) -> Column:
+        dx, dy, px, py = q["x"] - p["x"], q["y"] - p["y"], x - p["x"], y - p["y"]
+        length = dx * dx + dy * dy
+        t = F.when(length > 0, F.least(F.greatest((px * dx + py * dy) / length, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+        return F.sqrt(F.pow(px - t * dx, 2) + F.pow(py - t * dy, 2))
+
+    ring = lambda r: F.array_min(F.zip_with(r, F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, -1, 1)), near))
+    least = F.array_min(F.flatten(F.transform(geometry["parts"], lambda rings: F.transform(rings, ring))))
+    polygon = geometry["gtype"].isin("Polygon", "MultiPolygon")
+    return F.when(polygon & point_in_polygon(x, y, geometry), 0.0).otherwise(least)
+
+
 def haversine_km(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     a = F.pow(F.sin(F.radians(y1 - y0) / 2), 2) + F.cos(F.radians(y0)) * F.cos(F.radians(y1)) * F.pow(F.sin(F.radians(x1 - x0) / 2), 2)
     return 2 * EARTH_KM * F.asin(F.sqrt(a))

@@ -9,80 +9,6 @@ from pyspark.sql import types as T
 
 from ..functions.geo import GEOMETRY
 
-# ---------------------------------------------------------------- polygons
-
-
-def rings_of(geometry: dict) -> list[np.ndarray]:
-    """Closed rings as point arrays, outer ones counter-clockwise and holes clockwise."""
-    out = []
-    for part in geometry["parts"]:
-        for k, ring in enumerate(part):
-            p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
-            if len(p) > 1 and (p[0] == p[-1]).all():
-                p = p[:-1]
-            if len(p) > 2:
-                out.append(p if (signed_area(p) > 0) == (k == 0) else p[::-1])
-    return out
-
-
-def signed_area(p: np.ndarray) -> float:
-    x, y = p[:, 0], p[:, 1]
-    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
-
-
-def clip(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
-    """The part of a convex polygon inside another one, both counter-clockwise."""
-    for a, b in zip(convex, np.roll(convex, -1, axis=0), strict=True):
-        if not len(subject):
-            break
-        side = (b[0] - a[0]) * (subject[:, 1] - a[1]) - (b[1] - a[1]) * (subject[:, 0] - a[0])
-        after, next_side = np.roll(subject, -1, axis=0), np.roll(side, -1)
-        out = []
-        for p, q, s, t in zip(subject, after, side, next_side, strict=True):
-            if s >= 0:
-                out.append(p)
-            if (s > 0 > t) or (s < 0 < t):
-                out.append(p + (q - p) * (s / (s - t)))
-        subject = np.array(out).reshape(-1, 2)
-    return subject
-
-
-def intersection_area(a: dict, b: dict) -> float:
-    """Exact: both polygons are fans of signed triangles from a common origin, clipped pair by pair."""
-    left, right = rings_of(a), rings_of(b)
-    if not left or not right:
-        return 0.0
-    origin = left[0][0]
-    fan = lambda rings: [(np.stack((np.zeros(2), p, q)), np.sign(s)) for r in rings for p, q in zip(r - origin, np.roll(r - origin, -1, axis=0), strict=True) if (s := p[0] * q[1] - q[0] * p[1])]
-    total = 0.0
-    second = fan(right)
-    for t, s in fan(left):
-        t = t if s > 0 else t[::-1]
-        for u, v in second:
-            shared = clip(t, u if v > 0 else u[::-1])
-            if len(shared) > 2:
-                total += s * v * abs(signed_area(shared))
-    return total
-
-
-@F.pandas_udf(T.DoubleType())
-def shared_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Area that two polygons, holes and all, share."""
-    return pd.Series([intersection_area(*_plain(x, y)) for x, y in _rows(a, b)])
-
-
-@F.pandas_udf(T.DoubleType())
-def overlap_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Shared area over the smaller polygon's."""
-    return pd.Series([_ratio(*_plain(x, y), union=False) for x, y in _rows(a, b)])
-
-
-@F.pandas_udf(T.DoubleType())
-def iou(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Shared area over the union's."""
-    return pd.Series([_ratio(*_plain(x, y), union=True) for x, y in _rows(a, b)])
-
-
 def _rows(*columns):
     """Rows of struct columns, which pandas UDFs get as frames."""
     return zip(*(c.to_dict("records") if isinstance(c, pd.DataFrame) else c for c in columns), strict=True)
@@ -92,13 +18,6 @@ def _plain(*geometries):
     return [g if isinstance(g, dict) else g.asDict(recursive=True) for g in geometries]
 
 
-def _ratio(a: dict, b: dict, union: bool) -> float:
-    areas = [sum(signed_area(r) for r in rings_of(g)) for g in (a, b)]
-    shared = intersection_area(a, b)
-    whole = sum(areas) - shared if union else min(areas)
-    return min(1.0, max(0.0, shared / whole)) if whole > 0 else 0.0
-
-
 # ---------------------------------------------------------------- lines
 
 

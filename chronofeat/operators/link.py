@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..lineage import cut
-from . import spatial
+from . import overlay, spatial
 
 
 def link_by_ref(base: DataFrame, dates: DataFrame) -> DataFrame:
@@ -15,16 +16,27 @@ def link_by_ref(base: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def link_by_overlap(a: DataFrame, b: DataFrame, threshold: float = 0.5, cell: float = 64.0) -> DataFrame:
-    """Pairs (a, b, score) whose boxes share that part of the smaller one."""
-    score = spatial.overlap_ratio(F.col("a.box"), F.col("b.box"))
-    return spatial.box_join(a, b, cell).select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
+    """Pairs (a, b, score) whose polygons share that part of the smaller one; of tables without a column `geometry`, boxes.
+
+    Boxes filter: their shared area bounds that of the polygons, which alone are read edge by edge.
+    Rows without a polygon count by their box. Rings are taken as valid, holes as inside their part.
+    """
+    if not overlay.shaped(a, b):
+        score = spatial.overlap_ratio(F.col("a.box"), F.col("b.box"))
+        return spatial.box_join(a, b, cell).select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
+    found = overlay.pairs(a, b, cell, "_area").where((F.col("most") > 0) & (F.col("most") >= threshold * overlay.smaller()))
+    found = found.withColumn("score", overlay.overlap_ratio(F.col("a.geometry"), F.col("b.geometry")))
+    return overlay.plain(found.where(F.col("score") >= threshold), "score")
 
 
 def link_points(points: DataFrame, boxes: DataFrame, cell: float = 64.0) -> DataFrame:
-    """Pairs (a, b, score 1) of points (a box without extent) strictly inside a box."""
+    """Pairs (a, b, score 1) of points (a box without extent) in the interior of a polygon, or of a box in a table without polygons."""
     p, b = F.col("a.box"), F.col("b.box")
     inside = (p["x0"] > b["x0"]) & (p["x0"] < b["x1"]) & (p["y0"] > b["y0"]) & (p["y0"] < b["y1"])
-    return spatial.box_join(points, boxes, cell).where(inside).select("a", "b", F.lit(1.0).alias("score"))
+    found = spatial.box_join(points, boxes, cell).where(inside)
+    if overlay.shaped(boxes):
+        found = found.where(F.coalesce(geo.strictly_inside(p["x0"], p["y0"], F.col("b.geometry")), F.lit(True)))
+    return found.select("a", "b", F.lit(1.0).alias("score"))
 
 
 def centre(b, axis: str):
@@ -37,7 +49,10 @@ def holds_centre(a, b):
 
 
 def link_by_centroid(a: DataFrame, b: DataFrame, cell: float = 64.0) -> DataFrame:
-    """Pairs (a, b, score 1) of which one holds the other's centre."""
+    """Pairs (a, b, score 1) of which one has the other's centre of gravity in its interior; boxes and their middles without polygons."""
+    if overlay.shaped(a, b):
+        found = overlay.pairs(a, b, cell, "_centre").where(overlay.holds_centre(F.col("a"), F.col("b")) | overlay.holds_centre(F.col("b"), F.col("a")))
+        return overlay.plain(found.withColumn("score", F.lit(1.0)), "score")
     x, y = F.col("a.box"), F.col("b.box")
     return spatial.box_join(a, b, cell).where(holds_centre(x, y) | holds_centre(y, x)).select("a", "b", F.lit(1.0).alias("score"))
 
@@ -59,20 +74,37 @@ def unmatched(a: DataFrame, links: DataFrame, key: str) -> DataFrame:
 
 
 def best_match(a: DataFrame, b: DataFrame, least: float = 0.1, radius: float = 30.0, cell: float = 64.0, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """(id, other, overlap, distance): of each row of a the best row of b, by overlap from `least` on, else the nearest centre under the radius."""
-    wide = b.withColumn("own", F.col("box")).withColumn("box", spatial.widened(F.col("box"), radius / min(scale)))
-    pairs = spatial.box_join(a, wide, cell)
-    overlap = spatial.overlap_ratio(F.col("a.box"), F.col("b.own"))
-    distance = F.sqrt(F.pow((centre(F.col("a.box"), "x") - centre(F.col("b.own"), "x")) * scale[0], 2) + F.pow((centre(F.col("a.box"), "y") - centre(F.col("b.own"), "y")) * scale[1], 2))
-    pairs = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), overlap.alias("overlap"), distance.alias("distance")).where((F.col("overlap") >= least) | (F.col("distance") < radius))
+    """(id, other, overlap, distance): of each row of a the best row of b, by overlap from `least` on, else the nearest centre under the radius.
+
+    With a column `geometry` on a side, overlap is that of polygons and centres are centres of gravity.
+    """
+    apart = lambda p, q: F.sqrt(F.pow((p[0] - q[0]) * scale[0], 2) + F.pow((p[1] - q[1]) * scale[1], 2))
+    margin = radius / min(scale)
+    if overlay.shaped(a, b):
+        found = overlay.pairs(a, b, cell, "_area", "_centre", margin=margin)
+        middle = lambda c: (F.col(f"{c}._centre.x"), F.col(f"{c}._centre.y"))
+        found = found.where((F.col("most") > 0) & (F.col("most") >= least * overlay.smaller()) | (apart(middle("a"), middle("b")) < radius))
+        overlap = overlay.overlap_ratio(F.col("a.geometry"), F.col("b.geometry"))
+    else:
+        found = spatial.box_join(a, b.withColumn("own", F.col("box")).withColumn("box", spatial.widened(F.col("box"), margin)), cell)
+        boxes = {"a": F.col("a.box"), "b": F.col("b.own")}
+        middle = lambda c: (centre(boxes[c], "x"), centre(boxes[c], "y"))
+        overlap = spatial.overlap_ratio(boxes["a"], boxes["b"])
+    pairs = found.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), overlap.alias("overlap"), apart(middle("a"), middle("b")).alias("distance")).where((F.col("overlap") >= least) | (F.col("distance") < radius))
     good = F.when(F.col("overlap") >= least, F.col("overlap")).otherwise(-1.0)
     return pairs.groupBy("id").agg(F.min_by(F.struct("other", "overlap", "distance"), F.struct(-good, F.when(good < 0, F.col("distance")).otherwise(0.0), F.col("other"))).alias("m")).select("id", "m.*")
 
 
 def duplicate_pairs(df: DataFrame, least: float = 0.8, cell: float = 64.0) -> DataFrame:
-    """(a, b) ids, a < b, of rows whose boxes have that intersection over union."""
-    pairs = spatial.box_join(df, df, cell).where("a.id < b.id")
-    return pairs.where(spatial.iou(F.col("a.box"), F.col("b.box")) >= least).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    """(a, b) ids, a < b, of rows whose polygons (boxes without a column `geometry`) have that intersection over union."""
+    ids = (F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    if not overlay.shaped(df):
+        pairs = spatial.box_join(df.select("id", "box"), df.select("id", "box"), cell).where("a.id < b.id")
+        return pairs.where(spatial.iou(F.col("a.box"), F.col("b.box")) >= least).select(*ids)
+    rows = df.select("id", "box", "geometry")
+    found = overlay.pairs(rows, rows, cell, "_area").where("a.id < b.id")
+    found = found.where((F.col("most") > 0) & ((1 + least) * F.col("most") >= least * (F.col("a._area") + F.col("b._area"))))
+    return found.withColumn("iou", overlay.iou(F.col("a.geometry"), F.col("b.geometry"))).where(F.col("iou") >= least).select(*ids)
 
 
 #: Rounds of duplicate_groups at most; a round settles every row whose earlier neighbours are settled.
@@ -112,9 +144,20 @@ def enrich_by_number(roads: DataFrame, register: DataFrame, parts: tuple[str, ..
 
 
 def building_at_point(points: DataFrame, boxes: DataFrame, radius: float, cell: float = 128.0) -> DataFrame:
-    """(id, ord): of each point (id, x, y) the first box that holds it, else the one whose centre is nearest within the radius; null without one."""
-    inside = link_points(points.withColumn("box", spatial.at_point(F.col("x"), F.col("y"))), boxes, cell).groupBy(F.col("a.id").alias("id")).agg(F.min("b.ord").alias("ord"))
-    rest = points.join(inside, "id", "left_anti")
-    centres = boxes.select("ord", centre(F.col("box"), "x").alias("x"), centre(F.col("box"), "y").alias("y"))
-    near = spatial.within_distance(rest, centres, radius).groupBy(F.col("a.id").alias("id")).agg(F.min_by("b.ord", F.struct("distance", "b.ord")).alias("ord"))
+    """(id, ord): of each point (id, x, y) the first polygon that holds it, else the nearest within the radius, ties to the smaller ord; null without one.
+
+    Tables without a column `geometry` count by their boxes: the first that holds the point, else the nearest middle.
+    """
+    at = points.select("id", "x", "y", spatial.at_point(F.col("x"), F.col("y")).alias("box"))
+    inside = link_points(at, boxes, cell).groupBy(F.col("a.id").alias("id")).agg(F.min("b.ord").alias("ord"))
+    rest = at.join(inside, "id", "left_anti")
+    if overlay.shaped(boxes):
+        shape = F.coalesce("geometry", geo.box(*(F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1"))))
+        wide = rest.withColumn("box", spatial.widened(F.col("box"), radius))
+        found = spatial.box_join(wide, boxes.select("ord", "box", shape.alias("geometry")), cell)
+        near = found.select(F.col("a.id").alias("id"), F.col("b.ord").alias("ord"), geo.distance_to(F.col("a.x"), F.col("a.y"), F.col("b.geometry")).alias("distance")).where(F.col("distance") <= radius)
+    else:
+        centres = boxes.select("ord", centre(F.col("box"), "x").alias("x"), centre(F.col("box"), "y").alias("y"))
+        near = spatial.within_distance(rest, centres, radius).select(F.col("a.id").alias("id"), F.col("b.ord").alias("ord"), "distance")
+    near = near.groupBy("id").agg(F.min_by("ord", F.struct("distance", "ord")).alias("ord"))
     return points.select("id").join(inside.union(near), "id", "left")

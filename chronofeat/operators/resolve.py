@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dates, text
 from ..lineage import cut
-from . import link, spatial
+from . import link, overlay, spatial
 
 #: The year of undated features without donors; evidence that each era asks of a replacement.
 FALLBACK_YEAR = 1960
@@ -35,22 +35,30 @@ def resolve_attributes(links: DataFrame, catalog: DataFrame) -> DataFrame:
 def detect_replacements(df: DataFrame, threshold: float = 0.5, rules: dict[str, str] | None = ERA_RULES, offset: int = 0, cell: float = 64.0) -> DataFrame:
     """df (id, box, sd, ed, ev) with repl_by, rep_ev and an inferred end.
 
-    A dated row is replaced by a newer or undated row at its place: boxes that overlap by the
-    threshold, or of which one holds the other's centre. The replacement needs the evidence that
+    A dated row is replaced by a newer or undated row at its place: polygons (boxes without a column
+    `geometry`) that overlap by the threshold, or of which one holds the other's centre. The replacement needs the evidence that
     the old row's era asks for. Candidates are tried by overlap, then centre hits, then id. An end
     that is there stays; an undated replacement ends rows that began before 1950 in 1950.
     """
-    old = df.where("sd IS NOT NULL").select("id", "box", "sd")
-    new = df.select("id", "box", F.col("sd").alias("new_sd"), F.col("ev").alias("new_ev"))
-    a, b = F.col("a.box"), F.col("b.box")
-    pairs = spatial.box_join(old, new, cell).where("a.id <> b.id AND (b.new_sd IS NULL OR b.new_sd > a.sd)")
-    score = spatial.overlap_ratio(a, b)
-    pairs = pairs.withColumn("score", score).where((F.col("score") >= threshold) | link.holds_centre(a, b) | link.holds_centre(b, a))
+    place = ["id", "box", *(["geometry"] if overlay.shaped(df) else [])]
+    old = df.where("sd IS NOT NULL").select(*place, "sd")
+    new = df.select(*place, F.col("sd").alias("new_sd"), F.col("ev").alias("new_ev"))
+    newer = "a.id <> b.id AND (b.new_sd IS NULL OR b.new_sd > a.sd)"
+    if overlay.shaped(df):
+        a, b = F.col("a"), F.col("b")
+        pairs = overlay.pairs(old, new, cell, "_area", "_centre").where(newer).withColumn("held", overlay.holds_centre(a, b) | overlay.holds_centre(b, a))
+        pairs = pairs.where(F.col("held") | (F.col("most") > 0) & (F.col("most") >= threshold * overlay.smaller()))
+        score = overlay.overlap_ratio(F.col("a.geometry"), F.col("b.geometry"))
+    else:
+        a, b = F.col("a.box"), F.col("b.box")
+        pairs = spatial.box_join(old, new, cell).where(newer).withColumn("held", link.holds_centre(a, b) | link.holds_centre(b, a))
+        score = spatial.overlap_ratio(a, b)
+    pairs = pairs.withColumn("score", score).where((F.col("score") >= threshold) | F.col("held"))
     if rules:
         least = F.element_at(text.map_literal(rules), dates.era(F.col("a.sd")))
         pairs = pairs.where(text.meets(F.coalesce("b.new_ev", F.lit("l")), F.coalesce(least, F.lit("l"))))
     order = F.struct(F.when(F.col("score") >= threshold, -F.col("score")).otherwise(1.0), F.col("b.id"))
-    best = pairs.groupBy(F.col("a.id").alias("id")).agg(F.min_by("b", order).alias("by")).select("id", F.col("by.id").alias("repl_by"), F.col("by.new_ev").alias("rep_ev"), F.col("by.new_sd").alias("new_sd"))
+    best = pairs.groupBy(F.col("a.id").alias("id")).agg(F.min_by(F.struct("b.id", "b.new_ev", "b.new_sd"), order).alias("by")).select("id", F.col("by.id").alias("repl_by"), F.col("by.new_ev").alias("rep_ev"), F.col("by.new_sd").alias("new_sd"))
     out = df.join(best, "id", "left")
     inferred = F.when(F.col("new_sd").isNotNull(), F.col("new_sd") + offset).when(F.col("sd") < 1950, 1950)
     open_end = F.col("ed").isNull() & F.col("repl_by").isNotNull()

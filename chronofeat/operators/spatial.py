@@ -8,34 +8,40 @@ from pyspark.sql.window import Window
 
 from ..lineage import cut
 
-#: Levels of a grid; each has cells 4 times as wide as the one before.
-LEVELS, FACTOR = 8, 4
+#: Lowest and highest level of a grid; cells of level 0 have the width that is asked for, those of the next are FACTOR times as wide.
+LOWEST, HIGHEST, FACTOR = -6, 7, 4
 
 
 def _own_level(cell: float) -> Column:
     """The level whose cells are about as wide as a row's box."""
     extent = F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"), F.lit(0))
-    return F.least(F.greatest(F.ceil(F.log(float(FACTOR), F.greatest(extent / cell, F.lit(1e-9)))), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+    return F.least(F.greatest(F.ceil(F.log(float(FACTOR), F.greatest(extent / cell, F.lit(1e-9)))), F.lit(LOWEST)), F.lit(HIGHEST)).cast("int")
 
 
-def _cells(df: DataFrame, name: str, cell: float, other: DataFrame, kinds: tuple[list[int], list[int]]) -> DataFrame:
-    """Each row once for every cell that its box touches on its own level and on the other side's levels above; column `name` holds the row.
+def _levels(df: DataFrame, cell: float) -> Column:
+    """The levels on which a table has rows of its own, as a scalar subquery: some 14 numbers at most."""
+    return df.where("box IS NOT NULL").agg(F.collect_set(_own_level(cell)).alias("levels")).scalar()
 
-    kinds: the halves of the join that a row takes part in on its own level, and above it.
-    """
-    top = other.where("box IS NOT NULL").agg(F.coalesce(F.max(_own_level(cell)), F.lit(0)).alias("top"))
-    rows = df.where("box IS NOT NULL").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name), F.col("box").alias("_box"), _own_level(cell).alias("own"), top.scalar().alias("_top"))
-    span = lambda lo, hi, size: F.sequence(F.floor(F.col(f"_box.{lo}") / size), F.floor(F.col(f"_box.{hi}") / size))
 
-    def cells(level: Column) -> Column:
-        size = F.lit(float(cell)) * F.pow(F.lit(float(FACTOR)), level)
-        # nothing stands above its own level on level 0, so half 1 is empty there
-        half = F.when(level == 0, F.array(F.lit(0))).when(level == F.col("own"), F.array(*map(F.lit, kinds[0]))).otherwise(F.array(*map(F.lit, kinds[1])))
-        at = lambda cx, cy: F.transform(half, lambda h: F.struct(size.alias("size"), level.alias("level"), cx.alias("cx"), cy.alias("cy"), h.alias("half")))
-        return F.flatten(F.transform(span("x0", "x1", size), lambda cx: F.flatten(F.transform(span("y0", "y1", size), lambda cy: at(cx, cy)))))
+def _cells(df: DataFrame, name: str, cell: float, levels: Column) -> DataFrame:
+    """Each row once for every cell that its box touches on its own level and on those above where the other side has rows; column `name` holds the row.
 
-    rows = rows.select(name, F.explode(F.flatten(F.transform(F.sequence("own", F.greatest("own", "_top")), cells))).alias("at"))
-    return rows.select(name, F.col("at.size").alias(f"{name}_size"), *[F.col(f"at.{c}").alias(c) for c in ("level", "cx", "cy", "half")])
+    `meets` is twice the level, and one more for the half of the join in which the row of `a`
+    stands above its own level. levels: those of the other side.
+    """
+    own, there = F.col("own"), F.col("_there")
+    rows = df.where("box IS NOT NULL").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name), F.col("box").alias("_box"), _own_level(cell).alias("own"), levels.alias("_there"))
+    above = F.filter(there, lambda x: x > own)
+    some = lambda test, half: F.when(F.exists(there, test), F.array(2 * own + half)).otherwise(F.array().cast("array<int>"))
+    if name == "a":  # alone on its own level, or below the other one
+        meets = F.concat(some(lambda x: x <= own, 0), F.transform(above, lambda x: 2 * x + 1))
+    else:
+        meets = F.concat(some(lambda x: x == own, 0), some(lambda x: x < own, 1), F.transform(above, lambda x: 2 * x))
+    rows = rows.select(name, "_box", F.explode(meets).alias("meets"))
+    rows = rows.withColumn("size", F.lit(float(cell)) * F.pow(F.lit(float(FACTOR)), F.shiftright("meets", 1)))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(f"_box.{lo}") / F.col("size")), F.floor(F.col(f"_box.{hi}") / F.col("size")))
+    rows = rows.select(name, "_box", "meets", "size", F.explode(span("x0", "x1")).alias("cx"))
+    return rows.select(name, F.col("size").alias(f"{name}_size"), "meets", "cx", F.explode(span("y0", "y1")).alias("cy"))
 
 
 def box_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
@@ -43,14 +49,16 @@ def box_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
 
     A pair meets on the level of its larger box, in the one cell that holds the lower left corner of
     the boxes' intersection, so no distinct is needed. A row stands on its own level in the few
-    cells that its box touches, and waits on the levels above only for larger boxes there: in half
-    0 of the join a row of `a` is on its own level, in half 1 one of `b` is, and that of `a` above.
-    Rows without a box meet none. No job runs before the result is asked for.
+    cells that its box touches, and waits on those levels above where the other side has rows: in
+    one half of the join a row of `a` is on its own level, in the other one of `b` is, and that of
+    `a` above. Small boxes have small cells, so that a dense place is many cells; a few large boxes
+    cost every row one more cell. Rows without a box meet none. No job runs before the result is
+    asked for.
     """
     x, y = (F.greatest(F.col(f"a.box.{k}"), F.col(f"b.box.{k}")) for k in ("x0", "y0"))
     touch = (x <= F.least("a.box.x1", "b.box.x1")) & (y <= F.least("a.box.y1", "b.box.y1"))
     here = (F.col("cx") == F.floor(x / F.col("a_size"))) & (F.col("cy") == F.floor(y / F.col("a_size")))
-    met = _cells(a, "a", cell, b, ([0], [1])).join(_cells(b, "b", cell, a, ([0, 1], [0])), ["level", "cx", "cy", "half"])
+    met = _cells(a, "a", cell, _levels(b, cell)).join(_cells(b, "b", cell, _levels(a, cell)), ["meets", "cx", "cy"])
     return met.where(touch & here).select("a", "b")
 
 

@@ -637,11 +637,11 @@ SQL["k1_merge_edits"] = bindings.with_views("SELECT fid, sd, note, event_id, 'h'
 
 @query(f"SELECT a.id, b.ord, CAST({OVERLAP} AS DOUBLE) AS area FROM detections a JOIN base_features b ON {TOUCH} WHERE {OVERLAP} > 0")
 def n1_polygon_intersection(v):
-    from ..operators import kernels
+    from ..operators import overlay
 
     shape = lambda df: df.withColumn("geometry", geo.box(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
     pairs = spatial.box_join(shape(v("detections")), shape(v("base_features")), 64.0)
-    return pairs.select("a.id", "b.ord", F.round(kernels.shared_area(F.col("a.geometry"), F.col("b.geometry")), 6).alias("area")).where("area > 0")
+    return pairs.select("a.id", "b.ord", F.round(overlay.shared_area(F.col("a.geometry"), F.col("b.geometry")), 6).alias("area")).where("area > 0")
 
 
 def _lines(v, where: str) -> DataFrame:
@@ -665,4 +665,4 @@ def d14_match_roads(v):
 def f16_cluster_buildings(v):
     return resolve.cluster_buildings(v("registry_points"), 300.0, 25)
 
-from . import further, inventory, rows, shapes  # noqa: E402, F401  register the rest
+from . import further, inventory, polygons, rows, shapes  # noqa: E402, F401  register the rest

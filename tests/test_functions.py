@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofeat.functions import dates, geo, text, tiles
-from chronofeat.operators import evidence, filters, kernels, link, reports, resolve, roads, sets, spatial
+from chronofeat.operators import evidence, filters, kernels, link, overlay, reports, resolve, roads, sets, spatial
 from chronofeat.sources import normalize, readers, sinks
 from chronofeat.streaming import edits
 
@@ -57,11 +57,13 @@ def test_polygons(spark):
     got = df.select(geo.polygon_area(F.col("g")), geo.point_in_polygon(F.lit(2.0), F.lit(2.0), F.col("g")), geo.bbox(F.col("g")), geo.area_centroid(F.col("g"))).collect()
     assert [tuple(r)[:2] for r in got] == [(16.0, True), (12.0, False), (7.0, False)]
     assert tuple(got[0][2]) == (0, 0, 4, 4) and tuple(got[0][3]) == (2, 2)
-    areas = {(a, b): kernels.intersection_area(x, y) for a, x in (("s", SQUARE), ("h", HOLED), ("l", ELL), ("t", SHIFTED)) for b, y in (("s", SQUARE), ("h", HOLED), ("l", ELL), ("t", SHIFTED))}
+    shapes = spark.createDataFrame([("s", SQUARE), ("h", HOLED), ("l", ELL), ("t", SHIFTED)], f"k string, g {geo.GEOMETRY}")
+    both = shapes.alias("p").crossJoin(shapes.alias("q")).select("p.k", F.col("q.k").alias("l"), overlay.shared_area(F.col("p.g"), F.col("q.g")).alias("area"))
+    areas = {(r.k, r.l): r.area for r in both.collect()}
     for pair, area in {("s", "s"): 16, ("s", "t"): 4, ("h", "t"): 3, ("l", "t"): 0, ("s", "h"): 12, ("h", "h"): 12, ("l", "h"): 7, ("l", "l"): 7}.items():
         assert areas[pair] == pytest.approx(area) and areas[pair[::-1]] == pytest.approx(area)
     pairs = spark.createDataFrame([(SQUARE, SHIFTED)], f"a {geo.GEOMETRY}, b {geo.GEOMETRY}")
-    assert tuple(pairs.select(kernels.overlap_ratio("a", "b"), kernels.iou("a", "b")).first()) == pytest.approx((0.25, 4 / 28))
+    assert tuple(pairs.select(overlay.overlap_ratio("a", "b"), overlay.iou("a", "b")).first()) == pytest.approx((0.25, 4 / 28))
     assert [kernels.ring_fault(np.array(p, float)) for p in ([(0, 0), (1, 0), (0, 1), (0, 0)], [(0, 0), (1, 0)], [(0, 0), (1, 0), (0, 1), (1, 1)], [(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)])] == [None, "too short", "open", "crossing"]
 
 
