@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,29 +110,102 @@ def duplicate_pairs(df: DataFrame, least: float = 0.8, cell: float = 64.0) -> Da
     return found.withColumn("iou", overlay.iou(F.col("a.geometry"), F.col("b.geometry"))).where(F.col("iou") >= least).select(*ids)
 
 
-#: Rounds of duplicate_groups at most; a round settles every row whose earlier neighbours are settled.
-MAX_ROUNDS = 60
+#: Links of a component that one task settles in turn; larger ones are settled in rounds.
+LOCAL = 1_000_000
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of an edge table (a, b): the smallest node that each reaches.
+
+    In a round each node points to its smallest neighbour, pointers are doubled until they end at
+    roots, and the edges between roots are the next, smaller graph: half of its nodes go at least.
+    """
+    edges = cut(edges.where("a <> b").select("a", "b").distinct())
+    label = None
+    while not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        point = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("to")))
+        while True:
+            point = cut(point.alias("p").join(point.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to"), (F.col("to") != F.col("further")).alias("moved")))
+            if point.where("moved").isEmpty():
+                break
+            point = point.select("node", "to")
+        point = point.select("node", "to")
+        label = point if label is None else cut(label.join(point.select(F.col("node").alias("to"), F.col("to").alias("root")), "to", "left").select("node", F.coalesce("root", "to").alias("to")))
+        root = lambda c: point.select(F.col("node").alias(c), F.col("to").alias(f"root_{c}"))
+        edges = cut(edges.join(root("a"), "a").join(root("b"), "b").where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+    if label is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return label.select("node", F.col("to").alias("component"))
+
+
+def _take_in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that others take, of links (component, a, b) in that order: a free row takes its later neighbours."""
+    plain = lambda c: list(zip(*(f.to_pylist() for f in c.flatten()), strict=True)) if pa.types.is_struct(c.type) else c.to_pylist()
+    now, taken = None, set()
+    for batch in batches:
+        new = []
+        for of, a, b in zip(*(plain(batch.column(c)) for c in ("component", "a", "b")), strict=True):
+            if of != now:
+                now, taken = of, set()
+            new.append(a not in taken and b not in taken)
+            if new[-1]:
+                taken.add(b)
+        yield pa.RecordBatch.from_arrays([batch.column("b").filter(pa.array(new, pa.bool_()))], ["id"])
+
+
+def _chains(links: DataFrame) -> DataFrame:
+    """(id, taken): rows whose one earlier neighbour, and that one's, and so on, lead to a row without any: every other one is free.
+
+    Pointers along such rows are doubled, so that a chain takes rounds by the logarithm of its length.
+    """
+    one = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"), F.count("*").alias("n"))
+    heads = links.select(F.col("a").alias("id")).join(one, "id", "left_anti").distinct().select("id", F.col("id").alias("to"), F.lit(0).alias("odd"))
+    several = one.where("n > 1").select("id", F.lit(None).cast(links.schema["a"].dataType).alias("to"), F.lit(0).alias("odd"))
+    state = cut(one.where("n = 1").select("id", "to", F.lit(1).alias("odd")).union(heads).union(several))
+    while True:
+        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("odd").alias("more"))
+        moved = state.join(ahead, "to", "left").select("id", F.col("further").alias("to"), ((F.col("odd") + F.coalesce("more", F.lit(0))) % 2).alias("odd"), (~F.col("to").eqNullSafe(F.col("further"))).alias("moved"))
+        state = cut(moved)
+        if state.where("moved").isEmpty():
+            return state.where("to IS NOT NULL").select("id", (F.col("odd") == 1).alias("taken"))
+        state = state.drop("moved")
+
+
+def taken_rows(links: DataFrame) -> DataFrame:
+    """(id) of rows that an earlier row takes: in order, each row that is still free takes all its later neighbours. links (a, b) have a < b, each once."""
+    found, kind = None, links.schema["a"].dataType.simpleString()
+    while True:
+        known = components(links)
+        sized = known.join(links, known["node"] == links["a"]).select("component", "a", "b")
+        sizes = sized.groupBy("component").agg(F.count("*").alias("n"))
+        large = cut(sizes.where(F.col("n") > LOCAL).select("component"))  # each stands for over LOCAL links
+        small = sized.join(large, "component", "left_anti").repartition("component").sortWithinPartitions("component", "a", "b")
+        new = cut(small.mapInArrow(_take_in_turn, f"id {kind}"))
+        found = new if found is None else found.union(new)
+        if large.isEmpty():
+            return found
+        links = cut(sized.join(large, "component", "left_semi").select("a", "b"))
+        settled = cut(_chains(links))
+        free = settled.where("NOT taken").select(F.col("id").alias("a"))
+        taken = cut(links.join(free, "a", "left_semi").select(F.col("b").alias("id")).union(settled.where("taken").select("id")).distinct())
+        found = found.union(taken)
+        gone = cut(taken.union(free.select(F.col("a").alias("id"))).distinct())
+        links = cut(links.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti"))
 
 
 def duplicate_groups(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, seed): stars around the first row: a row joins its smallest neighbour that is a seed itself; others are their own.
 
     pairs (a, b) have a < b. A row that no earlier row takes is a seed, also if its earlier
-    neighbours all joined others.
+    neighbours all joined others. Chains may have any length: a component of up to LOCAL links is
+    settled in turn in one task, link by link; of a larger one all chains at once, in rounds by the
+    logarithm of their length, and what is left falls into components again.
     """
-    links = cut(pairs.select(F.col("a").alias("from"), F.col("b").alias("id")))
-    later = links.select("id").distinct().withColumn("waits", F.lit(True))
-    state = cut(df.select("id").distinct().join(later, "id", "left").select("id", F.when(F.col("waits").isNull(), F.col("id")).alias("seed")))
-    for _ in range(MAX_ROUNDS):
-        if state.where("seed IS NULL").isEmpty():
-            return state
-        known = links.join(state.select(F.col("id").alias("from"), F.col("seed").alias("of")), "from")
-        told = known.groupBy("id").agg(F.min(F.when(F.col("of") == F.col("from"), F.col("from"))).alias("first_seed"), F.min(F.when(F.col("of").isNull(), F.col("from"))).alias("first_open"))
-        # the first seed before it decides, unless an earlier row is still open
-        new = F.when(F.col("first_seed").isNotNull() & (F.col("first_open").isNull() | (F.col("first_seed") < F.col("first_open"))), F.col("first_seed"))
-        new = new.when(F.col("first_seed").isNull() & F.col("first_open").isNull(), F.col("id"))
-        state = cut(state.join(told, "id", "left").select("id", F.coalesce("seed", new).alias("seed")))
-    raise RuntimeError(f"groups did not settle in {MAX_ROUNDS} rounds")
+    links = cut(pairs.select("a", "b").distinct())
+    taken = taken_rows(links)
+    seeds = links.join(taken.select(F.col("id").alias("a")), "a", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("seed"))
+    return df.select("id").distinct().join(seeds, "id", "left").select("id", F.coalesce("seed", "id").alias("seed"))
 
 
 def enrich(df: DataFrame, other: DataFrame, key: str, *columns: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dates, text
-from ..lineage import cut
 from . import link, overlay, spatial
 
 #: The year of undated features without donors; evidence that each era asks of a replacement.
@@ -173,25 +172,10 @@ def merge_group(df: DataFrame, group: str = "seed") -> DataFrame:
     return df.groupBy(group).agg(F.min("sd").alias("sd"), F.max("ed").alias("ed"), F.max("confidence").alias("confidence"), F.max_by("box", F.struct("confidence", -F.col("id"))).alias("box"), F.array_sort(F.collect_set("src")).alias("src_all"), F.count("*").alias("n"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an edge table (a, b): the smallest node that each reaches, by label spreading and pointer jumping until nothing changes."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(link.MAX_ROUNDS):
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = label.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = new.alias("n").join(new.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
-        jump = cut(jump)
-        if jump.where("label <> old").isEmpty():
-            return jump.select("node", F.col("label").alias("component"))
-        label = jump.select("node", "label")
-    raise RuntimeError(f"components did not settle in {link.MAX_ROUNDS} rounds")
-
-
 def cluster_buildings(df: DataFrame, radius: float = 20.0, years: int = 5, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(id, cluster) of buildings (id, x, y, sd): chains of neighbours within the radius whose starts lie within the years; others are their own."""
     near = spatial.within_distance(df.select("id", "x", "y", "sd"), df.select("id", "x", "y", "sd"), radius, scale).where((F.col("a.id") < F.col("b.id")) & (F.abs(F.col("a.sd") - F.col("b.sd")) <= years))
-    found = components(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+    found = link.components(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
     return df.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 

@@ -172,20 +172,43 @@ def _mergeable(v):
     return rows, link.duplicate_pairs(rows, 0.3)
 
 
-@query()
+def _stars_sql(rank: str) -> str:
+    """Rows in the order of a rank, each free one taking its later neighbours: pairs, components by reachability, and the links of a component folded in turn."""
+    return f"""WITH RECURSIVE d0 AS (SELECT *, CASE src WHEN 'manual' THEN 0 WHEN 'finn' THEN 1 ELSE 2 END AS priority FROM date_features),
+        d AS (SELECT *, row_number() OVER (ORDER BY {rank}) AS k FROM (SELECT *, row_number() OVER (PARTITION BY did ORDER BY priority, sd, ev) AS n FROM d0) WHERE n = 1),
+        p AS (SELECT least(a.k, b.k) AS a, greatest(a.k, b.k) AS b FROM d a JOIN d b ON {TOUCH} AND a.did < b.did WHERE {OVERLAP} >= 0.3 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {OVERLAP})),
+        e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT DISTINCT a AS node, a AS reach FROM e UNION SELECT e.b, r.reach FROM r JOIN e ON e.a = r.node),
+        c AS (SELECT node, min(reach) AS component FROM r GROUP BY node),
+        t AS (SELECT component, list_reduce(list([a, b] ORDER BY a, b), lambda taken, l: CASE WHEN list_contains(taken, l[1]) OR list_contains(taken, l[2]) THEN taken ELSE list_append(taken, l[2]) END, []) AS taken FROM p JOIN c ON c.node = p.a GROUP BY component),
+        s AS (SELECT p.b, min(p.a) AS a FROM p JOIN c ON c.node = p.a JOIN t ON t.component = c.component WHERE NOT list_contains(t.taken, p.a) GROUP BY p.b),
+        g AS (SELECT d.*, coalesce(f.did, d.did) AS seed FROM d LEFT JOIN s ON s.b = d.k LEFT JOIN d f ON f.k = s.a) """
+
+
+@query(_stars_sql("priority, did") + """SELECT seed, CAST(min_by(sd, k) AS INT) AS sd, CASE max(CASE ev WHEN 'h' THEN 3 WHEN 'm' THEN 2 ELSE 1 END) WHEN 3 THEN 'h' WHEN 2 THEN 'm' ELSE 'l' END AS ev, string_agg(DISTINCT src, ',' ORDER BY src) AS sources, count(*) AS n,
+    CAST(min_by(did, CASE WHEN src = 'manual' THEN 0 WHEN ev <> 'l' THEN 1 ELSE 2 END * 1000000000000 + did) AS BIGINT) AS geometry_of FROM g GROUP BY seed""")
 def f4_greedy_merge(v):
-    """Date features merged by overlap in the order of priority; sequential, so tests hold it against a plain loop."""
+    """Date features merged by overlap in the order of priority."""
     rows, pairs = _mergeable(v)
     return merge.greedy_merge(rows, pairs, "manual").select("seed", "sd", "ev", F.array_join("src_all", ",").alias("sources"), "n", "geometry_of")
 
 
-@query()
+@query(_stars_sql("did") + "SELECT did AS id, seed FROM g")
 def h8_duplicate_groups(v):
-    """Groups of duplicates around their first row, and single rows; tests hold it against a plain loop."""
+    """Groups of duplicates around their first row, and single rows."""
     rows, pairs = _mergeable(v)
     return link.duplicate_groups(rows.select("id"), pairs)
 
 
+@query(_stars_sql("did") + """SELECT seed, CAST(min(sd) AS INT) AS sd, max(CAST(did % 97 AS DOUBLE) / 100) AS confidence, CAST(max_by(x0, did % 97 * 1000000000000 - did) AS BIGINT) AS x0, string_agg(DISTINCT src, ',' ORDER BY src) AS sources, count(*) AS n FROM g GROUP BY seed HAVING count(*) > 1""")
+def e16_fold_duplicates(v):
+    """Groups of duplicates folded into one row."""
+    rows, pairs = _mergeable(v)
+    groups = link.duplicate_groups(rows.select("id"), pairs)
+    members = rows.join(groups, "id").withColumn("confidence", (F.col("id") % 97).cast("double") / 100)
+    folded = resolve.merge_group(members).where("n > 1")
+    return folded.select("seed", "sd", "confidence", F.col("box.x0").alias("x0"), F.array_join("src_all", ",").alias("sources"), "n")
+
+
 @query("SELECT did // 8 AS ord, CAST(min_by(did, CASE WHEN src = 'manual' THEN 0 WHEN ev <> 'l' THEN 1 ELSE 2 END * 1000000000000 + did) AS BIGINT) AS geometry_of FROM date_features GROUP BY 1")
 def f5_pick_geometry(v):
     rows = v("date_features").select(F.col("did").alias("id"), F.floor(F.col("did") / 8).alias("ord"), "src", F.when(F.col("ev") == "l", "Point").otherwise("MultiPolygon").alias("gtype"))

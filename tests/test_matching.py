@@ -99,3 +99,22 @@ def test_reconcile_and_gaps(spark):
     assert (found[1].geometry, found[1].sd, found[1].ed, found[1].origin.start_date) == ("g2", 1850, None, "sefrak")
     assert (found[2].geometry, found[2].sd, found[2].ed, found[2].origin.end_date) == ("g4", 1880, 1904, "map")
     assert (found[3].sd, found[3].ed) == (None, None)
+
+
+@pytest.mark.parametrize("local", [1_000_000, 20])
+def test_groups_of_chains_and_random_graphs(spark, monkeypatch, local):
+    """In turn in one task, and in rounds where components are larger than that."""
+    monkeypatch.setattr(link, "LOCAL", local)
+    rng = random.Random(1)
+    perm = rng.sample(range(1000, 1300), 300)
+    pairs = [(i, i + 1) for i in range(700)] + [tuple(sorted(x)) for x in zip(perm, perm[1:], strict=False)]
+    pairs += [tuple(sorted(rng.sample(range(2000, 2200), 2))) for _ in range(400)]
+    df = spark.range(2300)
+    found = link.duplicate_groups(df, spark.createDataFrame([*pairs, pairs[0]], "a long, b long"))
+    assert {r.id: r.seed for r in found.collect()} == stars({x: x for x in range(2300)}, pairs)
+    assert {(r.id, r.seed) for r in link.duplicate_groups(spark.range(3), spark.createDataFrame([], "a long, b long")).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_components_of_a_chain(spark):
+    found = link.components(spark.createDataFrame([*[(i, i + 1) for i in range(500)], (900, 901), (905, 901), (7, 7)], "a long, b long"))
+    assert {r.node: r.component for r in found.collect()} == {**dict.fromkeys(range(501), 0), 900: 900, 901: 900, 905: 900}
