@@ -26,6 +26,8 @@ from .common import ALNUM, LOWER, materialize, mix64, pieces, prefix_hash, small
 
 #: Bytes of item texts in one automaton; its states take some 190 times as much, so about 100 MB of a process.
 BLOCK_BYTES = 1 << 19
+#: Bytes of an item beyond which it is cut into parts.
+PART_BYTES = 1 << 16
 #: Least words of the window lengths that are looked up by grams of one length.
 CLASSES = (1, 2, 4, 8)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -181,9 +183,31 @@ def _scan(automaton: Automaton, column: pa.Array) -> Iterator[tuple[int, list[tu
             row += 1
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> list[DataFrame]:
-    """The items (id, text) in blocks of BLOCK_BYTES at most, about; null texts are in none."""
-    items = items.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
+def item_parts(items: DataFrame, window: int) -> DataFrame:
+    """items (id, text), long texts in parts of about PART_BYTES that share window - 1 words, so that each window stays whole."""
+    most = PART_BYTES
+    long = F.octet_length("text") > most
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                words, at = normal_words(text.as_py()), 0
+                while at < len(words):
+                    stop, size = at, 0
+                    while stop < len(words) and size < most:
+                        size += len(words[stop]) + 1
+                        stop += 1
+                    end = len(words) if stop + window - 1 >= len(words) else stop + window - 1
+                    yield pa.RecordBatch.from_arrays([pa.array([one], batch.column("id").type), pa.array([" ".join(words[at:end])], pa.string())], ["id", "text"])
+                    at = len(words) if end == len(words) else stop
+
+    parts = items.where(long).mapInArrow(cut, f"id {items.schema['id'].dataType.simpleString()}, text string")
+    return items.where(~long).union(parts)
+
+
+def item_blocks(items: DataFrame, key: str, text: str, window: int) -> list[DataFrame]:
+    """The items (id, text) in blocks of BLOCK_BYTES at most, about, long ones in parts; null texts are in none."""
+    items = item_parts(items.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null"), window)
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = 1 + 2 * size // BLOCK_BYTES if size > BLOCK_BYTES else 1
     return [items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) for k in range(blocks)]
@@ -235,11 +259,11 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = 13, key: str = "doc
     A null text has no words. Without items nothing is hit. Items of one text all count; a null id
     hits but is not listed; a repeated id is listed once. An empty table gives an empty result.
     Rows that share a key and a text give equal rows, texts that share a key their own each; other
-    columns are not looked at.
+    columns are not looked at. Texts and items may have any length: items go through in parts.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    blocks = item_blocks(items, item_key, item_text)
+    blocks = item_blocks(items, item_key, item_text, window)
     if len(blocks) == 1:
         return _found(docs, blocks[0], window)[0].withColumnRenamed("key", key)
     # several blocks: the ranges of a row meet again under its id; rows that none hits have their words from an empty block
@@ -275,7 +299,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 13, covera
     if action not in ("drop", "cut"):
         raise ValueError(f"action is drop or cut, not {action}")
     small_batches(docs.sparkSession)
-    names, blocks = docs.columns, item_blocks(items, item_key, item_text)
+    names, blocks = docs.columns, item_blocks(items, item_key, item_text, window)
     where = names.index(text)
 
     def bad(n: int, spans: list[tuple[int, int]]) -> bool:
