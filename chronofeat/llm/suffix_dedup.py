@@ -6,7 +6,8 @@ of a smaller key, or earlier in the same one. The corpus is never one text in on
 1. Every window of `length` bytes has an *anchor*, the gram of ANCHOR bytes with the smallest hash
    in it. Windows that follow each other and share their anchor make one *slice*. Equal windows
    have equal anchors, so windows need comparing only among slices of equal anchors. A slice
-   crosses the network as two hashes and its place.
+   crosses the network as two hashes and its place. A task remembers what it has sent on, so that
+   a passage of very many documents makes a few rows a task.
 2. Slices are sorted by anchor and content hash. All but the first of equal slices are repeated
    wholly. Only the first ones of anchors with several different slices go on, with their bytes.
 3. Bounded blocks of whole anchor groups get a suffix array: suffixes smaller than their successors
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import PIECE_BYTES, materialize, mix64, pieces, powers, prefix_hash, span_hash, text_buffer
 
-#: Bytes of an anchor; of a part of a long text that is looked at on its own; of a block; different slices of an anchor above which they are split into windows.
-ANCHOR, PART, BLOCK, HOT = 24, 1 << 22, 1 << 19, 20_000
+#: Bytes of an anchor; of a part of a long text that is looked at on its own; of a block; different slices of an anchor above which they are split into windows; slots for contents that a task has sent on (24 bytes each).
+ANCHOR, PART, BLOCK, HOT, SLOTS = 24, 1 << 22, 1 << 19, 20_000, 1 << 19
 LAST = np.iinfo(np.int64).max
 
 
@@ -63,8 +64,26 @@ def slices_of(data: np.ndarray, low: np.ndarray, high: np.ndarray, length: int)
     return row[first], begin, many, grams[at[first]].view(np.int64), span_hash(sums, begin, begin + many - 1 + length).view(np.int64)
 
 
+class Seen:
+    """First places (doc, start) of contents that a task has sent on, in slots by their hash; a newer content takes a slot."""
+
+    def __init__(self):
+        self.content, self.doc, self.start = (np.zeros(SLOTS, np.int64) for _ in range(3))
+
+    def sort_out(self, content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a row is to be sent on, whether it repeats one that was): an earlier place of a content is sent on too, the same place is not."""
+        slot = content & (SLOTS - 1)
+        known = (self.content[slot] == content) & (content != 0)
+        before = known & ((self.doc[slot] < doc) | (self.doc[slot] == doc) & (self.start[slot] < start))
+        same = known & (self.doc[slot] == doc) & (self.start[slot] == start)
+        new = ~before & ~same
+        self.content[slot[new]], self.doc[slot[new]], self.start[slot[new]] = content[new], doc[new], start[new]
+        return new, before
+
+
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             key = batch.column("doc").to_numpy()
             data, offsets = text_buffer(batch.column("text"))
@@ -72,17 +91,17 @@ def _anchors(length: int):
                 if offsets[b] - offsets[a] > 2 * PART and b == a + 1:  # a long text: parts that overlap by a window less one byte
                     for s in range(int(offsets[a]), int(offsets[b]) - length + 1, PART):
                         e = min(s + PART + length - 1, int(offsets[b]))
-                        yield from _rows(data[s:e], np.array([0]), np.array([e - s]), key[a:b], np.array([s - offsets[a]]), length)
+                        yield from _rows(data[s:e], np.array([0]), np.array([e - s]), key[a:b], np.array([s - offsets[a]]), length, seen)
                 else:
                     s = offsets[a]
                     low = offsets[a:b] - s
-                    yield from _rows(data[s : offsets[b]], low, offsets[a + 1 : b + 1] - s, key[a:b], -low, length)
+                    yield from _rows(data[s : offsets[b]], low, offsets[a + 1 : b + 1] - s, key[a:b], -low, length, seen)
 
     return run
 
 
-def _rows(data: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray, shift: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, content, doc, place) of each slice; place is 128 * start + windows. What repeats a slice of this piece is only told as (spread, end, doc, 128 * start)."""
+def _rows(data: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray, shift: np.ndarray, length: int, seen: Seen) -> Iterator[pa.RecordBatch]:
+    """(anchor, content, doc, place) of each slice; place is 128 * start + windows. What repeats a slice of this piece, or one that the task has sent on, is only told as (spread, end, doc, 128 * start)."""
     if len(data) < length:
         return
     row, begin, many, anchor, content = slices_of(data, low, high, length)
@@ -90,8 +109,10 @@ def _rows(data: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray,
     order = np.lexsort((start, doc, content))
     same = np.concatenate(([False], (content[order][1:] == content[order][:-1]))) if len(order) else np.zeros(0, bool)
     again = np.concatenate(([False], (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]))) & same if len(order) else same
-    rest = np.sort(order[same & ~again])  # in text order
     kept = order[~same]
+    sent, before = seen.sort_out(content[kept], doc[kept], start[kept])
+    rest = np.sort(np.concatenate([order[same & ~again], kept[before]]))  # in text order
+    kept = kept[sent]
     columns = [anchor[kept], content[kept], doc[kept], start[kept] * 128 + many[kept]]
     if len(rest):
         s, e, d = start[rest], start[rest] + many[rest] - 1 + length, row[rest]
@@ -343,7 +364,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", t
 
     Strings are judged on the input, and never cross documents. A null text is empty. Repeated
     rows, of one key and text, are one document and get its result each. A null key is the last;
-    texts that share a key take the spans of one another. Texts shorter than `length` stay whole.
+    texts that share a key take the spans of one another. Texts shorter than `length` stay whole;
+    long ones go through in parts, and only their removal holds one whole. A passage that many
+    documents share leaves a task as a few rows, not one for each document.
     An empty table gives an empty result. Other columns are not looked at.
     """
     if not ANCHOR < length < ANCHOR + 127:
@@ -356,7 +379,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", t
     by_doc = open_ones.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("wanted"))
     slices = rows.join(by_doc, "doc").select("doc", "text", "wanted").mapInArrow(_cut, "anchor long, doc long, start long, slice binary")
     slices = materialize(slices, "slices")  # read for the hot anchors and for the others; the texts are shuffled for it once
-    hot = materialize(slices.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
+    different = slices.select("anchor", "doc", "start").distinct()  # repeated rows of a document are one
+    hot = materialize(different.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
     if not hot.isEmpty():
         own = slices.join(hot, "anchor").select("doc", "start", "slice").mapInArrow(_windows(length), "anchor long, doc long, start long, stop long, slice binary")
         own = materialize(own, "windows")

@@ -262,6 +262,19 @@ def test_hits(spark, docs, empty, monkeypatch, block):
     assert none.count() == len(rows)
 
 
+@pytest.mark.parametrize(("part", "block"), [(64, 1 << 19), (64, 300), (1 << 16, 1 << 19)])
+def test_parts_of_a_long_item(spark, docs, monkeypatch, part, block):
+    """A long item is cut into parts, each window whole, and counts as one item."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+    rows = documents()
+    items = [(i, x) for i, x in bench(rows) if i in (8, 22)] + [(30, " ".join(r[1] for r in rows[:9] if r[1])), (31, "x" * 300)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert (decontaminate.item_parts(table.select(F.col("item_id").alias("id"), "text"), 13).count() > len(items)) == (part == 64)
+    found = decontaminate.report(docs, table).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert {r[0]: tuple(r)[1:] for r in found} == hit(rows, items)
+
+
 def test_cut_spans(spark):
     item = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, f"Before it. {item}, and after!"), (2, "clean text")], "doc_id long, text string")
@@ -278,7 +291,7 @@ def test_blocks_judge_together(spark, monkeypatch, block):
     # twelve items in several blocks: each alone hits 13 of 3120 words, all of them a twentieth
     rows = [(1, " | ".join(runs) + " " + filler(20 * 156 - 156)), (2, " | ".join(runs) + " " + filler(20 * 156 - 155)), (3, "clean"), (None, None), (1, "clean")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert (len(decontaminate.item_blocks(items, "item_id", "text")) > 1) == (block == 300)
+    assert (len(decontaminate.item_blocks(items, "item_id", "text", 13)) > 1) == (block == 300)
     plain = lambda df: collections.Counter(map(tuple, df.collect()))
     assert plain(decontaminate.decontaminate(docs, items)) == collections.Counter(rows[1:])
     cut = decontaminate.decontaminate(docs, items, action="cut")
@@ -560,6 +573,26 @@ def test_long_text_in_parts(spark, monkeypatch):
     assert {r.doc_id: ([tuple(s) for s in r.spans], bytes(r.kept)) for r in found.collect()} == removed(rows)
 
 
+def test_repeats_over_many_batches(spark):
+    """A task sends on a shared passage once, and again where it finds an earlier place of it."""
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(260)
+    rows = [(rng.randrange(1000) * 100 + i, say(rng.randrange(80)) + passage[rng.randrange(40) :] + say(30)) for i in range(60)]
+    rows += [rows[3], (None, passage)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    last = [(10**9 if k is None else k, t) for k, t in rows]
+    assert {10**9 if r.doc_id is None else r.doc_id: ([tuple(s) for s in r.spans], bytes(r.kept)) for r in found} == removed(last) and len(found) == len(rows)
+    seen, one = suffix_dedup.Seen(), lambda *x: np.array(x, np.int64)
+    assert [x.tolist() for x in seen.sort_out(one(5, 6), one(9, 9), one(0, 0))] == [[True, True], [False, False]]
+    assert [x.tolist() for x in seen.sort_out(one(5, 5, 6, 7), one(9, 10, 3, 1), one(0, 0, 8, 0))] == [[False, False, True, True], [False, True, False, False]]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(2)
     for n in [0, 1, 2, 3, *rng.integers(4, 300, 60).tolist()]:
