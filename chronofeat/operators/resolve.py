@@ -89,10 +89,14 @@ def inherit_dates(df: DataFrame, k: int = 3, exclude: tuple[str, ...] = ("sefrak
 
 
 def inherit_dates_tiered(df: DataFrame, radius: float = 2000.0, fallback: int = FALLBACK_YEAR, scale: tuple[float, float] = (0.45 * 111_000.0, 111_000.0)) -> DataFrame:
-    """Median of all donors within the radius, else the nearest donor's year, else the fallback."""
+    """Median of all donors within the radius, else the nearest donor's year, else the fallback.
+
+    Medians come from counts by year, which whole cells add up to; see spatial.counts_within.
+    """
     donors = df.where(F.col("sd").isNotNull() & F.col("ev").isin("h", "m"))
     asking = df.where("sd IS NULL")
-    near = spatial.within_distance(asking.select("id", "x", "y"), donors.select("id", "x", "y", "sd"), radius, scale).groupBy(F.col("a.id").alias("id")).agg(F.median("b.sd").cast("int").alias("near"))
+    counts = spatial.counts_within(asking.select("id", "x", "y"), donors.select("id", "x", "y", "sd"), "sd", radius, scale)
+    near = counts.groupBy("id").agg(F.percentile("value", F.lit(0.5), F.col("n")).cast("int").alias("near"))
     rest = asking.join(near, "id", "left_anti")
     one = spatial.nearest_k(rest, donors.select("id", "x", "y"), 1, radius, scale).join(donors.select(F.col("id").alias("donor"), F.col("sd").alias("far")), "donor").select("id", "far")
     out = df.join(near, "id", "left").join(one, "id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,33 +112,51 @@ def best_one(pairs: DataFrame, by: list[Column], *order: Column) -> DataFrame:
 
 def nearest_within(a: DataFrame, b: DataFrame, radius: float, scale: tuple[float, float] = (1.0, 1.0), key: str = "id") -> DataFrame:
     """For each row of a the nearest of b within the radius, ties by b's key: columns a, b (null without one), distance."""
-    pairs = within_distance(a, b, radius, scale)
-    least = pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min_by(F.struct("b", "distance"), F.struct("distance", f"b.{key}")).alias("hit"))
-    return a.select(F.struct("*").alias("a"), F.col(key)).join(least, key, "left").select("a", F.col("hit.b").alias("b"), F.col("hit.distance").alias("distance"))
+    near = nearest_k(a, b, 1, radius, scale, key, reach=radius).where(F.col("distance") <= radius)
+    hit = near.join(b.select(F.struct("*").alias("b"), F.col(key).alias("donor")), "donor").select(key, "b", "distance")
+    return a.select(F.struct("*").alias("a"), F.col(key)).join(hit, key, "left").select("a", "b", "distance")
+
+
+#: Cells narrower than the asked width that nearest_k may begin with, as a power of FACTOR.
+FINEST = 8
 
 
-def nearest_k(a: DataFrame, donors: DataFrame, k: int, cell: float, scale: tuple[float, float] = (1.0, 1.0), key: str = "id", levels: int = 12) -> DataFrame:
+def nearest_k(a: DataFrame, donors: DataFrame, k: int, cell: float, scale: tuple[float, float] = (1.0, 1.0), key: str = "id", levels: int = 12, reach: float | None = None) -> DataFrame:
     """(key, donor key `donor`, distance, rank) of the k nearest donors of each row, ties by donor key; fewer if there are fewer.
 
     Level by level, a row looks at the 3 x 3 cells around it. Its k-th hit is final if it lies no
     farther than a cell's width, for nothing outside can be nearer. Only rows without a final hit
     go on to cells FACTOR times as wide, so that rows far from all donors cost the wide searches.
+    The first width follows from the fullest cell, and on each level only those rows look at donors
+    whose 3 x 3 cells hold enough of them by the cells' counts, so that a dense place is searched in
+    narrow cells. Of donors at one place only the first k count. Keys are unique. With `reach`, rows
+    stop at cells that wide, and donors beyond it may be missing.
     """
     total = donors.limit(k).count()
     if not total:
         return a.select(key, F.lit(None).cast(donors.schema[key].dataType).alias("donor"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank")).limit(0)
     need = min(k, total)
-    places = donors.select(F.col(key).alias("donor"), (F.col("x") * scale[0]).alias("dx"), (F.col("y") * scale[1]).alias("dy"))
-    left = a.select(F.col(key), (F.col("x") * scale[0]).alias("ax"), (F.col("y") * scale[1]).alias("ay")).where("ax IS NOT NULL AND ay IS NOT NULL")
+    places = donors.select(F.col(key).alias("donor"), (F.col("x") * scale[0]).alias("dx"), (F.col("y") * scale[1]).alias("dy")).where("dx IS NOT NULL AND dy IS NOT NULL")
+    places = cut(places.withColumn("_n", F.row_number().over(Window.partitionBy("dx", "dy").orderBy("donor"))).where(F.col("_n") <= k).drop("_n"))
+    in_cells = lambda df, x, y, size: df.withColumn("cx", F.floor(F.col(x) / size)).withColumn("cy", F.floor(F.col(y) / size))
+    around = lambda df: df.withColumn("cx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("cx") + d))).withColumn("cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.col("cy") + d)))
+    left = cut(a.select(F.col(key), (F.col("x") * scale[0]).alias("ax"), (F.col("y") * scale[1]).alias("ay")).where("ax IS NOT NULL AND ay IS NOT NULL"))
+    fullest = in_cells(places, "dx", "dy", cell).groupBy("cx", "cy").count().agg(F.max("count")).first()[0] or 1
+    finest = -min(FINEST, max(0, round(math.log(max(fullest / (2 * need), 1)) / (2 * math.log(FACTOR)))))
     out, rank = None, Window.partitionBy(key).orderBy("distance", "donor")
-    for level in range(levels):
+    for level in range(finest, levels):
         size = cell * FACTOR**level
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        asked = left.withColumn("cx", F.explode(F.transform(around, lambda d: F.floor(F.col("ax") / size) + d))).withColumn("cy", F.explode(F.transform(around, lambda d: F.floor(F.col("ay") / size) + d)))
-        there = places.withColumn("cx", F.floor(F.col("dx") / size)).withColumn("cy", F.floor(F.col("dy") / size))
-        hits = asked.join(there, ["cx", "cy"]).withColumn("distance", F.sqrt(F.pow(F.col("ax") - F.col("dx"), 2) + F.pow(F.col("ay") - F.col("dy"), 2)))
+        there = in_cells(places, "dx", "dy", size)
+        asked = in_cells(left, "ax", "ay", size)
+        # a cell's count reaches its neighbours; cells with too few donors around them wait for the next level
+        if reach is None or size < reach:
+            enough = around(there.groupBy("cx", "cy").count()).groupBy("cx", "cy").agg(F.sum("count").alias("n")).where(F.col("n") >= need)
+            asked = asked.join(enough.select("cx", "cy"), ["cx", "cy"], "left_semi")
+        hits = around(asked).join(there, ["cx", "cy"]).withColumn("distance", F.sqrt(F.pow(F.col("ax") - F.col("dx"), 2) + F.pow(F.col("ay") - F.col("dy"), 2)))
         hits = hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= need).select(key, "donor", "distance", "rank")
         hits = cut(hits)  # the join of a level is evaluated once
+        if reach is not None and size >= reach:
+            return hits if out is None else out.unionByName(hits)
         final = hits.groupBy(key).agg(F.max("rank").alias("n"), F.max("distance").alias("far")).where((F.col("n") == need) & (F.col("far") <= size)).select(key)
         found = hits.join(final, key, "left_semi")
         left = cut(left.join(final, key, "left_anti"))
@@ -144,3 +164,45 @@ def nearest_k(a: DataFrame, donors: DataFrame, k: int, cell: float, scale: tuple
         if left.isEmpty():
             return out
     raise ValueError(f"{levels} levels of cells from {cell} on don't reach the donors of every row")
+
+
+#: Pairs of rows of two cells that are compared row by row; levels of cells below the radius, each half as wide as the one before.
+PAIRS, HALVINGS = 4096, 9
+
+
+def counts_within(a: DataFrame, donors: DataFrame, value: str, radius: float, scale: tuple[float, float] = (1.0, 1.0), key: str = "id") -> DataFrame:
+    """(key, value, n): how many donors of each value lie within the radius of each row of a (key, x, y); rows and donors without a place count for nothing.
+
+    Cells of rows meet cells of donors. A pair of cells that lies wholly within the radius adds the
+    donors' counts by value to all rows of the other cell at once; one wholly outside is dropped; one
+    with few rows is compared row by row; any other falls into the pairs of its halves. So dense
+    places are summed by cells, and only the circles' rims go down to rows, whose distances decide.
+    """
+    at = lambda df, *more: df.select(*more, (F.col("x") * scale[0]).alias("u"), (F.col("y") * scale[1]).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    rows, given = at(a, F.col(key)), at(donors, F.col(value).alias("value"))
+    cells = lambda df, p, level: df.withColumn(f"{p}x", F.floor(F.col("u") / (radius / 2**level))).withColumn(f"{p}y", F.floor(F.col("v") / (radius / 2**level)))
+    sized = lambda df, p, level: cells(df, p, level).groupBy(f"{p}x", f"{p}y").agg(F.count("*").alias(f"n{p}"))
+    near, far = ((lambda p, q: F.greatest(F.abs(F.col(p) - F.col(q)) - 1, F.lit(0))), (lambda p, q: F.abs(F.col(p) - F.col(q)) + 1))
+    square = lambda f: F.pow(f("ax", "bx"), 2) + F.pow(f("ay", "by"), 2)
+    beside = F.transform(F.array(*map(F.lit, (-2, -1, 0, 1, 2))), lambda d: F.col("ax") + d), F.transform(F.array(*map(F.lit, (-2, -1, 0, 1, 2))), lambda d: F.col("ay") + d)
+    pairs = sized(rows, "a", 0).withColumn("bx", F.explode(beside[0])).withColumn("by", F.explode(beside[1])).join(sized(given, "b", 0), ["bx", "by"])
+    out = []
+    for level in range(HALVINGS + 1):
+        unit = 4.0**level  # the radius squared, in cells
+        pairs = cut(pairs.where(square(near) <= unit * (1 + 1e-9)).withColumns({"inside": square(far) <= unit * (1 - 1e-9), "few": F.col("na") * F.col("nb") <= PAIRS if level < HALVINGS else F.lit(True)}))
+        by_value = cells(given, "b", level).groupBy("bx", "by", "value").agg(F.count("*").alias("n"))
+        whole = pairs.where("inside").select("ax", "ay", "bx", "by").join(by_value, ["bx", "by"]).groupBy("ax", "ay", "value").agg(F.sum("n").alias("n"))
+        out.append(cells(rows, "a", level).join(whole, ["ax", "ay"]).select(key, "value", "n"))
+        few = pairs.where("few AND NOT inside").select("ax", "ay", "bx", "by")
+        met = cells(rows, "a", level).withColumnsRenamed({"u": "au", "v": "av"}).join(few, ["ax", "ay"]).join(cells(given, "b", level), ["bx", "by"])
+        met = met.where(F.sqrt(F.pow(F.col("au") - F.col("u"), 2) + F.pow(F.col("av") - F.col("v"), 2)) <= radius)
+        out.append(met.groupBy(key, "value").agg(F.count("*").alias("n")))
+        rest = pairs.where("NOT few AND NOT inside")
+        if rest.isEmpty():
+            break
+        child = lambda p: sized(rows if p == "a" else given, p, level + 1).select(F.col(f"{p}x").alias(f"c{p}x"), F.col(f"{p}y").alias(f"c{p}y"), F.floor(F.col(f"{p}x") / 2).alias(f"{p}x"), F.floor(F.col(f"{p}y") / 2).alias(f"{p}y"), f"n{p}")  # noqa: E731, B023
+        pairs = rest.select("ax", "ay", "bx", "by").join(child("a"), ["ax", "ay"]).join(child("b"), ["bx", "by"]).select(F.col("cax").alias("ax"), F.col("cay").alias("ay"), F.col("cbx").alias("bx"), F.col("cby").alias("by"), "na", "nb")
+    found = out[0]
+    for more in out[1:]:
+        found = found.union(more)
+    return found.groupBy(key, "value").agg(F.sum("n").alias("n"))

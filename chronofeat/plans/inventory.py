@@ -138,13 +138,13 @@ def f15_apply_presence(v):
     return resolve.apply_presence(rows, rows.where("id % 3 = 0")).select("id", "sd", "sd_min")
 
 
-@query("""WITH q AS (SELECT -1 - o_orderkey AS id, (o_orderkey * 7919) % 40000 AS x, (o_orderkey * 104729) % 15000 AS y FROM orders WHERE o_orderkey % 50 = 0), d AS (SELECT id, x, y, sd FROM registry_points WHERE ev IN ('h', 'm')),
+@query("""WITH q AS (SELECT -1 - o_orderkey AS id, (o_orderkey * 7919) % 40000 AS x, (o_orderkey * 104729) % 15000 AS y FROM orders), d AS (SELECT id, x, y, sd FROM registry_points WHERE ev IN ('h', 'm')),
     p AS (SELECT q.id, d.id AS donor, d.sd, sqrt(pow(CAST(q.x - d.x AS DOUBLE), 2) + pow(CAST(q.y - d.y AS DOUBLE), 2)) AS distance FROM q, d), m AS (SELECT id, CAST(trunc(median(sd)) AS INT) AS near FROM p WHERE distance <= 500 GROUP BY id), n AS (SELECT id, sd AS far FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, donor) AS k FROM p) WHERE k = 1)
     SELECT q.id, coalesce(near, far) AS sd, CASE WHEN near IS NOT NULL THEN 'median' ELSE 'nearest' END AS sd_method FROM q LEFT JOIN m ON m.id = q.id LEFT JOIN n ON n.id = q.id""")
 def f2_inherit_dates_tiered(v):
-    """Every order divisible by 50 asks all registry points."""
+    """Every order asks all registry points."""
     key = F.col("o_orderkey")
-    asked = v.table("orders").where(key % 50 == 0).select((-1 - key).alias("id"), ((key * 7919) % 40_000).alias("x"), ((key * 104_729) % 15_000).alias("y"), F.lit(None).cast("int").alias("sd"), F.lit("l").alias("ev"))
+    asked = v.table("orders").select((-1 - key).alias("id"), ((key * 7919) % 40_000).alias("x"), ((key * 104_729) % 15_000).alias("y"), F.lit(None).cast("int").alias("sd"), F.lit("l").alias("ev"))
     out = resolve.inherit_dates_tiered(asked.union(v("registry_points").select("id", "x", "y", "sd", "ev")), 500.0, scale=(1.0, 1.0))
     return out.where("id < 0").select("id", "sd", "sd_method")
 

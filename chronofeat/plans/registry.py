@@ -342,13 +342,13 @@ def f3_resolve_attributes(v):
     return out.select("ord", "sd", "sd_src", "ev", F.array_join("src_all", ",").alias("sources"))
 
 
-@query("""WITH asked AS (SELECT o_orderkey AS id, (o_orderkey * 7919) % 40000 AS x, (o_orderkey * 104729) % 15000 AS y FROM orders WHERE o_orderkey % 50 = 0),
+@query("""WITH asked AS (SELECT o_orderkey AS id, (o_orderkey * 7919) % 40000 AS x, (o_orderkey * 104729) % 15000 AS y FROM orders),
     donors AS (SELECT id, x, y, sd FROM registry_points WHERE ev IN ('h', 'm') AND sd_src <> 'sefrak'),
     near AS (SELECT a.id, d.sd, sqrt(pow(CAST(a.x - d.x AS DOUBLE), 2) + pow(CAST(a.y - d.y AS DOUBLE), 2)) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(CAST(a.x - d.x AS DOUBLE), 2) + pow(CAST(a.y - d.y AS DOUBLE), 2)), d.id) AS n FROM asked a, donors d)
     SELECT id, CAST(trunc(median(sd)) AS INT) AS sd, 'median' AS sd_method, count(*) AS sd_donors FROM near WHERE n <= 3 GROUP BY id""")
 def f1_inherit_dates(v):
     key = F.col("o_orderkey")
-    asked = v.table("orders").where(key % 50 == 0).select((-1 - key).alias("id"), ((key * 7919) % 40_000).alias("x"), ((key * 104_729) % 15_000).alias("y"), F.lit(None).cast("int").alias("sd"), F.lit("osm").alias("sd_src"), F.lit("l").alias("ev"))
+    asked = v.table("orders").select((-1 - key).alias("id"), ((key * 7919) % 40_000).alias("x"), ((key * 104_729) % 15_000).alias("y"), F.lit(None).cast("int").alias("sd"), F.lit("osm").alias("sd_src"), F.lit("l").alias("ev"))
     rows = asked.union(v("registry_points").select("id", "x", "y", "sd", "sd_src", "ev"))
     out = resolve.inherit_dates(rows, scale=(1.0, 1.0), cell=500.0)
     return out.where("id < 0").select((-1 - F.col("id")).alias("id"), "sd", "sd_method", "sd_donors")
@@ -613,25 +613,6 @@ def k4_edit_activity(v):
     return edits.edit_activity(v("edits").withColumn("edited_at", F.col("edited_at").cast("timestamp"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "note", "n")
 
 
-@query()
-def k1_merge_edits(v):
-    """The edit stream read as one, its snapshot after all batches."""
-    import uuid
-
-    from ..lineage import shared
-    from ..streaming import edits
-
-    root = f"{shared(v.spark)}/edits-{uuid.uuid4().hex}"
-    source = v("edits")
-    source.write.parquet(f"{root}/in")
-    rows = v.spark.readStream.schema(source.schema).parquet(f"{root}/in")
-    edits.merge_edits(rows, f"{root}/out", f"{root}/state").awaitTermination()
-    return edits.snapshot(v.spark, f"{root}/out").select("fid", "sd", "note", "event_id", "ev")
-
-
-SQL["k1_merge_edits"] = bindings.with_views("SELECT fid, sd, note, event_id, 'h' AS ev FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY edited_at DESC, event_id DESC) AS n FROM edits) WHERE n = 1")
-
-
 # ---------------------------------------------------------------- kernels and iterative jobs
 
 

@@ -318,26 +318,38 @@ def i25_raster_windows(v):
 # ---------------------------------------------------------------- streams
 
 
-def _stream(v: Views, rows: DataFrame) -> tuple[DataFrame, str]:
+def _in_three(v: Views, rows: DataFrame, start) -> str:
+    """Run start(stream, root) to its end three times under one checkpoint: with the edits of each third, and those of the first third again each time."""
     root = f"{shared(v.spark)}/stream-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{root}/in")
-    return v.spark.readStream.schema(rows.schema).parquet(f"{root}/in"), root
+    for k in range(3):
+        rows.where(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{root}/in")
+        if k:
+            rows.where("event_id % 3 = 0").write.mode("append").parquet(f"{root}/in")
+        start(v.spark.readStream.schema(rows.schema).parquet(f"{root}/in"), root).awaitTermination()
+    return root
 
 
-@query("SELECT event_id, fid, note FROM edits")
+@query("SELECT fid, sd, note, event_id, 'h' AS ev FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY edited_at DESC, event_id DESC) AS n FROM edits) WHERE n = 1")
+def k1_merge_edits(v):
+    """The edit stream in three runs, late and repeated edits among them; its snapshot."""
+    root = _in_three(v, v("edits"), lambda stream, root: edits.merge_edits(stream, f"{root}/out", f"{root}/state"))
+    return edits.snapshot(v.spark, f"{root}/out").select("fid", "sd", "note", "event_id", "ev")
+
+
+@query("SELECT event_id, fid, note FROM edits WHERE event_id % 11 > 0 UNION ALL SELECT event_id, fid, note FROM edits, (SELECT unnest(range(0, 3)) AS k) WHERE event_id % 11 = 0 AND (k = 0 OR event_id % 3 = 0)")
 def k2_dedup_ingest(v):
-    """Every edit comes twice and is appended once."""
-    rows = v("edits").withColumn("edited_at", F.col("edited_at").cast("timestamp"))
-    stream, root = _stream(v, rows.union(rows))
-    edits.dedup_ingest(stream, "event_id", "edited_at", f"{root}/out", f"{root}/state").awaitTermination()
-    return v.spark.read.schema(rows.schema).parquet(f"{root}/out").select("event_id", "fid", "note")
+    """Edits come again in later runs and are appended once, but for those without a code."""
+    rows = v("edits").withColumn("code", F.when(F.col("event_id") % 11 > 0, F.col("event_id")))
+    root = _in_three(v, rows, lambda stream, root: edits.dedup_ingest(stream, "code", "edited_at", f"{root}/out", f"{root}/state"))
+    return edits.results(v.spark, f"{root}/out").select("event_id", "fid", "note")
 
 
-@query("SELECT DISTINCT fid, fid % 3 = 0 AS matched FROM edits")
+@query("SELECT fid, fid % 3 = 0 AS matched, event_id FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY event_id % 3, event_id) AS n FROM edits) WHERE n = 1")
 def k3_process_once(v):
-    stream, root = _stream(v, v("edits").select("fid", "event_id"))
-    edits.process_once(stream, "fid", lambda df: df.select("fid", (F.col("fid") % 3 == 0).alias("matched")), f"{root}/out", f"{root}/state").awaitTermination()
-    return v.spark.read.parquet(f"{root}/out/*").select("fid", "matched")
+    """Users are matched once, by their first edit in the run in which they first come."""
+    work = lambda df: df.select("fid", (F.col("fid") % 3 == 0).alias("matched"), "event_id")
+    root = _in_three(v, v("edits").select("fid", "event_id"), lambda stream, root: edits.process_once(stream, "fid", work, f"{root}/out", f"{root}/state", ("event_id",)))
+    return edits.results(v.spark, f"{root}/out").select("fid", "matched", "event_id")
 
 
 # ---------------------------------------------------------------- kernels

@@ -1,23 +1,75 @@
-"""Incremental jobs: edits merged into snapshots, deduplicated ingest, keys processed once, edit activity."""
+"""Incremental jobs on keyed state: edits merged into snapshots, deduplicated ingest, keys processed once; edit activity by window."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.resolve import latest_per_key
 
 REQUIRED = ("fid", "edited_at")
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, on disk and in the checkpoint, not on the heap."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+class Winner(StatefulProcessor):
+    """Of the rows of a key the last by `_order` if it comes after the one before it; or, with `first`, its very first row and no other. One value a key is kept."""
+
+    def __init__(self, first: bool):
+        self.first = first
+
+    def init(self, handle) -> None:
+        self.known = handle.getValueState("known", "at array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803  names of the interface
+        known = tuple(self.known.get()[0]) if self.known.exists() else None
+        if self.first and known is not None:
+            return
+        best = (min if self.first else max)(rows, key=lambda r: r["_order"])
+        if known is None or tuple(best["_order"]) > known:
+            self.known.update((list(best["_order"]),))
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
+def _number(df: DataFrame, c: str) -> Column:
+    """A column of an order as a whole number; null comes first."""
+    kind = df.schema[c].dataType
+    at = F.unix_micros(F.col(c).cast("timestamp")) if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType) else F.col(c).cast("long")
+    return F.coalesce(at, F.lit(-(1 << 63)))
+
 
+def winners(rows: DataFrame, key: str, order: tuple[str, ...], first: bool = False) -> DataFrame:
+    """A stream of the rows that count for their key when they come: each newer last one, or the very first one.
 
-def _newest(spark: SparkSession, root: str) -> int:
-    """The batch of the newest complete snapshot under root; -1 without one."""
-    names = _read_names(spark, root)
-    return max((int(n) for n in names if n.isdigit()), default=-1)
+    The state is one value a key, kept for good: a key that returns after any time is known.
+    Rows of equal order count once.
+    """
+    ordered = rows.withColumn("_order", F.array(*[_number(rows, c) for c in order]))
+    found = ordered.groupBy(key).transformWithState(Winner(first), ordered.schema, "Update", "None")
+    return found.drop("_order")
 
 
-def _read_names(spark: SparkSession, root: str) -> list[str]:
+def _names(spark: SparkSession, root: str) -> list[str]:
+    """Folders under root that were written wholly."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path):
@@ -26,47 +78,54 @@ def _read_names(spark: SparkSession, root: str) -> list[str]:
     return [p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
 
 
-def snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest snapshot under root."""
-    n = _newest(spark, root)
-    return None if n < 0 else spark.read.parquet(f"{root}/{n}")
+def results(spark: SparkSession, root: str) -> DataFrame | None:
+    """What all batches have written under root."""
+    found = [f"{root}/{n}" for n in _names(spark, root)]
+    return spark.read.parquet(*found) if found else None
+
+
+def _start(rows: DataFrame, step, checkpoint: str) -> StreamingQuery:
+    with _rocks(rows.sparkSession):
+        return rows.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merge_edits(edits: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Keep the last edit of each feature: every batch writes the snapshot of its number from the one before it.
+    """Keep the last edit of each feature: a batch writes only the features that it changes; see snapshot().
 
-    Edits without a required field are left out; an edit is evidence h. A batch that runs again
-    starts from the same snapshot and writes the same rows, so results are exactly-once.
+    Edits without a required field are left out; an edit is evidence h. An edit older than the one
+    that a feature has, as one that comes late or again, changes nothing. A batch that runs again
+    overwrites its own folder, so results are exactly-once.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        good = batch.dropna(subset=list(REQUIRED)).withColumn("ev", F.lit("h"))
-        known = [int(n) for n in _read_names(spark, root) if n.isdigit() and int(n) < number]
-        rows = good if not known else spark.read.parquet(f"{root}/{max(known)}").unionByName(good)
-        latest_per_key(rows, ["fid"], "edited_at", "event_id").write.mode("overwrite").parquet(f"{root}/{number}")
+    def step(batch: DataFrame, number: int) -> None:
+        batch.withColumn("ev", F.lit("h")).write.mode("overwrite").parquet(f"{root}/{number}")
+
+    return _start(winners(edits.dropna(subset=list(REQUIRED)), "fid", ("edited_at", "event_id")), step, checkpoint)
 
-    return edits.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    """The last edit of each feature over the changes of all batches."""
+    rows = results(spark, root)
+    return None if rows is None else latest_per_key(rows, ["fid"], "edited_at", "event_id")
+
+
+def dedup_ingest(rows: DataFrame, key: str, at: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the first row of each key, by `at` within a batch, once and for all; rows without a key are all appended."""
 
-def dedup_ingest(rows: DataFrame, key: str, at: str, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Append rows whose key has not come within the watermark's delay."""
-    kept = rows.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
-    return kept.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    kept = winners(rows.where(F.col(key).isNotNull()), key, (at,), first=True).select(*rows.columns)
+    return _start(kept.union(rows.where(F.col(key).isNull())), step, checkpoint)
 
 
-def process_once(rows: DataFrame, key: str, work, root: str, checkpoint: str) -> StreamingQuery:
-    """Append work(rows) for rows whose key has no result under root yet; the first row of a key in a batch counts."""
+def process_once(rows: DataFrame, key: str, work, root: str, checkpoint: str, order: tuple[str, ...]) -> StreamingQuery:
+    """Write work(batch) for the first rows, by `order`, of keys that never came before; work is per batch, and no earlier result is read."""
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = [f"{root}/{n}" for n in _read_names(spark, root) if n.isdigit() and int(n) != number]
-        new = batch.dropDuplicates([key])
-        if done:
-            new = new.join(spark.read.parquet(*done).select(key), key, "left_anti")
-        work(new).write.mode("overwrite").parquet(f"{root}/{number}")
-
-    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        work(batch).write.mode("overwrite").parquet(f"{root}/{number}")
+
+    return _start(winners(rows, key, order, first=True), step, checkpoint)
 
 
 def edit_activity(edits: DataFrame, at: str = "edited_at", window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

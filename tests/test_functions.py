@@ -167,16 +167,23 @@ def test_validation_modes(spark):
 
 
 def test_edit_stream(spark, tmp_path):
+    """Late, repeated and returning keys over several runs of one query each."""
     schema = "event_id long, fid long, edited_at timestamp, sd int"
-    root, state = str(tmp_path / "out"), str(tmp_path / "state")
-    for batch in ([(1, 7, 100, 1900), (2, 8, 100, 1901)], [(3, 7, 200, 1950), (4, None, 200, 1)]):
+    place = lambda x: str(tmp_path / x)
+    stream = lambda: spark.readStream.schema(schema).parquet(place("in"))
+    runs = [[(1, 7, 100, 1900), (2, 8, 100, 1901)], [(3, 7, 200, 1950), (4, None, 200, 1), (5, 9, 300, 1)], [(6, 7, 150, 1800), (1, 7, 100, 1900), (7, 8, 90_000, None), (7, 8, 90_000, None)]]
+    for batch in runs:
         df = spark.createDataFrame(batch, "event_id long, fid long, edited_at long, sd int").withColumn("edited_at", F.timestamp_seconds("edited_at"))
-        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        edits.merge_edits(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), root, state).awaitTermination()
-    assert sorted((r.fid, r.sd, r.ev) for r in edits.snapshot(spark, root).collect()) == [(7, 1950, "h"), (8, 1901, "h")]
-    query = edits.process_once(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "fid", lambda d: d.where("fid IS NOT NULL"), str(tmp_path / "once"), str(tmp_path / "state2"))
-    query.awaitTermination()
-    assert edits.snapshot(spark, str(tmp_path / "once")).count() == 2
+        df.coalesce(1).write.mode("append").parquet(place("in"))
+        edits.merge_edits(stream(), place("out"), place("state")).awaitTermination()
+        edits.dedup_ingest(stream(), "fid", "event_id", place("first"), place("state2")).awaitTermination()
+        edits.process_once(stream(), "fid", lambda d: d.where("fid IS NOT NULL"), place("once"), place("state3"), ("event_id",)).awaitTermination()
+    assert sorted((r.fid, r.event_id, r.sd, r.ev) for r in edits.snapshot(spark, place("out")).collect()) == [(7, 3, 1950, "h"), (8, 7, None, "h"), (9, 5, 1, "h")]
+    assert sorted((r.event_id, r.fid) for r in edits.results(spark, place("first")).collect()) == [(1, 7), (2, 8), (4, None), (5, 9)]
+    assert sorted((r.event_id, r.fid) for r in edits.results(spark, place("once")).collect()) == [(1, 7), (2, 8), (5, 9)]
+    changed = [r.fid for r in spark.read.parquet(place("out/2")).collect()]
+    assert changed == [8]  # a run writes what it changes
+    assert edits.snapshot(spark, place("none")) is None
 
 
 def test_sets_and_reports(spark):
