@@ -9,23 +9,9 @@ from pyspark.sql import types as T
 
 from ..functions.geo import GEOMETRY
 
-def _rows(*columns):
-    """Rows of struct columns, which pandas UDFs get as frames."""
-    return zip(*(c.to_dict("records") if isinstance(c, pd.DataFrame) else c for c in columns), strict=True)
-
-
-def _plain(*geometries):
-    return [g if isinstance(g, dict) else g.asDict(recursive=True) for g in geometries]
-
-
 # ---------------------------------------------------------------- lines
 
 
-def line_points(geometry: dict, scale: tuple[float, float]) -> np.ndarray:
-    """All points of a line's parts in metres."""
-    return np.array([(q["x"] * scale[0], q["y"] * scale[1]) for part in geometry["parts"] for q in part[0]], float).reshape(-1, 2)
-
-
 def to_segments(p: np.ndarray, line: np.ndarray) -> np.ndarray:
     """Distance of each point to the nearest of a line's segments."""
     if len(line) == 1:
@@ -37,75 +23,6 @@ def to_segments(p: np.ndarray, line: np.ndarray) -> np.ndarray:
     return np.hypot(*np.moveaxis(p[:, None] - near, 2, 0)).min(axis=1)
 
 
-def hausdorff_m(a: np.ndarray, b: np.ndarray) -> float:
-    """The farthest that a vertex of one lies from the other, both ways."""
-    return float(max(to_segments(a, b).max(), to_segments(b, a).max()))
-
-
-def resample(p: np.ndarray, step: float) -> np.ndarray:
-    """Points every `step` along a line, its end included."""
-    lengths = np.hypot(*np.diff(p, axis=0).T)
-    at = np.concatenate(([0], np.cumsum(lengths)))
-    wanted = np.append(np.arange(0, at[-1], step), at[-1])
-    return np.stack([np.interp(wanted, at, p[:, k]) for k in (0, 1)], axis=1)
-
-
-def longest_run(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
-    """The longest run of consecutive points of both lines that lie within the tolerance of each other, in one direction."""
-    near = np.hypot(*np.moveaxis(a[:, None] - b, 2, 0)) <= tolerance
-    best, run = 0, np.zeros(len(b) + 1, int)
-    for row in near:
-        run[1:] = np.where(row, run[:-1] + 1, 0)
-        best = max(best, int(run.max()))
-    return best
-
-
-def run_share(a: np.ndarray, b: np.ndarray, step: float = 5.0, tolerance: float = 10.0) -> float:
-    """longest_run of lines resampled every `step`, over the shorter one's points."""
-    a, b = resample(a, step), resample(b, step)
-    return longest_run(a, b, tolerance) / min(len(a), len(b))
-
-
-def buffer_share(a: np.ndarray, b: np.ndarray, radius: float, cells: int = 200) -> float:
-    """Area that both lines' surroundings share over the smaller one's, on a grid of about 1 % tolerance."""
-    low, high = np.minimum(a.min(axis=0), b.min(axis=0)) - radius, np.maximum(a.max(axis=0), b.max(axis=0)) + radius
-    size = max((high - low).max() / cells, 1e-12)
-    xs, ys = (np.arange(low[k] + size / 2, high[k], size) for k in (0, 1))
-    grid = np.stack(np.meshgrid(xs, ys), axis=2).reshape(-1, 2)
-    inside = [np.concatenate([to_segments(part, line) <= radius for part in np.array_split(grid, max(1, len(grid) * len(line) // 2_000_000))]) for line in (a, b)]
-    least = min(x.sum() for x in inside)
-    return float((inside[0] & inside[1]).sum() / least) if least else 0.0
-
-
-def width_changed(a: np.ndarray, b: np.ndarray, low: float = 2.0, high: float = 10.0) -> bool:
-    """Whether ten samples of one line lie 2 to 10 metres from the other on the mean."""
-    samples = resample(a, max(np.hypot(*np.diff(a, axis=0).T).sum() / 9, 1e-9))
-    return bool(low <= to_segments(samples, b).mean() <= high)
-
-
-def same_ends(a: np.ndarray, b: np.ndarray, radius: float = 50.0) -> bool:
-    """Whether both ends lie near the other's, in either direction."""
-    near = lambda p, q: np.hypot(*(p - q)) <= radius
-    return bool(near(a[0], b[0]) and near(a[-1], b[-1]) or near(a[0], b[-1]) and near(a[-1], b[0]))
-
-
-MATCH = T.StructType([T.StructField("lss", T.DoubleType()), T.StructField("hausdorff", T.DoubleType()), T.StructField("width_change", T.BooleanType()), T.StructField("same_ends", T.BooleanType())])
-
-
-def line_match(scale: tuple[float, float] = (50_000.0, 111_000.0), step: float = 5.0, tolerance: float = 10.0):
-    """A pandas UDF of two lines: struct(lss, hausdorff, width_change, same_ends)."""
-
-    @F.pandas_udf(MATCH)
-    def match(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = []
-        for x, y in _rows(a, b):
-            p, q = (line_points(g, scale) for g in _plain(x, y))
-            found.append((run_share(p, q, step, tolerance), hausdorff_m(p, q), width_changed(p, q), same_ends(p, q)))
-        return pd.DataFrame(found, columns=["lss", "hausdorff", "width_change", "same_ends"])
-
-    return match
-
-
 def simplify(p: np.ndarray, tolerance: float) -> np.ndarray:
     """Fewer points of a line, none dropped that lies farther than the tolerance from what is left."""
     keep = np.zeros(len(p), bool)

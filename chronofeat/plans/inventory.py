@@ -149,9 +149,23 @@ def f2_inherit_dates_tiered(v):
     return out.where("id < 0").select("id", "sd", "sd_method")
 
 
-@query()
+_CROSS = "CAST((a.x1 - a.x0) * (b.y1 - b.y0) - (a.y1 - a.y0) * (b.x1 - b.x0) AS DOUBLE)"
+
+
+@query(f"""WITH l AS (SELECT id, x0, y0, x1, y1 FROM roads UNION ALL SELECT id + 1000000000, x0, y1, x1, y0 FROM roads UNION ALL SELECT id + 2000000000, x0 - 200, y0 + 40, x1 + 300, y0 + 40 FROM roads),
+    p AS (SELECT a.id, {_CROSS} AS cross, ((b.x0 - a.x0) * (b.y1 - b.y0) - (b.y0 - a.y0) * (b.x1 - b.x0)) / {_CROSS} AS t, ((b.x0 - a.x0) * (a.y1 - a.y0) - (b.y0 - a.y0) * (a.x1 - a.x0)) / {_CROSS} AS u
+        FROM l a JOIN l b ON a.id <> b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND least(a.y0, a.y1) <= greatest(b.y0, b.y1) AND least(b.y0, b.y1) <= greatest(a.y0, a.y1) WHERE {_CROSS} <> 0),
+    o AS (SELECT a.id, unnest([b.x0 - a.x0, b.x1 - a.x0]) / CAST(a.x1 - a.x0 AS DOUBLE) AS t FROM l a JOIN l b ON a.id <> b.id AND a.y0 = a.y1 AND b.y0 = b.y1 AND a.y0 = b.y0 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+    c AS (SELECT DISTINCT id, round(t, 9) AS t FROM p WHERE u BETWEEN 0 AND 1 AND t > 0 AND t < 1 UNION SELECT id, round(t, 9) FROM o WHERE t > 0 AND t < 1), e AS (SELECT id, t FROM c UNION SELECT id, 0.0 FROM l UNION SELECT id, 1.0 FROM l),
+    n AS (SELECT id, t, lead(t) OVER (PARTITION BY id ORDER BY t) AS t1, row_number() OVER (PARTITION BY id ORDER BY t) - 1 AS part FROM e)
+    SELECT l.id, CAST(part AS INT) AS part, round(x0 + (x1 - x0) * t, 4) AS x0, round(y0 + (y1 - y0) * t, 4) AS y0, round(x0 + (x1 - x0) * t1, 4) AS x1, round(y0 + (y1 - y0) * t1, 4) AS y1 FROM n JOIN l ON l.id = n.id WHERE t1 IS NOT NULL""")
 def f20_split_at_crossings(v):
-    return roads.split_at_crossings(v("roads").select("id", "x0", "y0", "x1", "y1"))
+    """Roads, their mirror images and level lines over them, so that they cross, join and overlap."""
+    plain = v("roads").select("id", "x0", "y0", "x1", "y1")
+    mirrored = plain.select(F.col("id") + 1_000_000_000, "x0", F.col("y1"), "x1", F.col("y0"))
+    level = plain.select(F.col("id") + 2_000_000_000, F.col("x0") - 200, F.col("y0") + 40, F.col("x1") + 300, F.col("y0") + 40)
+    found = roads.split_at_crossings(plain.union(mirrored).union(level))
+    return found.select("id", "part", *[F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 # ---------------------------------------------------------------- G, H

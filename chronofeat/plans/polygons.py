@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import link, matching, resolve, spatial
+from ..operators import link, matching, rasters, resolve, spatial
 from .registry import TOUCH, query
 
 X, N = ("x0", "y0", "x1", "y1"), ("n0", "m0", "n1", "m1")
@@ -168,3 +168,21 @@ def d24_chain_of_polygons(v):
     box = F.struct(*[(F.col(f"box.{c}") + d).alias(c) for c, d in (("x0", 4), ("y0", 3), ("x1", 4), ("y1", 3))])
     found = matching.chain_match(first, first.select("id", box.alias("box"), moved.alias("geometry")))
     return found.select("id", "other", F.round("iou", 9).alias("iou"), F.round("hausdorff", 6).alias("hausdorff"))
+
+
+_CELLS = """(SELECT id, cx, cy, floor(cx / 1000) * 100 + floor(cy / 1000) AS tile FROM (SELECT {0} AS id, x0, y0, x1, y1, n0, m0, n1, m1, unnest(range(CAST(floor(x0 / 10) AS BIGINT), CAST(floor(x1 / 10) AS BIGINT) + 1)) * 10 + 5 AS cx FROM {1}) b, LATERAL (SELECT unnest(range(CAST(floor(y0 / 10) AS BIGINT), CAST(floor(y1 / 10) AS BIGINT) + 1)) * 10 + 5 AS cy)
+    WHERE cx >= x0 AND cx < x1 AND cy >= y0 AND cy < y1 AND NOT (cx >= n0 AND cx < n1 AND cy >= m0 AND cy < m1))"""
+
+
+@query(f"""WITH t AS (SELECT DISTINCT floor(x / 1000) * 100 + floor(y / 1000) AS tile FROM registry_points), p AS {_CELLS.format('ord', 'base_shapes')}, m AS (SELECT DISTINCT cx, cy, 1 AS lit FROM {_CELLS.format('id', 'detection_shapes')}),
+    s AS (SELECT p.id, p.tile, count(*) AS pixels, count(lit) / CAST(count(*) AS DOUBLE) AS share FROM p JOIN t ON t.tile = p.tile LEFT JOIN m ON m.cx = p.cx AND m.cy = p.cy GROUP BY 1, 2)
+    SELECT id, CAST(tile AS BIGINT) AS tile, pixels, round(share, 6) AS share, share >= 0.5 AS existed, round(0.5 + abs(share - 0.5), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY share DESC, pixels DESC, tile) AS n FROM s) WHERE n = 1""")
+def d21_footprint_pixels(v):
+    """Concave and holed footprints on tiles of 100 x 100 pixels; the masks are painted from the detections."""
+    at = v("registry_points").select(F.floor(F.col("x") / 1000).alias("col"), F.floor(F.col("y") / 1000).alias("row")).distinct()
+    corner = lambda c, d: ((F.col(c) + d) * 1000).cast("double")
+    box = F.struct(corner("col", 0).alias("x0"), corner("row", 0).alias("y0"), corner("col", 1).alias("x1"), corner("row", 1).alias("y1"))
+    tiles = at.select((F.col("col") * 100 + F.col("row")).alias("tile"), box.alias("box"), F.lit(100).alias("width"), F.lit(100).alias("height"))
+    masks = rasters.merged_runs(rasters.footprint_runs(_found(v), tiles))
+    found = rasters.presence(rasters.footprint_runs(_known(v), tiles), masks)
+    return found.select("id", "tile", "pixels", F.round("share", 6).alias("share"), "existed", F.round("confidence", 6).alias("confidence"))

@@ -630,8 +630,34 @@ def _lines(v, where: str) -> DataFrame:
     return v("roads").where(where).select("id", "box", line.alias("geometry"))
 
 
-@query()
+def _apart(x: str, y: str, g: str) -> str:
+    """Distance of (x, y) to the straight line g (x0, y0, x1, y1), which has a length."""
+    t = f"least(greatest((({x} - {g}.x0) * ({g}.x1 - {g}.x0) + ({y} - {g}.y0) * ({g}.y1 - {g}.y0)) / CAST(({g}.x1 - {g}.x0) * ({g}.x1 - {g}.x0) + ({g}.y1 - {g}.y0) * ({g}.y1 - {g}.y0) AS DOUBLE), 0.0), 1.0)"
+    return f"sqrt(pow({x} - {g}.x0 - {t} * ({g}.x1 - {g}.x0), 2) + pow({y} - {g}.y0 - {t} * ({g}.y1 - {g}.y0), 2))"
+
+
+def _mean_apart(s: str, g: str) -> str:
+    """Mean distance of ten points along s to g."""
+    return f"list_avg(list_transform(range(0, 10), lambda k: {_apart(f'({s}.x0 + ({s}.x1 - {s}.x0) * k / 9.0)', f'({s}.y0 + ({s}.y1 - {s}.y0) * k / 9.0)', g)}))"
+
+
+_SAMPLES = "SELECT id, n, k, x0 + (x1 - x0) * least(5.0 * k, len) / len AS x, y0 + (y1 - y0) * least(5.0 * k, len) / len AS y FROM (SELECT *, CAST(ceil(len / 5.0) AS BIGINT) + 1 AS n FROM {0}), LATERAL (SELECT unnest(range(0, n)) AS k)"
+_FARTHEST = "greatest(" + ", ".join(_apart(f"{s}.x{k}", f"{s}.y{k}", g) for s, g in (("a", "b"), ("b", "a")) for k in (0, 1)) + ")"
+_ENDS = " OR ".join(f"(sqrt(pow(a.x0 - b.x{i}, 2) + pow(a.y0 - b.y{i}, 2)) <= 50 AND sqrt(pow(a.x1 - b.x{1 - i}, 2) + pow(a.y1 - b.y{1 - i}, 2)) <= 50)" for i in (0, 1))
+
+
+@query(f"""WITH o AS (SELECT id, x0, y0, x1, y1, sqrt(pow(CAST(x1 - x0 AS DOUBLE), 2) + pow(CAST(y1 - y0 AS DOUBLE), 2)) AS len FROM roads WHERE rt = 'historical'),
+    w AS (SELECT id, x0 + 3 AS x0, y0, x1 + 3 AS x1, y1, sqrt(pow(CAST(x1 - x0 AS DOUBLE), 2) + pow(CAST(y1 - y0 AS DOUBLE), 2)) AS len FROM roads),
+    p AS (SELECT a.id, b.id AS other, {_FARTHEST} AS h, CASE WHEN a.len <= b.len THEN {_mean_apart('a', 'b')} ELSE {_mean_apart('b', 'a')} END AS apart, ({_ENDS}) AS ends FROM o a JOIN w b ON a.x0 - 10 <= b.x1 AND b.x0 <= a.x1 + 10 AND a.y0 - 10 <= b.y1 AND b.y0 <= a.y1 + 10),
+    so AS ({_SAMPLES.format('o')}), sw AS ({_SAMPLES.format('w')}),
+    near AS (SELECT p.id, p.other, s.k - t.k AS d, s.k, least(s.n, t.n) AS n FROM p JOIN so s ON s.id = p.id JOIN sw t ON t.id = p.other WHERE sqrt(pow(s.x - t.x, 2) + pow(s.y - t.y, 2)) <= 10),
+    runs AS (SELECT id, other, n, count(*) AS run FROM (SELECT *, k - row_number() OVER (PARTITION BY id, other, d ORDER BY k) AS island FROM near) GROUP BY id, other, n, d, island),
+    lss AS (SELECT id, other, max(run) / CAST(n AS DOUBLE) AS lss FROM runs GROUP BY id, other, n),
+    m AS (SELECT * FROM (SELECT p.*, lss, row_number() OVER (PARTITION BY p.id ORDER BY lss DESC, h, p.other) AS n FROM p JOIN lss ON lss.id = p.id AND lss.other = p.other WHERE lss >= 0.3) WHERE n = 1)
+    SELECT id, 'old' AS side, CASE WHEN lss >= 0.8 AND h <= 10 THEN CASE WHEN apart BETWEEN 2 AND 10 THEN 'widened' ELSE 'same' END WHEN ends THEN 'rerouted' ELSE 'replaced' END AS change FROM m
+    UNION ALL SELECT id, 'old', 'removed' FROM o WHERE id NOT IN (SELECT id FROM m) UNION ALL SELECT id, 'new', 'new' FROM w WHERE id NOT IN (SELECT other FROM m)""")
 def d14_match_roads(v):
+    """Historical roads against all roads drawn three units off."""
     from ..operators import roads
 
     shift = F.struct((F.col("box.x0") + 3).alias("x0"), F.col("box.y0").alias("y0"), (F.col("box.x1") + 3).alias("x1"), F.col("box.y1").alias("y1"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo, text, tiles
 from ..lineage import shared
-from ..operators import evidence, filters, kernels, resolve, roads
+from ..operators import evidence, filters, kernels, lines, resolve, roads
 from ..sources import normalize, readers, sinks
 from ..streaming import edits
 from .registry import Views, query
@@ -358,7 +358,7 @@ def k3_process_once(v):
 def _moved(v: Views) -> DataFrame:
     """Each road as a line and the same line moved north by id % 14 and east by one."""
     line = lambda dx, dy: F.struct(F.lit("LineString").alias("gtype"), F.array(F.array(F.array(geo.point(F.col("x0") + dx, F.col("y0") + dy), geo.point(F.col("x1") + dx, F.col("y1") + dy)))).alias("parts"))
-    return v("roads").select("id", kernels.line_match((1.0, 1.0))(line(F.lit(0), F.lit(0)), line(F.lit(1), F.col("id") % 14)).alias("m"))
+    return v("roads").select("id", lines.line_match((1.0, 1.0))(line(F.lit(0), F.lit(0)), line(F.lit(1), F.col("id") % 14)).alias("m"))
 
 
 def _off(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronofeat.operators import kernels, link, matching, merge, sets
+from chronofeat.operators import lines, link, matching, merge, sets
 from chronofeat.plans import further, registry
 
 SF = "/root/testdata/sf0.001"
@@ -73,17 +73,17 @@ def test_road_links(spark):
     expected = {}
     for a, (na, p) in roads.items():
         for b, (nb, q) in roads.items():
-            far = kernels.hausdorff_m(np.array(p, float), np.array(q, float))
+            one, two = (lines.Lines(*np.array(g, float).T, np.array([0, len(g)])) for g in (p, q))
+            far = lines.hausdorff(one, two)[0]
             if a != b and far <= 20:
                 same = na and nb and na.strip().lower() == nb.strip().lower()
-                score = 0.4 * kernels.buffer_share(np.array(p, float), np.array(q, float), 10.0, 100) + 0.3 * (1 - far / 20) + (0.3 if same else 0.0)
+                score = 0.4 * lines.buffer_shares(one, two, 10.0)[0] + 0.3 * (1 - far / 20) + (0.3 if same else 0.0)
                 if score >= 0.3:
                     expected[a, b] = round(min(1.0, score), 9)
     found = matching.link_roads(df, df).collect()
     assert {(r.id, r.other): round(r.score, 9) for r in found} == expected and expected
     for r in found:
         assert r["rank"] == 1 + sum((s > r.score - 1e-12 and b < r.other or s > round(r.score, 9)) for (a, b), s in expected.items() if a == r.id and b != r.other)
-    assert abs(kernels.buffer_share(np.array([(0, 0), (100, 0.0)]), np.array([(0, 0), (100, 0.0)]), 10.0) - 1) < 0.01
 
 
 def test_even_sample(spark):
