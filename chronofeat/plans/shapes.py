@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,22 @@ def _documents(v: Views, rows: DataFrame, key: str, head: str, body: str, tail:
     return path
 
 
+def _named(v: Views, rows: DataFrame, ending: str) -> str:
+    """The path of a folder with the documents of rows (name, value), each a file called name and ending; names may have folders. Spark writes them, and they are then called so."""
+    root = f"{shared(v.spark)}/documents-{uuid.uuid4().hex}"
+    rows.select(F.base64(F.col("name").cast("binary")).alias("name"), "value").write.partitionBy("name").text(f"{root}/written")
+    path = v.spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(v.spark._jsc.hadoopConfiguration())
+    for folder in files.listStatus(path(f"{root}/written")):
+        if folder.isDirectory():
+            name = base64.b64decode(unquote(folder.getPath().getName().removeprefix("name="))).decode()
+            (one,) = [f.getPath() for f in files.listStatus(folder.getPath())]
+            there = path(f"{root}/named/{name}{ending}")
+            files.mkdirs(there.getParent())
+            files.rename(one, there)
+    return f"{root}/named"
+
+
 def _box_of(v: Views, name: str) -> DataFrame:
     return v(name).withColumn("geometry", geo.box(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
 
@@ -86,6 +104,54 @@ def a5_read_pages(v):
     return readers.read_pages(v.spark, _documents(v, v.table("orders").select("o_orderkey", one.alias("value")), "o_orderkey", "[", "value", "]"), "code long, status string")
 
 
+_SERIES = "SELECT o_orderkey AS code, o_custkey % 7 AS series, o_orderkey // 400 AS page FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey // 400 % 5 < 4"
+
+
+@query(f"""WITH o AS ({_SERIES}), s AS (SELECT series, page, count(*) AS n FROM o GROUP BY ALL), w AS (SELECT *, min(n) OVER e AS least, sum(n) OVER e AS total, page - row_number() OVER (PARTITION BY series ORDER BY page) AS gap, min(page) OVER (PARTITION BY series) AS first FROM s WINDOW e AS (PARTITION BY series ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT code, series FROM o JOIN w USING (series, page) WHERE coalesce(least >= 9, true) AND coalesce(total <= 60, true) AND gap = first - 1""")
+def a5_page_series(v):
+    """Pages of several series, some short, some missing; each series stops there or after more than 60 rows."""
+    key = F.col("o_orderkey")
+    page = F.floor(key / 400)
+    rows = v.table("orders").where((key % 2 == 0) | (page % 5 < 4)).select(F.concat(F.lit("orders"), F.col("o_custkey") % 7, F.lit("-"), page).alias("name"), F.to_json(F.struct(key.alias("code"), (F.col("o_custkey") % 7).alias("series"))).alias("one"))
+    documents = rows.groupBy("name").agg(F.concat(F.lit("["), F.array_join(F.collect_list("one"), ","), F.lit("]")).alias("value"))
+    return readers.read_pages(v.spark, f"{_named(v, documents, '.json')}/*.json", "code long, series long", size=9, cap=60)
+
+
+@query("SELECT concat('source', CAST(s_suppkey AS STRING)) AS source_id, s_nationkey AS record_count, concat('n', CAST(s_nationkey AS STRING), '/s', CAST(s_suppkey AS STRING)) AS path FROM supplier WHERE s_suppkey % 10 > 0")
+def a7_discover_sources(v):
+    """A manifest a supplier, in a folder of its nation; some name no source."""
+    key = F.col("s_suppkey")
+    body = F.to_json(F.struct(F.when(key % 10 > 0, F.concat(F.lit("source"), key)).alias("source_id"), F.col("s_nationkey").alias("record_count")))
+    rows = v.table("supplier").select(F.concat(F.lit("n"), "s_nationkey", F.lit("/s"), "s_suppkey", F.lit("/manifest")).alias("name"), body.alias("value"))
+    root = _named(v, rows, ".json")
+    return readers.discover_sources(v.spark, root).select("source_id", "record_count", F.regexp_extract("path", r"(n\d+/s\d+)$", 1).alias("path"))
+
+
+@query("SELECT concat('kart.', CAST(sd // 10 AS STRING)) AS src, CAST(id AS STRING) AS id, CAST(x AS DOUBLE) AS x FROM registry_points WHERE id % 9 > 0")
+def a9_read_folder(v):
+    """A file a decade, whose name is the source; some features have no geometry."""
+    feature = F.concat(F.lit('{"type": "Feature", "properties": {"id": '), F.col("id").cast("string"), F.lit('}, "geometry": '), F.when(F.col("id") % 9 > 0, F.concat(F.lit('{"type": "Point", "coordinates": ['), F.col("x").cast("string"), F.lit(", "), F.col("y").cast("string"), F.lit("]}"))).otherwise("null"), F.lit("}"))
+    rows = v("registry_points").select(F.concat(F.lit("kart."), F.floor(F.col("sd") / 10)).alias("name"), feature.alias("one"))
+    documents = rows.groupBy("name").agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("one"), ", "), F.lit("]}")).alias("value"))
+    found = readers.read_dir_with_source(v.spark, _named(v, documents, ".geojson"))
+    return found.select("src", F.col("properties")["id"].alias("id"), geo.points(F.col("geometry"))[0]["x"].alias("x"))
+
+
+@query("SELECT CAST(ord AS STRING) AS ord, CAST(x0 AS DOUBLE) AS gx, CAST(y1 AS DOUBLE) AS gy FROM base_features WHERE ord % 7 > 0")
+def a1_read_large_geojson(v):
+    """FeatureCollections of many features in one line, split at the features."""
+    rows = v("base_features").withColumn("geometry", F.when(F.col("ord") % 7 > 0, geo.box(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))))
+    corner = lambda k: F.concat(*[x for n in k for x in (F.lit("["), F.col(n[0]).cast("string"), F.lit(","), F.col(n[1]).cast("string"), F.lit("],"))][:-1], F.lit("]"))
+    ring = corner([("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0")])
+    shape = F.when(F.col("geometry").isNotNull(), F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}"))).otherwise("null")
+    one = F.concat(F.lit('{"type":"Feature","properties":{"ord":'), F.col("ord").cast("string"), F.lit('},"geometry":'), shape, F.lit("}"))
+    path = _documents(v, rows.select("ord", one.alias("value")), "ord", '{"type":"FeatureCollection","features":[', "value", "]}")
+    found = readers.read_large_geojson(v.spark, path)
+    points = geo.points(F.col("geometry"))
+    return found.select(F.col("properties")["ord"].alias("ord"), points[0]["x"].alias("gx"), points[2]["y"].alias("gy"))
+
+
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN 'MultiLineString' WHEN id % 3 = 1 THEN 'LineString' ELSE 'Point' END AS gtype, CAST(CASE WHEN id % 3 = 2 THEN y1 ELSE y0 END AS DOUBLE) AS gy FROM roads WHERE id % 5 <> 2 OR id % 3 <> 2")
 def a6_from_esri(v):
     k, d = F.col("id"), lambda *c: F.array(*(F.col(x).cast("double") for x in c))

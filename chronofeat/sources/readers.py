@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -27,7 +27,7 @@ def geometry_from_json(kind, text):
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, properties map, geometry) of the features of FeatureCollection or Feature files; features without a geometry are left out."""
-    text = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("source_file"))
+    text = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("source_file"))
     whole = F.from_json("value", "type string, features array<string>, geometry string, properties string")
     rows = text.withColumn("w", whole)
     each = F.when(F.col("w.type") == "FeatureCollection", F.coalesce("w.features", F.array().cast("array<string>"))).when(F.col("w.type") == "Feature", F.array("value"))
@@ -37,6 +37,20 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("geometry IS NOT NULL")
 
 
+def read_large_geojson(spark: SparkSession, path: str, begins: str = '{"type":"Feature",') -> DataFrame:
+    """As read_geojson, of large FeatureCollections whose features all begin alike, as one writer writes them.
+
+    Spark splits a file at that text, so that a single one is read by many tasks, a feature a row;
+    what follows a feature is left unread. The text must not stand inside a feature.
+    """
+    rows = spark.read.option("lineSep", begins).text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
+    # what stands before a file's first feature is no feature: it has no geometry of its own
+    rows = rows.select("source_file", F.concat(F.lit(begins), "value").alias("feature")).where(~F.col("value").rlike(r'"features"\s*:\s*\[\s*$'))
+    whole = F.from_json("feature", "properties string, geometry struct<type:string,coordinates:string>")
+    found = rows.select("source_file", whole.alias("w"))
+    return found.select("source_file", F.from_json("w.properties", "map<string,string>").alias("properties"), geometry_from_json(F.col("w.geometry.type"), F.col("w.geometry.coordinates")).alias("geometry")).where("geometry IS NOT NULL")
+
+
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """As read_geojson, of files with a feature a line, which split over tasks."""
     rows = spark.read.text(path).where("trim(value) <> ''")
@@ -68,10 +82,27 @@ def read_nvdb(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("nvdb_id"), named.alias("properties"), F.col("lokasjon.lengde").alias("length"), F.col("metadata.startdato").alias("start"), F.col("metadata.sluttdato").alias("end"), geo.from_wkt(F.col("geometri.wkt")).alias("geometry"))
 
 
-def read_pages(spark: SparkSession, glob: str, schema: str, cap: int | None = None) -> DataFrame:
-    """The rows of paged JSON result files together, up to a cap."""
+def read_pages(spark: SparkSession, glob: str, schema: str, size: int | None = None, cap: int | None = None) -> DataFrame:
+    """The rows of paged JSON result files together; with a page size, as far as each series goes.
+
+    Files are called by series and page number, as `buildings-12.json`. A series goes on while its
+    pages are full and follow each other: it ends with its first page of fewer rows, before a
+    missing one, and after the page with which it has more than `cap` rows.
+    """
     rows = spark.read.schema(schema).json(glob, multiLine=True)
-    return rows if cap is None else rows.limit(cap)
+    if size is None:
+        return rows
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*?)-?(\d+)\.[^./]*$", 1)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.[^./]*$", 1).cast("long")
+    named = rows.withColumns({"_series": name, "_page": number})
+    sizes = named.groupBy("_series", "_page").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("_series").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_series").orderBy("_page")
+    full = F.coalesce(F.min("n").over(before) >= size, F.lit(True))
+    steady = F.col("_page") - F.row_number().over(order) == F.min("_page").over(Window.partitionBy("_series")) - 1
+    within = F.coalesce(F.sum("n").over(before) <= cap, F.lit(True)) if cap is not None else F.lit(True)
+    kept = sizes.select("_series", "_page", (full & steady & within).alias("goes_on")).where("goes_on").drop("goes_on")
+    return named.join(kept, ["_series", "_page"], "left_semi").drop("_series", "_page")
 
 
 def read_dir_with_source(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +113,7 @@ def read_dir_with_source(spark: SparkSession, path: str) -> DataFrame:
 def discover_sources(spark: SparkSession, root: str) -> DataFrame:
     """(source_id, path, record_count, ingested_at) of the manifest.json files below a folder."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").schema("source_id string, record_count long, ingested_at string").json(root, multiLine=True)
-    return rows.withColumn("path", F.regexp_replace(F.input_file_name(), "/manifest.json$", ""))
+    return rows.select("*", F.regexp_replace(F.col("_metadata.file_path"), "/manifest.json$", "").alias("path")).where("source_id IS NOT NULL AND source_id <> ''")
 
 
 def load_enabled(catalog: DataFrame, read) -> DataFrame:
