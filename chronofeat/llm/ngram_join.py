@@ -447,7 +447,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their group of near duplicates: those with the smallest key.
 
-    Rows that share a key stay or go together; rows without words, and of a null key, all stay.
+    Rows that share a key stay or go together; rows without words, and of a null key, all stay. An
+    empty table gives an empty one; long texts count by all their shingles.
     """
     key, text = params.get("key", "doc_id"), params.get("text", "text")
     found = near_duplicates(docs, **params)
