@@ -56,8 +56,8 @@ def even_sample(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 def by_priority(df: DataFrame, catalog: DataFrame, *order: str) -> DataFrame:
-    """Rows in the order of their source's priority (catalog: src, priority), unlisted sources last, then in an explicit order."""
-    return df.join(F.broadcast(catalog.select("src", "priority")), "src", "left").orderBy(F.coalesce("priority", F.lit(999)), *order)
+    """Rows in the order of their source's priority (catalog: src, priority), unlisted sources last, then in an explicit order. Spark broadcasts a catalogue that it knows to be small."""
+    return df.join(catalog.select("src", "priority"), "src", "left").orderBy(F.coalesce("priority", F.lit(999)), *order)
 
 
 def union_sources(*tables: DataFrame) -> DataFrame:

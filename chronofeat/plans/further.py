@@ -152,10 +152,10 @@ def g3_rank_matches(v):
     return matching.ranked(pairs).select("id", "other", F.round("score", 9).alias("score"), "rank")
 
 
-@query("SELECT ord, src FROM base_features ORDER BY CASE src WHEN 'matrikkelen' THEN 4 WHEN 'osm' THEN 6 ELSE 999 END, ord LIMIT 100")
+@query("SELECT ord, src FROM base_features ORDER BY CASE src WHEN 'matrikkelen' THEN 4 WHEN 'osm' THEN 6 ELSE 999 END, ord")
 def g1_by_priority(v):
     catalog = v.spark.createDataFrame([("matrikkelen", 4), ("osm", 6)], "src string, priority int")
-    return sets.by_priority(v("base_features"), catalog, "ord").limit(100).select("ord", "src")
+    return sets.by_priority(v("base_features"), catalog, "ord").select("ord", "src")
 
 
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders) WHERE k % greatest(1, n // 200) = 0 ORDER BY o_orderkey LIMIT 200")
