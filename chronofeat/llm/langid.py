@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Labelled texts of a language that a dictionary is made of, about; characters of one text's part, bytes of a dictionary; languages at most.
+#: Labelled texts of a language that a dictionary is made of, about; characters of one text's part, from a hashed place on, bytes of a dictionary; languages at most.
 SAMPLE_TEXTS, PART_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 120, 2048, 112_640, 1000
 #: Compression level.
 LEVEL = 6
@@ -39,7 +39,7 @@ def train(labelled: DataFrame, *, lang: str = "lang", text: str = "text", seed:
 
     The sample is bounded: different texts whose seeded hash lies under a threshold set for about
     SAMPLE_TEXTS of them a language, and the text of the smallest hash in any case, in hash order,
-    PART_CHARS of each. Repeated texts count once, so a language of few different texts keeps all.
+    PART_CHARS of each from a place that the hash chooses too. Repeated texts count once, so a language of few different texts keeps all.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64(F.lit(seed), "text"))
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).limit(MAX_LANGUAGES + 1).collect()
@@ -50,7 +50,8 @@ def train(labelled: DataFrame, *, lang: str = "lang", text: str = "text", seed:
     # a share of all hashes, from the least one on
     most = [(r.lang, max(r.least, min(int(min(1.0, SAMPLE_TEXTS / r.n) * (1 << 64)), (1 << 64) - 1) - (1 << 63))) for r in counts]
     bounds = rows.sparkSession.createDataFrame(most, "lang string, most long")
-    some = rows.join(F.broadcast(bounds), "lang").where("h <= most").dropDuplicates(["lang", "h"]).select("lang", "h", F.substring("text", 1, PART_CHARS).alias("text"))
+    place = 1 + F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.greatest(F.char_length("text") - PART_CHARS, F.lit(0)) + 1)
+    some = rows.join(F.broadcast(bounds), "lang").where("h <= most").dropDuplicates(["lang", "h"]).select("lang", "h", F.substr("text", place.cast("int"), F.lit(PART_CHARS)).alias("text"))
     parts: dict[str, list[tuple[int, str]]] = {r.lang: [] for r in counts}
     for r in some.collect():  # about MAX_LANGUAGES * SAMPLE_TEXTS parts at most
         parts[r.lang].append((r.h, r.text))
