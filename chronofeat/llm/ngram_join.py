@@ -410,8 +410,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, num: int = 80, den: int
 
     Two rows link when den * |intersection| >= num * |union|. Texts without a word, and null, have
     an empty set, link with nothing and stand for themselves. Repeated texts share a set and link.
-    Rows that share a key are one node. A null key keeps its row; such rows don't join others.
-    An empty table gives an empty result. Other columns of docs are not looked at.
+    Rows that share a key are one node. A null key keeps its row; such rows don't join others. Keys
+    are whole numbers, or cast to them (an error where that fails). An empty table gives an empty result. Other columns of docs are not looked at.
     """
     with scratch(docs.sparkSession):
         small_batches(docs.sparkSession)

@@ -363,7 +363,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, key: str = "doc_id", t
     """Per row of docs (key, spans, kept): maximal removed byte runs [start, stop) and the remaining UTF-8 bytes joined (binary).
 
     Strings are judged on the input, and never cross documents. A null text is empty. Repeated
-    rows, of one key and text, are one document and get its result each. A null key is the last;
+    rows, of one key and text, are one document and get its result each. Keys are whole numbers, or
+    cast to them (an error where that fails); a null key is the last;
     texts that share a key take the spans of one another. Texts shorter than `length` stay whole;
     long ones go through in parts, and only their removal holds one whole. A passage that many
     documents share leaves a task as a few rows, not one for each document.
