@@ -67,24 +67,64 @@ class Rings:
         return row_of_ring[ring[keep]], x0, y0, x1, y1, sign, areas
 
 
+#: Edges of the larger polygon for each slab that a pair is cut into, and slabs at most.
+PER_SLAB, SLABS = 8, 4096
+
+
+def pieces(row: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, sign: np.ndarray, left: np.ndarray, right: np.ndarray, slabs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges cut at the slabs of their row between left and right, and at these: (slab, x0, y0, x1, y1, sign) in the order of slabs. first: number of each row's first slab."""
+    wide = np.where(right > left, (right - left) / slabs, 1)[row]
+    low, high = np.maximum(x0, left[row]), np.minimum(x1, right[row])
+    some = low < high
+    row, x0, y0, x1, y1, sign, wide, low, high = (v[some] for v in (row, x0, y0, x1, y1, sign, wide, low, high))
+    begin = np.clip(((low - left[row]) / wide).astype(np.int64), 0, slabs[row] - 1)
+    end = np.clip(np.ceil((high - left[row]) / wide).astype(np.int64) - 1, begin, slabs[row] - 1)
+    many = end - begin + 1
+    i = np.repeat(np.arange(len(row)), many)
+    k = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + begin[i]
+    # the first and the last piece end where the edge does, so that rounding loses nothing
+    u = np.where(k == begin[i], low[i], left[row[i]] + k * wide[i])
+    v = np.where(k == end[i], high[i], left[row[i]] + (k + 1) * wide[i])
+    at = lambda x: y0[i] + (y1[i] - y0[i]) * ((x - x0[i]) / (x1[i] - x0[i]))
+    slab = first[row[i]] + k
+    order = np.argsort(slab, kind="stable")
+    return tuple(x[order] for x in (slab, u, at(u), v, at(v), sign[i]))
+
+
 def shared(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shared area, area of a, area of b) of the rows of two geometry columns."""
-    ra, ax0, ay0, ax1, ay1, sa, area_a = Rings(a).edges()
-    rb, bx0, by0, bx1, by1, sb, area_b = Rings(b).edges()
+    """(shared area, area of a, area of b) of the rows of two geometry columns.
+
+    A pair is cut into upright slabs, more of them the more edges there are, so that the pairs of
+    edges that meet grow with the edges and not with their product.
+    """
+    ra, *ea, area_a = Rings(a).edges()
+    rb, *eb, area_b = Rings(b).edges()
     n = len(a)
-    ca, cb = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n)
-    # heights count from the lowest point of a row, so that they stay small
-    low = np.full(n, np.inf)
-    for row, y in ((ra, ay0), (ra, ay1), (rb, by0), (rb, by1)):
-        np.minimum.at(low, row, y)
-    ay0, ay1, by0, by1 = ay0 - low[ra], ay1 - low[ra], by0 - low[rb], by1 - low[rb]
+    bounds = {}
+    for name, row, (x0, y0, x1, y1, _) in (("a", ra, ea), ("b", rb, eb)):
+        left, right, low = np.full(n, np.inf), np.full(n, -np.inf), np.full(n, np.inf)
+        np.minimum.at(left, row, x0)
+        np.maximum.at(right, row, x1)
+        np.minimum.at(low, row, np.minimum(y0, y1))
+        bounds[name] = left, right, low
+    left, right = np.maximum(bounds["a"][0], bounds["b"][0]), np.minimum(bounds["a"][1], bounds["b"][1])
+    apart = ~(left < right)
+    left[apart] = right[apart] = 0
+    low = np.minimum(bounds["a"][2], bounds["b"][2])  # heights count from the lowest point of a row, so that they stay small
+    slabs = np.clip(np.maximum(np.bincount(ra, minlength=n), np.bincount(rb, minlength=n)) // PER_SLAB, 1, SLABS)
+    first = np.cumsum(slabs) - slabs
+    row_of = np.repeat(np.arange(n), slabs)
+    cut = lambda row, x0, y0, x1, y1, sign: pieces(row, x0, y0 - low[row], x1, y1 - low[row], sign, left, right, slabs, first)
+    ka, ax0, ay0, ax1, ay1, sa = cut(ra, *ea)
+    kb, bx0, by0, bx1, by1, sb = cut(rb, *eb)
+    cb = np.bincount(kb, minlength=len(row_of))
     first_b = np.cumsum(cb) - cb
     out = np.zeros(n)
-    per_edge = cb[ra]  # each edge of a meets all of b's row
+    per_edge = cb[ka]  # each piece of a meets all of b's in its slab
     for s, e in blocks(per_edge):
         i = np.repeat(np.arange(s, e), per_edge[s:e])
         ends = np.cumsum(per_edge[s:e])
-        j = np.arange(len(i)) - np.repeat(ends - per_edge[s:e], per_edge[s:e]) + first_b[ra[i]]
+        j = np.arange(len(i)) - np.repeat(ends - per_edge[s:e], per_edge[s:e]) + first_b[ka[i]]
         x0, x1 = np.maximum(ax0[i], bx0[j]), np.minimum(ax1[i], bx1[j])
         over = x1 > x0
         i, j, x0, x1 = i[over], j[over], x0[over], x1[over]
@@ -93,9 +133,9 @@ def shared(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
         bl, br = (at(x, j, bx0, by0, bx1, by1) for x in (x0, x1))
         dl, dr = al - bl, ar - br
         spread = np.abs(dl) + np.abs(dr)
-        apart = np.where(dl * dr >= 0, spread / 2, (dl * dl + dr * dr) / (2 * np.where(spread > 0, spread, 1)))
-        lower = ((al + bl + ar + br) / 2 - apart) / 2 * (x1 - x0)
-        out += np.bincount(ra[i], sa[i] * sb[j] * lower, n)
+        gap = np.where(dl * dr >= 0, spread / 2, (dl * dl + dr * dr) / (2 * np.where(spread > 0, spread, 1)))
+        lower = ((al + bl + ar + br) / 2 - gap) / 2 * (x1 - x0)
+        out += np.bincount(row_of[ka[i]], sa[i] * sb[j] * lower, n)
     return np.clip(out, 0, np.minimum(area_a, area_b)), area_a, area_b
 
 

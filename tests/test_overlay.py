@@ -114,6 +114,21 @@ def test_blocks_of_edges(monkeypatch):
     assert overlay.far_from(overlay.Rings(a), overlay.Rings(b), 20) == pytest.approx(far)
 
 
+@pytest.mark.parametrize("per_slab", [1, 2, 1000])
+def test_slabs(monkeypatch, per_slab):
+    """The same areas for any number of slabs; two fine polygons share what coarse ones do."""
+    rng = random.Random(12)
+    a, b = ([polygon(rng) for _ in range(30)] for _ in range(2))
+    whole = [intersection_area(x, y) for x, y in zip(a, b, strict=True)]
+    monkeypatch.setattr(overlay, "PER_SLAB", per_slab)
+    assert overlay.shared(pa.array(a, SHAPE), pa.array(b, SHAPE))[0] == pytest.approx(whole, abs=1e-8)
+    disc = lambda x, n: {"gtype": "Polygon", "parts": [[[{"x": x + 10 * math.cos(2 * math.pi * k / n), "y": 10 * math.sin(2 * math.pi * k / n)} for k in range(n)]]]}
+    lens = 2 * 100 * math.acos(0.35) - 7 / 2 * math.sqrt(400 - 49)
+    n = 20_000 if per_slab == 2 else 600
+    found = overlay.shared(pa.array([disc(0, n), disc(0, n)], SHAPE), pa.array([disc(7, n), disc(30, n)], SHAPE))[0]
+    assert found == pytest.approx([lens, 0], rel=1e-4 if n == 600 else 1e-6)
+
+
 def test_hausdorff_against_loops():
     rng = random.Random(3)
     line = lambda: {"gtype": "LineString", "parts": [[[{"x": rng.random() * 9, "y": rng.random() * 9} for _ in range(rng.randrange(1, 6))]]]}
