@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..lineage import cut
 
 #: Lowest and highest level of a grid; cells of level 0 have the width that is asked for, those of the next are FACTOR times as wide.
-LOWEST, HIGHEST, FACTOR = -6, 7, 4
+LOWEST, HIGHEST, FACTOR = -12, 30, 4
 
 
 def _own_level(cell: float) -> Column:
@@ -21,7 +21,7 @@ def _own_level(cell: float) -> Column:
 
 
 def _levels(df: DataFrame, cell: float) -> Column:
-    """The levels on which a table has rows of its own, as a scalar subquery: some 14 numbers at most."""
+    """The levels on which a table has rows of its own, as a scalar subquery: a few numbers."""
     return df.where("box IS NOT NULL").agg(F.collect_set(_own_level(cell)).alias("levels")).scalar()
 
 

@@ -190,8 +190,12 @@ def test_few_large_boxes_cost_little(spark):
     ordinary = boxes(rng, 2000, [40, 60])
     df = lambda rows: spark.createDataFrame([(r[0], *map(float, r[1:])) for r in rows], "id long, x0 double, y0 double, x1 double, y1 double").select("id", F.struct("x0", "y0", "x1", "y1").alias("box"))
     rows = lambda t, u: spatial._cells(t, "a", 64.0, spatial._levels(u, 64.0)).count()
-    plain, odd = df(ordinary), df([*ordinary, (2000, 0, 0, 1_000_000, 1_000_000)])
+    plain, odd = df(ordinary), df([*ordinary, (2000, 0, 0, 10**12, 10**12)])
     assert rows(odd, odd) < 2 * rows(plain, plain)
+    # a tenth of the rows in a place no wider than a cell are spread over many small cells
+    dense = df([*ordinary, *[(3000 + i, x, y, x + 1, y + 1) for i, (x, y) in enumerate((rng.random() * 60, rng.random() * 60) for _ in range(220))]])
+    cells = spatial._cells(dense.where("id >= 3000"), "a", 64.0, spatial._levels(dense, 64.0)).where("meets < 0")
+    assert cells.groupBy("meets", "cx", "cy").count().agg(F.max("count")).first()[0] < 10
 
 
 def test_links_of_rows_without_polygon(spark):
