@@ -42,7 +42,7 @@ def test_narrow_margins_are_rejected(spark):
 
 def test_names():
     names = queries.queries()
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
 
 
