@@ -60,7 +60,8 @@ def box_join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     x, y = (F.greatest(F.col(f"a.box.{k}"), F.col(f"b.box.{k}")) for k in ("x0", "y0"))
     touch = (x <= F.least("a.box.x1", "b.box.x1")) & (y <= F.least("a.box.y1", "b.box.y1"))
     here = (F.col("cx") == F.floor(x / F.col("a_size"))) & (F.col("cy") == F.floor(y / F.col("a_size")))
-    met = _cells(a, "a", cell, _levels(b, cell)).join(_cells(b, "b", cell, _levels(a, cell)), ["meets", "cx", "cy"])
+    # Spark's estimate knows nothing of the copies for cells, so it must not choose a broadcast by it
+    met = _cells(a, "a", cell, _levels(b, cell)).join(_cells(b, "b", cell, _levels(a, cell)).hint("merge"), ["meets", "cx", "cy"])
     return met.where(touch & here).select("a", "b")
 
 
