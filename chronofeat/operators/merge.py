@@ -22,7 +22,12 @@ def greedy_merge(df: DataFrame, links: DataFrame, this: str = "osm") -> DataFram
     first = F.col("rank_a") < F.col("rank_b")
     pairs = ends.select(F.when(first, F.col("rank_a")).otherwise(F.col("rank_b")).alias("a"), F.when(first, F.col("rank_b")).otherwise(F.col("rank_a")).alias("b")).distinct()
     groups = link.duplicate_groups(df.select(F.struct("priority", "id").alias("id")), pairs)
-    rows = df.join(groups.select(F.col("id.id").alias("id"), F.col("seed.id").alias("seed")), "id")
+    return merge_stars(df, groups.select(F.col("id.id").alias("id"), F.col("seed.id").alias("seed")), this)
+
+
+def merge_stars(df: DataFrame, groups: DataFrame, this: str = "osm") -> DataFrame:
+    """Rows of greedy_merge folded by groups (id, seed) that are known, as from link.duplicate_stars."""
+    rows = df.join(groups, "id")
     place = F.struct("priority", "id")
     merged = rows.groupBy("seed").agg(
         F.min_by("sd", F.when(F.col("sd").isNotNull(), place)).alias("sd"),
