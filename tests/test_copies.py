@@ -65,3 +65,15 @@ def test_scores_stay_out_of_the_join(spark):
     assert "0.3" not in join and "try_divide" not in join.lower()
     one = spark.range(1).select(F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(4).alias("x1"), F.lit(0).alias("y1")).alias("p"))
     assert one.select(spatial.iou(F.col("p"), F.col("p")), spatial.overlap_ratio(F.col("p"), F.col("p"))).first()[:] == (0.0, 0.0)
+
+
+def test_chains_of_copies(spark):
+    from chronofeat.operators import matching
+
+    df = boxes(spark, table(40, 3))
+    links = lambda a, b: matching.chain_match(a, b, cell=16.0).select(F.col("id").alias("a"), F.col("other").alias("b"), "iou")
+    found = link.linked_classes(df, df, ("id", "id"), links).collect()
+    of = {k: {r.b: r.a for r in found if r.kind == k} for k in "ab"}
+    pairs = {(r.a, r.b) for r in found if r.kind == "link"}
+    plain = {(r.id, r.other) for r in matching.chain_match(df, df, cell=16.0).collect()}
+    assert {(a, b) for a in range(40) for b in range(40) if (of["a"].get(a, a), of["b"].get(b, b)) in pairs} == plain
