@@ -125,7 +125,7 @@ def duplicate_pairs(df: DataFrame, least: float = 0.8, cell: float = 64.0) -> Da
     if not overlay.shaped(df):
         pairs = spatial.box_join(df.select("id", "box"), df.select("id", "box"), cell).where("a.id < b.id")
         return pairs.where(spatial.iou(F.col("a.box"), F.col("b.box")) >= least).select(*ids)
-    rows = df.select("id", "box", "geometry")
+    rows = df.select("id", "box", "geometry", *[c for c in overlay.MEASURES if c in df.columns])
     found = overlay.pairs(rows, rows, cell, "_area").where("a.id < b.id")
     found = found.where((F.col("most") > 0) & ((1 + least) * F.col("most") >= least * (F.col("a._area") + F.col("b._area"))))
     return found.withColumn("iou", overlay.iou(F.col("a.geometry"), F.col("b.geometry"))).where(F.col("iou") >= least).select(*ids)
@@ -137,16 +137,14 @@ def duplicate_classes(df: DataFrame, least: float = 0.8, cell: float = 64.0) ->
     All duplicate_pairs follow: those of a linked pair of classes with one another, and those of a
     class among themselves. Shapes without area are nobody's duplicates.
     """
-    df = _with_area(df)
-    found = copies.classes(df, "id")
+    df = _shapes(df)
+    found = copies.classes(df, "id", area=True)
     return copies.with_members(duplicate_pairs(found, least, cell), copy=copies.members(df, "id", found)).select("kind", "a", "b")
 
 
-def _with_area(df: DataFrame) -> DataFrame:
+def _shapes(df: DataFrame) -> DataFrame:
     rows = df.select("id", *[c for c in ("rank", "box", "geometry") if c in df.columns])
-    if not overlay.shaped(df):
-        return rows.where(spatial.box_area(F.col("box")) > 0)
-    return overlay.with_shape(rows, "_area").where("_area > 0").drop("_area")
+    return overlay.with_shape(rows) if overlay.shaped(df) else rows
 
 
 def duplicate_stars(df: DataFrame, least: float = 0.8, rank: str = "id", cell: float = 64.0) -> DataFrame:
@@ -155,8 +153,8 @@ def duplicate_stars(df: DataFrame, least: float = 0.8, rank: str = "id", cell: f
     Copies share the neighbours of the first of them and are its own, so they go where it goes:
     only representatives are compared and settled.
     """
-    rows = _with_area(df.withColumn("rank", F.struct(rank, "id") if rank != "id" else F.struct("id")))
-    found = copies.classes(rows.drop("id"), "rank")
+    rows = _shapes(df.withColumn("rank", F.struct(rank, "id") if rank != "id" else F.struct("id")))
+    found = copies.classes(rows.drop("id"), "rank", area=True)
     ranks = found.withColumnRenamed("rank", "id").drop("copy")
     seeds = duplicate_groups(ranks, duplicate_pairs(ranks, least, cell))
     seeds = found.select("rank", "copy").join(seeds.withColumnRenamed("id", "rank"), "rank").select("copy", F.col("seed.id").alias("seed"))

@@ -222,10 +222,10 @@ MEASURES = {"_area": geo.polygon_area, "_centre": geo.area_centroid, "_mean": ge
 
 
 def with_shape(df: DataFrame, *measures: str) -> DataFrame:
-    """df with its polygon `geometry` (that of the box where it has none) and measures of it."""
+    """df with its polygon `geometry` (that of the box where it has none) and measures of it; those that it has stay."""
     own = geo.box(*(F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1")))
     rows = df.withColumn("geometry", F.coalesce("geometry", own) if "geometry" in df.columns else own)
-    return rows.withColumns({m: MEASURES[m](F.col("geometry")) for m in measures})
+    return rows.withColumns({m: MEASURES[m](F.col("geometry")) for m in measures if m not in df.columns})
 
 
 def pairs(a: DataFrame, b: DataFrame, cell: float, *measures: str, margin: float = 0.0) -> DataFrame:

@@ -77,3 +77,18 @@ def test_chains_of_copies(spark):
     pairs = {(r.a, r.b) for r in found if r.kind == "link"}
     plain = {(r.id, r.other) for r in matching.chain_match(df, df, cell=16.0).collect()}
     assert {(a, b) for a in range(40) for b in range(40) if (of["a"].get(a, a), of["b"].get(b, b)) in pairs} == plain
+
+
+def test_areas_are_looked_at_once_a_class(spark, monkeypatch):
+    from chronofeat.functions import geo
+    from chronofeat.operators import overlay
+
+    asked = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda a: (asked.add(1), a)[1], "double")
+    monkeypatch.setitem(overlay.MEASURES, "_area", lambda g: seen(geo.polygon_area(g)))
+    shapes = [(0.0, 0.0, 8.0, 8.0), (4.0, 0.0, 12.0, 8.0), (30.0, 0.0, 30.0, 8.0)]  # the last has no area
+    rows = boxes(spark, [(k, *shapes[k % 3]) for k in range(300)])
+    rows = rows.withColumn("geometry", F.when(F.col("id") % 2 == 0, geo.box(*(F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1")))))
+    found = link.duplicate_classes(rows, 0.3).collect()
+    assert asked.value <= 6
+    assert [(r.a, r.b) for r in found if r.kind == "link"] == [(0, 1)] and {(r.a, r.b) for r in found if r.kind == "copy"} == {(k % 3, k) for k in range(3, 300) if k % 3 < 2}
