@@ -306,14 +306,15 @@ def run_share(step: float = 5.0, tolerance: float = 10.0, scale: Scale = (1.0, 1
 MATCH = T.StructType([T.StructField("lss", T.DoubleType()), T.StructField("hausdorff", T.DoubleType()), T.StructField("width_change", T.BooleanType()), T.StructField("same_ends", T.BooleanType())])
 
 
-def line_match(scale: Scale, step: float = 5.0, tolerance: float = 10.0, width: tuple[float, float] = (2.0, 10.0), ends: float = 50.0):
-    """A column function of two lines: struct(lss, hausdorff, width_change, same_ends)."""
+def line_match(scale: Scale, step: float = 5.0, tolerance: float = 10.0, width: tuple[float, float] = (2.0, 10.0), ends: float = 50.0, only: tuple[str, ...] = ()):
+    """A column function of two lines: struct(lss, hausdorff, width_change, same_ends); with `only`, of those measures, and the others are not computed."""
+    measures = {"lss": lambda p, q: run_shares(p, q, step, tolerance), "hausdorff": hausdorff, "width_change": lambda p, q: width_changed(p, q, *width), "same_ends": lambda p, q: same_ends(p, q, ends)}
+    names = only or tuple(MATCH.names)
 
-    @F.arrow_udf(MATCH)
+    @F.arrow_udf(T.StructType([MATCH[name] for name in names]))
     def match(a: pa.Array, b: pa.Array) -> pa.Array:
         p, q = Lines.read(a, scale), Lines.read(b, scale)
-        found = run_shares(p, q, step, tolerance), hausdorff(p, q), width_changed(p, q, *width), same_ends(p, q, ends)
-        return pa.StructArray.from_arrays([pa.array(x) for x in found], names=MATCH.names)
+        return pa.StructArray.from_arrays([pa.array(measures[name](p, q)) for name in names], names=list(names))
 
     return match
 

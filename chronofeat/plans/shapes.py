@@ -421,10 +421,10 @@ def k3_process_once(v):
 # ---------------------------------------------------------------- kernels
 
 
-def _moved(v: Views) -> DataFrame:
+def _moved(v: Views, *only: str) -> DataFrame:
     """Each road as a line and the same line moved north by id % 14 and east by one."""
     line = lambda dx, dy: F.struct(F.lit("LineString").alias("gtype"), F.array(F.array(F.array(geo.point(F.col("x0") + dx, F.col("y0") + dy), geo.point(F.col("x1") + dx, F.col("y1") + dy)))).alias("parts"))
-    return v("roads").select("id", lines.line_match((1.0, 1.0))(line(F.lit(0), F.lit(0)), line(F.lit(1), F.col("id") % 14)).alias("m"))
+    return v("roads").select("id", lines.line_match((1.0, 1.0), only=only)(line(F.lit(0), F.lit(0)), line(F.lit(1), F.col("id") % 14)).alias("m"))
 
 
 def _off(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
@@ -438,12 +438,12 @@ LINES = "l AS (SELECT id, x0 AS a1, y0 AS a2, x1 AS b1, y1 AS b2, x0 + 1 AS c1,
 
 @query(f"WITH {LINES} SELECT id, round(greatest({_off('a1', 'a2', 'c1', 'c2', 'd1', 'd2')}, {_off('b1', 'b2', 'c1', 'c2', 'd1', 'd2')}, {_off('c1', 'c2', 'a1', 'a2', 'b1', 'b2')}, {_off('d1', 'd2', 'a1', 'a2', 'b1', 'b2')}), 6) AS hausdorff FROM l")
 def n2_hausdorff(v):
-    return _moved(v).select("id", F.round("m.hausdorff", 6).alias("hausdorff"))
+    return _moved(v, "hausdorff").select("id", F.round("m.hausdorff", 6).alias("hausdorff"))
 
 
 @query(f"WITH {LINES} SELECT id, avg({_off('a1 + k * (b1 - a1) / 9.0', 'a2 + k * (b2 - a2) / 9.0', 'c1', 'c2', 'd1', 'd2')}) BETWEEN 2 AND 10 AS width_change FROM l, range(10) t(k) GROUP BY id")
 def n5_width_changed(v):
-    return _moved(v).select("id", "m.width_change")
+    return _moved(v, "width_change").select("id", "m.width_change")
 
 
 @query("SELECT id, CASE WHEN abs((x1 - x0) * (my - y0) - (mx - x0) * (y1 - y0)) / sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) > 5 THEN 3 ELSE 2 END AS points FROM (SELECT *, (x0 + x1) / 2.0 AS mx, (y0 + y1) / 2.0 + id % 11 AS my FROM roads)")

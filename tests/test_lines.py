@@ -248,3 +248,14 @@ def test_pixels_of_footprints(spark):
     seen = {r.id: (-r.share, -r.pixels, r.tile) for r in rasters.presence(runs, masks).collect()}
     near = lambda of: {i: (round(x[0], 9), *x[1:]) for i, x in of.items()}
     assert near(seen) == near(best)
+
+
+def test_a_match_computes_what_is_asked_alone(monkeypatch):
+    called = []
+    for name in ("run_shares", "hausdorff", "width_changed", "same_ends"):
+        monkeypatch.setattr(lines, name, lambda p, q, *more, name=name, plain=getattr(lines, name): (called.append(name), plain(p, q, *more))[1])
+    shape = lambda y: pa.array([{"parts": [[[{"x": 0.0, "y": y}, {"x": 90.0, "y": y}]]]}])
+    got = lines.line_match((1.0, 1.0), only=("width_change",)).func(shape(0.0), shape(3.0)).to_pylist()
+    assert got == [{"width_change": True}] and called == ["width_changed"]
+    whole = lines.line_match((1.0, 1.0)).func(shape(0.0), shape(3.0)).to_pylist()
+    assert whole == [{"lss": 1.0, "hausdorff": 3.0, "width_change": True, "same_ends": True}]
