@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import base64
 import uuid
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,19 +27,10 @@ def _documents(v: Views, rows: DataFrame, key: str, head: str, body: str, tail:
 
 
 def _named(v: Views, rows: DataFrame, ending: str) -> str:
-    """The path of a folder with the documents of rows (name, value), each a file called name and ending; names may have folders. Spark writes them, and they are then called so."""
-    root = f"{shared(v.spark)}/documents-{uuid.uuid4().hex}"
-    rows.select(F.base64(F.col("name").cast("binary")).alias("name"), "value").write.partitionBy("name").text(f"{root}/written")
-    path = v.spark._jvm.org.apache.hadoop.fs.Path
-    files = path(root).getFileSystem(v.spark._jsc.hadoopConfiguration())
-    for folder in files.listStatus(path(f"{root}/written")):
-        if folder.isDirectory():
-            name = base64.b64decode(unquote(folder.getPath().getName().removeprefix("name="))).decode()
-            (one,) = [f.getPath() for f in files.listStatus(folder.getPath())]
-            there = path(f"{root}/named/{name}{ending}")
-            files.mkdirs(there.getParent())
-            files.rename(one, there)
-    return f"{root}/named"
+    """The path of a folder with the documents of rows (name, value), each a file called name and ending; names may have folders."""
+    path = f"{shared(v.spark)}/documents-{uuid.uuid4().hex}"
+    sinks.write_documents(rows.select("name", "value"), path, ending)
+    return path
 
 
 def _box_of(v: Views, name: str) -> DataFrame:
@@ -115,7 +104,7 @@ def a5_page_series(v):
     page = F.floor(key / 400)
     rows = v.table("orders").where((key % 2 == 0) | (page % 5 < 4)).select(F.concat(F.lit("orders"), F.col("o_custkey") % 7, F.lit("-"), page).alias("name"), F.to_json(F.struct(key.alias("code"), (F.col("o_custkey") % 7).alias("series"))).alias("one"))
     documents = rows.groupBy("name").agg(F.concat(F.lit("["), F.array_join(F.collect_list("one"), ","), F.lit("]")).alias("value"))
-    return readers.read_pages(v.spark, f"{_named(v, documents, '.json')}/*.json", "code long, series long", size=9, cap=60)
+    return readers.read_pages(v.spark, _named(v, documents, ".json"), "code long, series long", size=9, cap=60)
 
 
 @query("SELECT concat('source', CAST(s_suppkey AS STRING)) AS source_id, s_nationkey AS record_count, concat('n', CAST(s_nationkey AS STRING), '/s', CAST(s_suppkey AS STRING)) AS path FROM supplier WHERE s_suppkey % 10 > 0")

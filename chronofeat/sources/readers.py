@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..lineage import cut
 
 _POINTS = "array<array<double>>"
 
@@ -82,19 +83,19 @@ def read_nvdb(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("nvdb_id"), named.alias("properties"), F.col("lokasjon.lengde").alias("length"), F.col("metadata.startdato").alias("start"), F.col("metadata.sluttdato").alias("end"), geo.from_wkt(F.col("geometri.wkt")).alias("geometry"))
 
 
-def read_pages(spark: SparkSession, glob: str, schema: str, size: int | None = None, cap: int | None = None) -> DataFrame:
-    """The rows of paged JSON result files together; with a page size, as far as each series goes.
+def read_pages(spark: SparkSession, path: str, schema: str, size: int | None = None, cap: int | None = None) -> DataFrame:
+    """The rows of paged JSON result files (a folder or a pattern) together; with a page size, as far as each series goes.
 
     Files are called by series and page number, as `buildings-12.json`. A series goes on while its
     pages are full and follow each other: it ends with its first page of fewer rows, before a
-    missing one, and after the page with which it has more than `cap` rows.
+    missing one, and after the page with which it has more than `cap` rows. Each file is read once.
     """
-    rows = spark.read.schema(schema).json(glob, multiLine=True)
+    rows = spark.read.schema(schema).json(path, multiLine=True)
     if size is None:
         return rows
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*?)-?(\d+)\.[^./]*$", 1)
     number = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.[^./]*$", 1).cast("long")
-    named = rows.withColumns({"_series": name, "_page": number})
+    named = cut(rows.withColumns({"_series": name, "_page": number}))
     sizes = named.groupBy("_series", "_page").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_series").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
     order = Window.partitionBy("_series").orderBy("_page")
@@ -111,8 +112,14 @@ def read_dir_with_source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def discover_sources(spark: SparkSession, root: str) -> DataFrame:
-    """(source_id, path, record_count, ingested_at) of the manifest.json files below a folder."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").schema("source_id string, record_count long, ingested_at string").json(root, multiLine=True)
+    """(source_id, path, record_count, ingested_at) of the manifest.json files below a folder. A few tasks a core list the folders, not a task each."""
+    name, few = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), few))
+    try:  # folders are listed here, when the table is made
+        rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").schema("source_id string, record_count long, ingested_at string").json(root, multiLine=True)
+    finally:
+        spark.conf.set(name, before)
     return rows.select("*", F.regexp_replace(F.col("_metadata.file_path"), "/manifest.json$", "").alias("path")).where("source_id IS NOT NULL AND source_id <> ''")
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +74,32 @@ def update_manifest(manifest: DataFrame, stage: str, counts: DataFrame, at: str)
     """The manifest with a stage's counts (src, n) and time, the last entry of each source and stage."""
     new = counts.select("src", F.lit(stage).alias("stage"), F.col("n").alias("record_count"), F.lit(at).cast("timestamp").alias("at"))
     return latest_per_key(manifest.select("src", "stage", "record_count", "at").unionByName(new), ["src", "stage"], "at", "record_count")
+
+
+def write_documents(rows: DataFrame, root: str, ending: str) -> None:
+    """Rows (name, value) as files called name and ending below a new folder that all nodes share; names are unique and may have folders.
+
+    Tasks write the files under their names, so that the driver touches none of them. The folder's
+    file system must be one that Arrow knows: local or mounted, HDFS, S3 or GCS.
+    """
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    whole = re.sub("^file:/+", "/", whole)
+    fs.FileSystem.from_uri(whole)[0].create_dir(fs.FileSystem.from_uri(whole)[1])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, top = fs.FileSystem.from_uri(whole)
+        made = {top}
+        for batch in batches:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                to = f"{top}/{name}{ending}"
+                folder = to.rpartition("/")[0]
+                if folder not in made:
+                    there.create_dir(folder)
+                    made = {top, folder}
+                with there.open_output_stream(to) as out:
+                    out.write(value.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.select("name", "value").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from chronofeat.functions import geo
-from chronofeat.sources import readers
+from chronofeat.sources import readers, sinks
 
 
 def feature(i, shape="Point"):
@@ -44,6 +44,9 @@ def test_page_series(spark, tmp_path):
     assert read(size=3) == ["a-0", "a-1", "a-2", "b-1", "c-10", "c-11", "c-12", "c-9", "d-0", "e-1"]
     assert read(size=3, cap=5) == ["a-0", "a-1", "b-1", "c-10", "c-9", "d-0", "e-1"]
     assert len(read()) == 12
+    again = readers.read_pages(spark, str(tmp_path), "page string", size=3)
+    assert "FileScan json" not in again._jdf.queryExecution().executedPlan().toString()  # the files were read once, for the sizes and the rows
+    assert sorted({r.page for r in again.collect()}) == read(size=3)
 
 
 def test_manifests_and_folders(spark, tmp_path):
@@ -58,3 +61,13 @@ def test_manifests_and_folders(spark, tmp_path):
     found = readers.read_dir_with_source(spark, str(tmp_path / "in"))
     assert sorted((r.src, r.properties["id"]) for r in found.collect()) == [("map.1880", "1"), ("map.1880", "2"), ("one", "3")]
     assert found.schema["geometry"].dataType.simpleString() == geo.GEOMETRY
+
+
+def test_tasks_name_documents(spark, tmp_path):
+    """Documents stand under their names without a file that the driver lists or renames."""
+    rows = spark.createDataFrame([(f"n{k % 3}/s{k}/manifest", json.dumps({"source_id": f"s{k}\u00e6", "record_count": k})) for k in range(50)] + [("plain name", "{}")], "name string, value string")
+    sinks.write_documents(rows, str(tmp_path / "out"), ".json")
+    assert {str(f.relative_to(tmp_path / "out")) for f in (tmp_path / "out").rglob("*") if f.is_file()} == {f"n{k % 3}/s{k}/manifest.json" for k in range(50)} | {"plain name.json"}
+    assert sorted((r.source_id, r.record_count, r.path.rsplit("/", 2)[1]) for r in readers.discover_sources(spark, f"file://{tmp_path}/out").collect()) == sorted((f"s{k}\u00e6", k, f"n{k % 3}") for k in range(50))
+    sinks.write_documents(rows.limit(0), f"file://{tmp_path}/none", ".json")
+    assert (tmp_path / "none").is_dir()
