@@ -77,7 +77,9 @@ def holds_centre(a, b):
 def link_by_centroid(a: DataFrame, b: DataFrame, cell: float = 64.0) -> DataFrame:
     """Pairs (a, b, score 1) of which one has the other's centre of gravity in its interior; boxes and their middles without polygons."""
     if overlay.shaped(a, b):
-        found = overlay.pairs(a, b, cell, "_centre").where(overlay.holds_centre(F.col("a"), F.col("b")) | overlay.holds_centre(F.col("b"), F.col("a")))
+        at = lambda p, c: c["x"].between(p["box"]["x0"], p["box"]["x1"]) & c["y"].between(p["box"]["y0"], p["box"]["y1"])
+        holds = lambda p, q: F.when(at(p, q["_centre"]), overlay.holds_centre(p, q)).otherwise(False)  # noqa: E731  edges are read only where the centre lies in the box
+        found = overlay.pairs(a, b, cell, "_centre").where(holds(F.col("a"), F.col("b")) | holds(F.col("b"), F.col("a")))
         return overlay.plain(found.withColumn("score", F.lit(1.0)), "score")
     x, y = F.col("a.box"), F.col("b.box")
     return spatial.box_join(a, b, cell).where(holds_centre(x, y) | holds_centre(y, x)).select("a", "b", F.lit(1.0).alias("score"))
